@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scalars", "schema_ops"]
+MODULES = ["review_flow", "scalars", "schema_ops", "rules", "joins", "aggregates", "ordering",
+           "file_scans", "detection", "text_features", "classifiers", "streams"]
 
 
 def load():

@@ -92,10 +92,10 @@ def scan_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return words
 
 
-def scan_accounts(spark: SparkSession, path: str) -> DataFrame:
-    """Account lists as one nested row per file."""
+def scan_accounts(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Account lists as one nested row per file, or per line."""
     pair = "array<struct<name: string, {}>>"
-    return spark.read.option("multiLine", True).schema(
+    return spark.read.option("multiLine", one_per_file).schema(
         f"household_staff {pair.format('roles: array<string>')}, "
         f"personal_loans {pair.format('types: array<string>')}, "
         f"bank_accounts {pair.format('type: string')}, "
@@ -103,9 +103,9 @@ def scan_accounts(spark: SparkSession, path: str) -> DataFrame:
     ).json(path)
 
 
-def scan_registry(spark: SparkSession, path: str) -> DataFrame:
-    """Nested registry JSON as one row per model and version."""
-    doc = spark.read.option("multiLine", True).schema(REGISTRY_JSON).json(path)
+def scan_registry(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Nested registry JSON, per file or per line, as one row per model and version."""
+    doc = spark.read.option("multiLine", one_per_file).schema(REGISTRY_JSON).json(path)
     by_model = doc.select(F.explode("models").alias("model", "versions"))
     return by_model.select("model", F.explode("versions").alias("v", "e")).select(
         "model", F.col("v").try_cast("int").alias("version"), "e.locations", "e.metrics",

@@ -3,23 +3,42 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tallywise.constants import LOW_CONFIDENCE
 from tallywise.operators.metrics import is_low
 
+# below this many values per group the median sketch is exact
+MEDIAN_ACCURACY = 10000
+
 
 
 def daily_quality(df: DataFrame, ts: str = "ts", confidence: str = "confidence",
                   late: str = "1 day") -> DataFrame:
     """Size, mean, deviation and low rate per day, from mergeable aggregates only.
 
-    State holds a few numbers per day and source, however many rows arrive.
+    State holds a few numbers and one bounded median sketch per day and source,
+    however many rows arrive.
     """
     c = F.col(confidence)
     marked = df.withWatermark(ts, late) if df.isStreaming else df
     return (marked.groupBy(F.window(ts, "1 day").alias("day"), "transaction_source")
             .agg(F.count(F.lit(1)).alias("batch_size"), F.avg(c).alias("mean"),
                  F.stddev_samp(c).alias("std"), F.avg(is_low(c)).alias("low_confidence_rate"),
-                 F.count_if(c < LOW_CONFIDENCE).alias("low_rows"))
+                 F.count_if(c < LOW_CONFIDENCE).alias("low_rows"),
+                 F.percentile_approx(c, 0.5, MEDIAN_ACCURACY).alias("median"))
             .select(F.date_format("day.start", "yyyy-MM-dd").alias("day"), "transaction_source",
-                    "batch_size", "mean", "std", "low_confidence_rate", "low_rows"))
+                    "batch_size", "mean", "std", "low_confidence_rate", "low_rows", "median"))
+
+
+def run_daily_quality(stream: DataFrame, results: str, checkpoint: str) -> StreamingQuery:
+    """Keep the daily table up to date with all rows now available, then stop.
+
+    The table has one row per day and source and is replaced as a whole after
+    each micro-batch, so a repeated batch leaves the same table.
+    """
+    def handle(table: DataFrame, number: int) -> None:
+        table.write.mode("overwrite").parquet(results)
+
+    return (daily_quality(stream).writeStream.outputMode("complete").foreachBatch(handle)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
