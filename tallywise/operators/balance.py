@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallywise.operators.ordered import running_sums
+from tallywise.operators.ordered import Buckets, running_sums
 
 
-def running_balance(df: DataFrame, account: str, bucket: Column, order: list[str],
+def running_balance(df: DataFrame, account: str, bucket: Buckets, order: list[str],
                     money_out: str, money_in: str, opening: Column,
                     name: str = "calculated_balance") -> DataFrame:
     """Opening balance minus money out plus money in, in file order per account.
 
-    ``bucket`` follows the order (a month, or a block of row numbers), so that
-    even one account with most of the rows is spread over many tasks.
+    ``bucket`` follows the order (month and day, or blocks of row numbers), so
+    that even one account with most of the rows is spread over many tasks.
     """
     summed = running_sums(df, [account], bucket, [F.col(c) for c in order],
                           {"_moved": F.col(money_in) - F.col(money_out)})

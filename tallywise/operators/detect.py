@@ -19,6 +19,7 @@ from tallywise.functions.dates import lenient_date
 from tallywise.functions.missing import present
 from tallywise.functions.money import lenient_number
 from tallywise.operators.ordered import first_rows
+from tallywise.session import materialise
 
 SCORE = "decimal(4,1)"
 PAIR_FIELDS = ["out", "in", "debit", "credit"]
@@ -67,7 +68,8 @@ def source_scores(files: DataFrame, columns: DataFrame, rows: DataFrame) -> Data
         F.min_by(F.when(low.isin("description", "item", "details"), F.col("column")),
                  F.when(low.isin("description", "item", "details"), F.col("ordinal")))
          .alias("text_column"))
-    head = first_rows(rows, ["file"], [F.col("row_no")], CONTENT_SAMPLE_ROWS)
+    # stored row numbers are dense, so the sample is a pushed-down filter
+    head = rows.where(F.col("row_no") < CONTENT_SAMPLE_ROWS)
     texts = (head.join(by_column.where("has_text").select("file", "text_column"), "file")
              .select("file", F.lower(F.element_at("cells", F.col("text_column"))).alias("t")))
     flag = lambda w: F.max(F.contains(F.col("t"), F.lit(w)).cast("int"))
@@ -180,6 +182,16 @@ def date_sample_quality(rows: DataFrame, mapping: DataFrame) -> DataFrame:
         F.count_if(lenient_date(F.col("v")).isNotNull()).alias("parsed"))
 
 
+def detect_files(files: DataFrame, columns: DataFrame, rows: DataFrame) -> DataFrame:
+    """Verdicts of all files. The per-file scores and mappings are used several
+    times, so they are written once to the shared scratch folder."""
+    spark = files.sparkSession
+    scores = materialise(spark, source_scores(files.select("file", "name"), columns, rows), "scores")
+    mapping = materialise(spark, column_mapping(columns, scores), "mapping")
+    return file_verdicts(files, scores, mapping, column_quality(rows),
+                         date_sample_quality(rows, mapping))
+
+
 def file_verdicts(files: DataFrame, scores: DataFrame, mapping: DataFrame, quality: DataFrame,
                   dates: DataFrame) -> DataFrame:
     """One verdict per file: issues found and whether the file may be processed.

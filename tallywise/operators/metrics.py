@@ -7,12 +7,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallywise.constants import ALERT_LOW_RATE, ALERT_MEAN, LOW_CONFIDENCE, REVIEW_CONFIDENCE
 from tallywise.operators.ordered import exact_median, previous_values
 
-CONFIDENCE_BUCKETS = 4096
+# two levels: the finer one leaves about a million distinct doubles per bucket at most
+CONFIDENCE_STEPS = [2**16, 2**32]
 
 
-def confidence_bucket(c: Column) -> Column:
-    """Bucket of a value in [0, 1] that keeps its order."""
-    return F.floor(c * CONFIDENCE_BUCKETS).cast("int")
+def confidence_buckets(c: Column) -> list[Column]:
+    """Coarse and fine bucket of a value in [0, 1], both in its order."""
+    return [F.floor(c * float(n)).cast("long") for n in CONFIDENCE_STEPS]
 
 
 def frequencies(df: DataFrame, label: str) -> DataFrame:
@@ -40,7 +41,7 @@ def quality_metrics(df: DataFrame, batch: str, confidence: str = "confidence",
     if accuracy:
         return df.groupBy(batch).agg(
             *basic, F.percentile_approx(c, 0.5, accuracy).alias("median"))
-    medians = exact_median(df, [batch], confidence, confidence_bucket(c), "median")
+    medians = exact_median(df, [batch], confidence, confidence_buckets(c), "median")
     return df.groupBy(batch).agg(*basic).join(medians, batch, "left")
 
 

@@ -3,35 +3,54 @@
 A plain window over a hot key sorts all its rows in one task. Here each key is
 cut into buckets of its order column: totals per (key, bucket) are small and
 give every bucket its starting value, and the row-level window then runs per
-(key, bucket). The bucket must follow the order: a row in a smaller bucket
-comes before every row in a larger one.
+(key, bucket). Buckets must follow the order: a row in a smaller bucket comes
+before every row in a larger one. Several bucket levels, coarse to fine, keep
+both the row groups and the lists of totals small at any size.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+Buckets = Column | list[Column]
+
+
+def _levels(bucket: Buckets) -> dict[str, Column]:
+    columns = bucket if isinstance(bucket, list) else [bucket]
+    return {f"_bucket{i}": c for i, c in enumerate(columns)}
+
 
-def running_sums(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
+def running_sums(df: DataFrame, keys: list[str], bucket: Buckets, order: list[Column],
                  sums: dict[str, Column]) -> DataFrame:
     """Add inclusive running sums per key. Keys must not be null."""
-    cut = df.withColumn("_bucket", bucket)
-    names = [*keys, "_bucket"]
-    totals = cut.groupBy(*names).agg(*[F.sum(e).alias(f"_sum_{n}") for n, e in sums.items()])
-    earlier = (Window.partitionBy(*keys).orderBy("_bucket")
-               .rowsBetween(Window.unboundedPreceding, -1))
-    starts = totals.select(*names, *[
-        F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_start_{n}") for n in sums])
-    inside = (Window.partitionBy(*names).orderBy(*order)
+    levels = _levels(bucket)
+    names = list(levels)
+    cut = df.withColumns(levels)
+    finest = cut.groupBy(*keys, *names).agg(*[F.sum(e).alias(f"_sum_{n}") for n, e in sums.items()])
+    starts = None
+    for depth, level in enumerate(names):
+        above = [*keys, *names[:depth]]
+        totals = finest if depth == len(names) - 1 else finest.groupBy(*above, level).agg(
+            *[F.sum(f"_sum_{n}").alias(f"_sum_{n}") for n in sums])
+        earlier = (Window.partitionBy(*above).orderBy(level)
+                   .rowsBetween(Window.unboundedPreceding, -1))
+        here = totals.select(*above, level, *[
+            F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_start{depth}_{n}")
+            for n in sums])
+        starts = here if starts is None else here.join(starts, above)
+    inside = (Window.partitionBy(*keys, *names).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = cut.select("*", *[F.coalesce(F.sum(e).over(inside), F.lit(0)).alias(f"_local_{n}")
                               for n, e in sums.items()])
-    joined = local.join(starts, names)
+    joined = local.join(starts, [*keys, *names])
     return joined.select(*df.columns, *[
-        (F.col(f"_start_{n}") + F.col(f"_local_{n}")).alias(n) for n in sums])
+        reduce(lambda a, d: a + F.col(f"_start{d}_{n}"), range(len(names)), F.col(f"_local_{n}")).alias(n)
+        for n in sums])
 
 
-def row_ordinals(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
+def row_ordinals(df: DataFrame, keys: list[str], bucket: Buckets, order: list[Column],
                  name: str) -> DataFrame:
     """Add the 1-based position of each row within its key."""
     return running_sums(df, keys, bucket, order, {name: F.lit(1).cast("long")})
@@ -71,21 +90,41 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int,
     return ranked.where(F.col(name) <= n)
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, bucket: Column,
+def exact_median(df: DataFrame, keys: list[str], value: str, bucket: Buckets,
                  name: str) -> DataFrame:
-    """Exact median per key from value counts; nulls are skipped.
+    """Exact median per key by narrowing down; nulls are skipped.
 
     The built-in exact percentile holds all distinct values of a group in one
-    task; this form shuffles value counts and looks up the middle positions.
+    task. Here each step counts rows per bucket, which combines on the map side
+    to one number per bucket, and keeps only the one or two buckets that hold
+    the middle positions. Only their rows are ever sorted.
     """
-    counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
-              .agg(F.count(F.lit(1)).alias("_n")))
-    upto = running_sums(counts, keys, bucket, [F.col(value)], {"_upto": F.col("_n")})
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    placed = upto.join(totals, keys)
-    low = F.expr("(_total + 1) div 2")
-    high = F.expr("(_total + 2) div 2")
+    levels = _levels(bucket)
+    rows = df.where(F.col(value).isNotNull()).select(
+        *keys, F.col(value).alias("_v"), *[c.alias(n) for n, c in levels.items()])
+    low, high = F.expr("(_total + 1) div 2"), F.expr("(_total + 2) div 2")
     holds = lambda k: (F.col("_upto") >= k) & (F.col("_upto") - F.col("_n") < k)
-    return (placed.where(holds(low) | holds(high)).groupBy(*keys).agg(
-        ((F.max(F.when(holds(low), F.col(value))) + F.max(F.when(holds(high), F.col(value)))) / 2)
-        .alias(name)))
+
+    def place(counts: DataFrame, above: list[str], level: str) -> DataFrame:
+        upto = (Window.partitionBy(*above).orderBy(level)
+                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return counts.withColumn("_upto", F.col("_before") + F.sum("_n").over(upto))
+
+    seen, held = list(keys), None
+    for level in levels:
+        near = rows if held is None else rows.join(held, seen)
+        carried = [] if held is None else ["_before", "_total"]
+        counts = near.groupBy(*seen, level, *carried).agg(F.count(F.lit(1)).alias("_n"))
+        if held is None:
+            counts = counts.withColumns({
+                "_before": F.lit(0).cast("long"),
+                "_total": F.sum("_n").over(Window.partitionBy(*keys))})
+        held = (place(counts, seen, level).where(holds(low) | holds(high))
+                .select(*seen, level, (F.col("_upto") - F.col("_n")).alias("_before"), "_total"))
+        seen = [*seen, level]
+    counts = rows.join(held, seen).groupBy(*seen, "_v", "_before", "_total").agg(
+        F.count(F.lit(1)).alias("_n"))
+    last = place(counts, seen, "_v")
+    return last.groupBy(*keys).agg(
+        ((F.max(F.when(holds(low), F.col("_v"))) + F.max(F.when(holds(high), F.col("_v")))) / 2)
+        .alias(name))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallywise.operators.metrics import confidence_bucket
+from tallywise.operators.metrics import confidence_buckets
 from tallywise.operators.ordered import running_sums
 
 
@@ -62,13 +62,13 @@ def _score_counts(df: DataFrame, group: str, positive: str, score: str) -> DataF
 
 
 def roc_auc(df: DataFrame, group: str, positive: str, score: str,
-            bucket: Column | None = None) -> DataFrame:
+            buckets: list[Column] | None = None) -> DataFrame:
     """Area under the ROC curve per class by rank sums with average ranks.
 
     Scores lie in [0, 1]. A class without positives or negatives gives null.
     """
     counts = _score_counts(df, group, positive, score)
-    cut = confidence_bucket(F.col(score)) if bucket is None else bucket
+    cut = buckets or confidence_buckets(F.col(score))
     below = running_sums(counts, [group], cut, [F.col(score)], {"neg_upto": F.col("neg")})
     wins = F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2)
     return below.groupBy(group).agg(
@@ -76,11 +76,11 @@ def roc_auc(df: DataFrame, group: str, positive: str, score: str,
 
 
 def average_precision(df: DataFrame, group: str, positive: str, score: str,
-                      bucket: Column | None = None) -> DataFrame:
+                      buckets: list[Column] | None = None) -> DataFrame:
     """Sum of recall steps times precision over falling distinct scores per class."""
     counts = _score_counts(df, group, positive, score)
-    cut = confidence_bucket(F.col(score)) if bucket is None else bucket
-    down = running_sums(counts, [group], -cut, [F.desc(score)],
+    cut = buckets or confidence_buckets(F.col(score))
+    down = running_sums(counts, [group], [-c for c in cut], [F.desc(score)],
                         {"tp": F.col("pos"), "all": F.col("pos") + F.col("neg")})
     return down.groupBy(group).agg(
         F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("all")), F.sum("pos"))

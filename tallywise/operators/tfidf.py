@@ -8,7 +8,7 @@ from tallywise.constants import MAX_DF, MAX_FEATURES, MIN_DF, SPLIT_SEED, TEST_F
 from tallywise.functions.text import char_ngrams, padded_words, word_ngrams
 from tallywise.operators.ordered import running_sums
 
-SPLIT_PREFIX = 3  # hexadecimal digits: 4096 buckets per label
+SPLIT_PREFIX = 4  # hexadecimal digits: 65536 buckets per label
 
 
 def term_counts(df: DataFrame, row: str, text: str, analyzer: str = "word") -> DataFrame:

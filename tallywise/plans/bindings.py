@@ -29,6 +29,11 @@ def source_by(key: str) -> Column:
     return F.when(F.col(key) % 2 == 0, "household").otherwise("credit_card")
 
 
+def key_block(key: str, rows: int = 2**20) -> Column:
+    """Block of an increasing key, for splitting long stretches of rows."""
+    return F.floor(F.col(key) / rows)
+
+
 # --- ledger rows -------------------------------------------------------------
 def ledger(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("value").cast("decimal(18,2)")
@@ -220,7 +225,7 @@ FILE_COLUMNS = FILES + ", " + LAYOUT_SQL + """, file_columns AS (
 def numbered_orders(spark: SparkSession, d: str) -> DataFrame:
     """Orders with their 0-based position in the customer's file."""
     o = table(spark, d, "orders").withColumnRenamed("o_custkey", "file")
-    n = row_ordinals(o, ["file"], F.year("o_orderdate"), [F.col("o_orderdate"), F.col("o_orderkey")], "row_no")
+    n = row_ordinals(o, ["file"], [F.year("o_orderdate"), F.col("o_orderdate"), key_block("o_orderkey")], [F.col("o_orderdate"), F.col("o_orderkey")], "row_no")
     return n.withColumn("row_no", F.col("row_no") - 1)
 
 

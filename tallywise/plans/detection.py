@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallywise.operators import detect
 from tallywise.plans import bindings as b
 from tallywise.plans.catalog import query, r6, text_of_list, text_of_map
+from tallywise.session import materialise
 
 HITS = lambda expr, ws: " + ".join(f"contains({expr}, '{w}')::INT" for w in ws)
 
@@ -124,11 +125,9 @@ v AS (SELECT *, CASE WHEN broken IS NOT NULL THEN [broken] ELSE list_concat(list
  array_to_string(issues, '|') AS issues, detected, n AS row_count, COALESCE(size, 0) AS file_size,
  len(issues) = 0 AND source_confidence > 0.5 AS is_valid FROM v""")
 def file_verdict(spark, d):
-    rows = b.file_rows(spark, d)
-    s = scores(spark, d)
-    m = detect.column_mapping(b.file_columns(spark, d), s)
-    v = detect.file_verdicts(b.files(spark, d).select("file", "name", "size"), s, m, detect.column_quality(rows),
-                             detect.date_sample_quality(rows, m))
+    # ingested rows are a stored table
+    rows = materialise(spark, b.file_rows(spark, d), "rows")
+    v = detect.detect_files(b.files(spark, d).select("file", "name", "size"), b.file_columns(spark, d), rows)
     return v.select("file", "name", "source", "confidence", text_of_list(F.col("issues")).alias("issues"),
                     F.when(F.col("detected_columns").isNotNull(), text_of_map(F.col("detected_columns"))).alias("detected"),
                     "row_count", "file_size", "is_valid")

@@ -20,7 +20,7 @@ def balances(spark, d):
     moves = b.table(spark, d, "orders").select(
         "o_orderkey", F.col("o_custkey").alias("account"), "o_orderdate",
         F.when(paid_in, zero).otherwise(p).alias("out"), F.when(paid_in, p).otherwise(zero).alias("in"))
-    return balance.running_balance(moves, "account", F.year("o_orderdate") * 12 + F.month("o_orderdate"),
+    return balance.running_balance(moves, "account", [F.year("o_orderdate") * 12 + F.month("o_orderdate"), F.col("o_orderdate"), b.key_block("o_orderkey")],
                                    ["o_orderdate", "o_orderkey"], "out", "in", F.lit(1000).cast("decimal(18,2)"), "calculated")
 
 

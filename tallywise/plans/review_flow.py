@@ -33,7 +33,7 @@ def review_summary(spark, d):
         F.count_if(c.between(0.5, 0.7)).alias("medium"), F.count_if(c < 0.5).alias("low"),
         F.sum("amount_out").alias("amount_out"), F.sum("amount_in").alias("amount_in"),
         F.avg(c).alias("mean"), F.avg(mt.is_low(c)).alias("low_confidence_rate"))
-    med = exact_median(v, keys, "confidence", mt.confidence_bucket(c), "median")
+    med = exact_median(v, keys, "confidence", mt.confidence_buckets(c), "median")
     return sums.join(med, keys, "left").select(
         *keys, "n_rows", "to_review", "high", "medium", "low", "amount_out", "amount_in", r6(F.col("mean")).alias("mean"),
         r6(F.col("median")).alias("median"), r6(F.col("low_confidence_rate")).alias("low_confidence_rate"),

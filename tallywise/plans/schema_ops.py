@@ -6,6 +6,7 @@ from pyspark.sql import functions as F, types as T
 
 from tallywise.operators import schema as ops
 from tallywise.operators import registry as reg
+from tallywise.operators.ordered import row_ordinals
 from tallywise.plans import bindings as b
 from tallywise.plans.catalog import query
 from tallywise.plans.scalars import NUM
@@ -152,11 +153,10 @@ def accounting_projection(spark, d):
 SELECT row_key, ROW_NUMBER() OVER (ORDER BY row_key) - 1 AS id, strftime(txn_date, '%Y-%m-%d') AS txn_date, description, amount_out,
  amount_in, category AS predicted_category, category AS corrected_category, ROUND(confidence, 6) AS confidence, transaction_source FROM corrected_file""")
 def review_view(spark, d):
-    from tallywise.operators.ordered import row_ordinals
     f = b.corrected_file(spark, d).withColumn("batch", F.lit("file"))
     v = slim(ops.review_view(f, ["batch", "row_key"]))
     # file order in blocks of rows, so one large file is numbered by many tasks
-    n = row_ordinals(v, ["batch"], F.floor(F.col("row_key") / 4096), [F.col("row_key")], "id")
+    n = row_ordinals(v, ["batch"], [b.key_block("row_key", 2**24), b.key_block("row_key", 2**12)], [F.col("row_key")], "id")
     return n.select("row_key", (F.col("id") - 1).alias("id"), F.col("Date").alias("txn_date"),
                     F.col("Description").alias("description"), "amount_out", "amount_in", "predicted_category",
                     "corrected_category", F.round("confidence", 6).alias("confidence"), "transaction_source")
