@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from tallywise.constants import SOURCE_NAME_MAP, STAGES
-from tallywise.functions.dates import strip
+from tallywise.functions.dates import parse_with, strip
 
 STAMP = "yyyyMMdd_HHmmss"
 PERIOD = r"\d{4}-\d{2}"
@@ -87,8 +87,7 @@ def parse_name(name: Column) -> Column:
 
 
 def stamp_is_valid(stamp: Column) -> Column:
-    return (stamp.rlike(r"^\d{8}_\d{6}$")
-            & F.try_to_timestamp(stamp, F.lit(STAMP)).isNotNull())
+    return parse_with(stamp, STAMP).isNotNull()
 
 
 def name_is_standard(name: Column) -> Column:

@@ -211,10 +211,13 @@ def file_verdicts(files: DataFrame, scores: DataFrame, mapping: DataFrame, quali
     issue = F.array_compact(F.array(
         F.when(~is_pair & (F.col("filled") < F.col("n_rows") * 0.5),
                F.concat(F.lit("mostly empty: "), F.col("column"))),
-        F.when(is_amount & ratio.isNull(), F.concat(F.lit("cannot validate: "), F.col("column"))),
+        F.when((F.col("field") == "amount") & ratio.isNull(), F.concat(F.lit("cannot validate: "), F.col("column"))),
         F.when(is_amount & (ratio < 0.8), F.concat(F.lit("not numeric: "), F.col("column")))))
+    # one half of a pair may be empty, for a month without income, but not both
+    no_pair = F.when(F.max(F.when(is_pair, F.col("filled"))) == 0,
+                     F.array(F.lit("cannot validate: amount pair"))).otherwise(F.array())
     per_file = checked.groupBy("file").agg(
-        F.sort_array(F.flatten(F.collect_list(issue))).alias("column_issues"))
+        F.sort_array(F.concat(F.flatten(F.collect_list(issue)), no_pair)).alias("column_issues"))
     counts = quality.groupBy("file").agg(F.max("n_rows").alias("row_count"))
     joined = (files.join(scores.drop("name"), "file", "left").join(fields, "file", "left")
               .join(per_file, "file", "left").join(counts, "file", "left")

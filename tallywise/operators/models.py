@@ -12,13 +12,12 @@ from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normali
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallywise.constants import MAX_DF, MAX_FEATURES, MIN_CATEGORY_SAMPLES, MIN_DF, SPLIT_SEED
-from tallywise.functions.text import char_ngrams, padded_words, word_ngrams
 from tallywise.operators.scores import (average_precision, class_report, class_weights, macro_average,
                                         macro_f1, report_averages, roc_auc)
-from tallywise.operators.tfidf import encode_labels, stratified_split, term_counts, vocabulary
+from tallywise.operators.tfidf import encode_labels, fit_vocabulary, row_terms, stratified_split
 from tallywise.operators.validate import keep_frequent
 from tallywise.operators.vote import mean_confidence, three_way_vote
 
@@ -46,21 +45,14 @@ def make_learners(seed: int = SPLIT_SEED) -> dict:
     }
 
 
-def terms_of(text: Column, analyzer: str) -> Column:
-    if analyzer == "word":
-        return word_ngrams(text)
-    return F.flatten(F.transform(padded_words(text), lambda w: char_ngrams(w)))
-
-
-def fit_features(train: DataFrame, row: str, text: str, analyzer: str = "word",
+def fit_features(train: DataFrame, text: str, analyzer: str = "word",
                  min_df: int = MIN_DF, max_df: float = MAX_DF,
                  max_features: int = MAX_FEATURES) -> PipelineModel:
     """TF-IDF stages from the relational vocabulary.
 
     Only the vocabulary, at most ``max_features`` terms, reaches the driver.
     """
-    n = train.agg(F.count(F.lit(1))).scalar()
-    vocab = vocabulary(term_counts(train, row, text, analyzer), n, min_df, max_df, max_features)
+    vocab = fit_vocabulary(train, text, analyzer, min_df=min_df, max_df=max_df, max_features=max_features)
     terms = vocab.orderBy(F.desc("cf"), "term").select("term", "idf").collect()
     counter = CountVectorizerModel.from_vocabulary([t.term for t in terms], inputCol="terms",
                                                    outputCol="term_counts")
@@ -73,7 +65,7 @@ def fit_features(train: DataFrame, row: str, text: str, analyzer: str = "word",
 def featurise(df: DataFrame, text: str, features: PipelineModel, analyzer: str = "word"
               ) -> DataFrame:
     """Add the feature vector row by row; no shuffle."""
-    with_terms = df.withColumn("terms", terms_of(F.coalesce(F.col(text), F.lit("")), analyzer))
+    with_terms = df.withColumn("terms", row_terms(F.coalesce(F.col(text), F.lit("")), analyzer))
     return features.transform(with_terms).drop("terms", "term_counts", "scaled")
 
 
@@ -86,14 +78,14 @@ def prepare(df: DataFrame, row: str, text: str, label: str,
     return stratified_split(coded, row, label, seed=seed)
 
 
-def train(prepared: DataFrame, row: str, text: str, label: str, analyzer: str = "word",
+def train(prepared: DataFrame, text: str, label: str, analyzer: str = "word",
           learners: dict | None = None, **limits) -> SourceModels:
     """Fit the features and every learner on the train part, with balanced weights.
 
     A learner that fails is reported and left out.
     """
     train_rows = prepared.where(~F.col("is_test"))
-    features = fit_features(train_rows, row, text, analyzer, **limits)
+    features = fit_features(train_rows, text, analyzer, **limits)
     weights = class_weights(train_rows, "code").select("code", "weight")
     ready = featurise(train_rows, text, features, analyzer).join(weights, "code").select(
         "code", "weight", "features")
@@ -187,11 +179,11 @@ class MacroF1Evaluator(Evaluator):
         return MacroF1Evaluator(self.label, self.prediction)
 
 
-def search(prepared: DataFrame, row: str, text: str, regs: list[float], analyzer: str = "word",
+def search(prepared: DataFrame, text: str, regs: list[float], analyzer: str = "word",
            seed: int = SPLIT_SEED, **limits) -> tuple[Model, list[float]]:
     """Best logistic model over a small grid by macro F1, and the scores tried."""
     train_rows = prepared.where(~F.col("is_test"))
-    features = fit_features(train_rows, row, text, analyzer, **limits)
+    features = fit_features(train_rows, text, analyzer, **limits)
     weights = class_weights(train_rows, "code").select("code", "weight")
     ready = featurise(train_rows, text, features, analyzer).join(weights, "code").select(
         "code", "weight", "features")

@@ -11,51 +11,72 @@ from tallywise.operators.ordered import running_sums
 SPLIT_PREFIX = 4  # hexadecimal digits: 65536 buckets per label
 
 
-def term_counts(df: DataFrame, row: str, text: str, analyzer: str = "word") -> DataFrame:
-    """``(row, term, tf)``. Counts combine on the map side before the shuffle."""
+def row_terms(text: Column, analyzer: str = "word") -> Column:
+    """All terms of a row, repeats included."""
     if analyzer == "word":
-        terms = df.select(row, F.explode(word_ngrams(F.col(text))).alias("term"))
-        return terms.groupBy(row, "term").agg(F.count(F.lit(1)).alias("tf"))
-    # equal words of a row are counted once before they are cut into n-grams
-    tokens = df.select(row, F.explode(padded_words(F.col(text))).alias("word"))
-    distinct = tokens.groupBy(row, "word").agg(F.count(F.lit(1)).alias("k"))
-    grams = distinct.select(row, "k", F.explode(char_ngrams(F.col("word"))).alias("term"))
-    return grams.groupBy(row, "term").agg(F.sum("k").alias("tf"))
+        return word_ngrams(text)
+    return F.flatten(F.transform(padded_words(text), lambda w: char_ngrams(w)))
 
 
-def vocabulary(counts: DataFrame, n_rows: Column, min_df: int = MIN_DF, max_df: float = MAX_DF,
+def term_stats(df: DataFrame, text: str, analyzer: str = "word") -> DataFrame:
+    """``(term, df, cf)``: rows with the term, and its occurrences.
+
+    A term counts once per row through the row's distinct terms, so nothing is
+    shuffled per (row, term): both counts combine on the map side, and only one
+    line per task and term is exchanged.
+    """
+    terms = row_terms(F.col(text), analyzer)
+    once = df.select(F.explode(F.array_distinct(terms)).alias("term"),
+                     F.lit(1).cast("long").alias("df"), F.lit(0).cast("long").alias("cf"))
+    if analyzer == "word":
+        every = df.select(F.explode(terms).alias("term"), F.lit(0).cast("long").alias("df"),
+                          F.lit(1).cast("long").alias("cf"))
+    else:
+        # equal words are counted before they are cut into n-grams
+        words = df.select(F.explode(padded_words(F.col(text))).alias("word"))
+        counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("cf"))
+        every = counted.select(F.explode(char_ngrams(F.col("word"))).alias("term"),
+                               F.lit(0).cast("long").alias("df"), "cf")
+    return once.unionByName(every).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
+def vocabulary(stats: DataFrame, n_rows: Column, min_df: int = MIN_DF, max_df: float = MAX_DF,
                max_features: int = MAX_FEATURES) -> DataFrame:
     """``(term, df, cf, idf)`` of the most frequent terms within the df bounds.
 
     Ties at the limit go to the smaller term. ``n_rows`` is the number of
     fitted rows.
     """
-    stats = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     fit = (F.col("df") >= min_df) & (F.col("df") <= n_rows * max_df)
     return (stats.where(fit).orderBy(F.desc("cf"), "term").limit(max_features)
             .withColumn("idf", F.log((n_rows + 1) / (F.col("df") + 1)) + 1))
 
 
-def weigh(counts: DataFrame, vocab: DataFrame, row: str) -> DataFrame:
+def weigh(df: DataFrame, row: str, text: str, vocab: DataFrame, analyzer: str = "word"
+          ) -> DataFrame:
     """``(row, term, weight)``: tf times idf, scaled to length one per row.
 
     The vocabulary holds at most ``max_features`` terms, so it is broadcast and
-    drops all other terms before the rows are brought together; a row then has
-    at most that many terms.
+    drops all other terms before anything is shuffled; a row then has at most
+    that many terms.
     """
-    raw = counts.join(F.broadcast(vocab.select("term", "idf")), "term").select(
+    terms = df.select(row, F.explode(row_terms(F.col(text), analyzer)).alias("term"))
+    known = terms.join(F.broadcast(vocab.select("term", "idf")), "term")
+    raw = known.groupBy(row, "term", "idf").agg(F.count(F.lit(1)).alias("tf")).select(
         row, "term", (F.col("tf") * F.col("idf")).alias("raw"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(row)))
     return raw.select(row, "term", (F.col("raw") / norm).alias("weight"))
 
 
+def fit_vocabulary(df: DataFrame, text: str, analyzer: str = "word", **limits) -> DataFrame:
+    return vocabulary(term_stats(df, text, analyzer), df.agg(F.count(F.lit(1))).scalar(), **limits)
+
+
 def fit_tfidf(df: DataFrame, row: str, text: str, analyzer: str = "word",
               **limits) -> tuple[DataFrame, DataFrame]:
     """Vocabulary and weights of the same rows."""
-    counts = term_counts(df, row, text, analyzer)
-    n = df.agg(F.count(F.lit(1))).scalar()
-    vocab = vocabulary(counts, n, **limits)
-    return vocab, weigh(counts, vocab, row)
+    vocab = fit_vocabulary(df, text, analyzer, **limits)
+    return vocab, weigh(df, row, text, vocab, analyzer)
 
 
 def apply_tfidf(df: DataFrame, row: str, text: str, vocab: DataFrame,
@@ -64,8 +85,7 @@ def apply_tfidf(df: DataFrame, row: str, text: str, vocab: DataFrame,
 
     Every row is kept: one without a known term has a null term and no weight.
     """
-    weights = weigh(term_counts(df, row, text, analyzer), vocab, row)
-    return df.select(row).join(weights, row, "left")
+    return df.select(row).join(weigh(df, row, text, vocab, analyzer), row, "left")
 
 
 def encode_labels(df: DataFrame, label: str) -> DataFrame:

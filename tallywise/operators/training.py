@@ -92,7 +92,7 @@ def retrain(spark: SparkSession, training: DataFrame, source: str, row: str, pat
     try:
         rows = training.where(F.col("transaction_source") == source)
         prepared = ml.prepare(rows, row, "Description", "Category")
-        fitted = ml.train(prepared, row, "Description", "Category", analyzer, **limits)
+        fitted = ml.train(prepared, "Description", "Category", analyzer, **limits)
         ml.save_models(fitted, f"{path}/{source}")
         return fitted
     except Exception as e:

@@ -13,9 +13,8 @@ def three_way_vote(labels: list[Column]) -> Column:
     Works inside the row, so it needs no shuffle. A model that gave no label is
     left out.
     """
-    s = F.array_sort(F.array_compact(F.array(*labels)))
-    second, third = F.try_element_at(s, F.lit(2)), F.try_element_at(s, F.lit(3))
-    return F.when(second == third, second).otherwise(F.try_element_at(s, F.lit(1)))
+    a, b, c = (labels + [F.lit(None)] * 3)[:3]
+    return F.when((a == b) | (a == c), a).when(b == c, b).otherwise(F.least(a, b, c))
 
 
 def mean_confidence(confidences: list[Column]) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tallywise.functions.money import split_signed
 from tallywise.operators.ordered import row_ordinals
 from tallywise.operators.vote import mean_confidence, three_way_vote
+from tallywise.sources.files import scan_table
 
 LABELS = ["Expenses:Dining", "Expenses:Fees", "Expenses:Groceries", "Expenses:Health",
           "Expenses:Travel"]
@@ -18,7 +19,7 @@ SQL_LABELS = "['Expenses:Dining','Expenses:Fees','Expenses:Groceries','Expenses:
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return scan_table(spark, f"{d}/{name}.parquet")
 
 
 def pick(index: Column) -> Column:
@@ -177,17 +178,15 @@ LAYOUTS = [
     (4, 0, "DATE", "date"), (4, 1, "DESCRIPTION", "text"), (4, 2, "AMOUNT", "amount"),
     (5, 0, "When", "date"), (5, 1, "What", "text"), (5, 2, "HowMuch", "amount"),
 ]
-MONTH = F.format_string("%d-%02d", (F.lit(1995) + F.col("file") % 7).cast("long"),
-                        (F.col("file") % 12 + 1).cast("long"))
-
-
 def files(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("file") % 6
-    name = (F.when(k == 0, F.concat(F.lit("House Kitty Transactions - Cash "), MONTH, F.lit(".csv")))
-            .when(k == 1, F.concat(F.lit("visa statement "), MONTH, F.lit(".csv")))
+    month = F.format_string("%d-%02d", (F.lit(1995) + F.col("file") % 7).cast("long"),
+                            (F.col("file") % 12 + 1).cast("long"))
+    name = (F.when(k == 0, F.concat(F.lit("House Kitty Transactions - Cash "), month, F.lit(".csv")))
+            .when(k == 1, F.concat(F.lit("visa statement "), month, F.lit(".csv")))
             .when(k == 2, F.concat(F.lit("ledger "), F.col("file").cast("string"), F.lit(".csv")))
-            .when(k == 3, F.concat(F.lit("Grocery Expenses "), MONTH, F.lit(".csv")))
-            .when(k == 4, F.concat(F.lit("For Automl Statement UNIONBANK Visa "), MONTH, F.lit(".csv")))
+            .when(k == 3, F.concat(F.lit("Grocery Expenses "), month, F.lit(".csv")))
+            .when(k == 4, F.concat(F.lit("For Automl Statement UNIONBANK Visa "), month, F.lit(".csv")))
             .otherwise(F.concat(F.lit("notes "), F.col("file").cast("string"), F.lit(".csv"))))
     return (table(spark, d, "customer").select(F.col("c_custkey").alias("file"))
             .select("file", k.cast("int").alias("layout"), name.alias("name"),

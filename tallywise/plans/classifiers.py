@@ -23,7 +23,7 @@ def rounded(df):
 @query("k06_k09_train_and_evaluate")
 def train_and_evaluate(spark, d):
     rows = documents(spark, d)
-    fitted = ml.train(rows, "doc_id", "text", "label")
+    fitted = ml.train(rows, "text", "label")
     held_out = ml.model_columns(rows.where("is_test"), "text", fitted)
     held_out = materialise(spark, held_out.drop("text"), "scored")
     out = None
@@ -37,7 +37,7 @@ def train_and_evaluate(spark, d):
 def model_search(spark, d):
     rows = documents(spark, d)
     regs = [1e-3, 1e-1]
-    _, scores = ml.search(rows, "doc_id", "text", regs, max_features=1000)
+    _, scores = ml.search(rows, "text", regs, max_features=1000)
     tried = spark.createDataFrame(list(zip(regs, scores)), "reg double, macro_f1 double")
     n = rows.agg(F.count(F.lit(1))).scalar()
     return rounded(tried.withColumn("n_rows", n))
@@ -50,7 +50,7 @@ def predict(spark, d):
     fitted = {}
     for source, analyzer in (("household", "word"), ("credit_card", "char_wb")):
         rows = materialise(spark, ml.prepare(led.where(F.col("transaction_source") == source), "txn_id", "description", "label"), "prepared")
-        fitted[source] = ml.train(rows, "txn_id", "description", "label", analyzer, max_features=500)
+        fitted[source] = ml.train(rows, "description", "label", analyzer, max_features=500)
     mixed = led.withColumn("transaction_source", F.when(F.col("txn_id") % 50 == 0, "unknown").otherwise(F.col("transaction_source")))
     return rounded(ml.predict_by_source(mixed, "description", fitted).select(
         "txn_id", "transaction_source", "label", "predicted_category", "confidence"))

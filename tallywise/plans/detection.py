@@ -106,9 +106,11 @@ def required_fields(spark, d):
 VERDICT = SAMPLE + """, q AS (SELECT file, "column", COUNT(*) AS n, COUNT(value) AS filled, COUNT(TRY_CAST(value AS DOUBLE)) AS num FROM file_cells GROUP BY ALL),
 probs AS (SELECT m.file, unnest(list_filter([
    CASE WHEN field NOT IN ('amount_out', 'amount_in') AND filled < n * 0.5 THEN 'mostly empty: ' || m."column" END,
-   CASE WHEN field IN ('amount', 'amount_out', 'amount_in') AND filled = 0 THEN 'cannot validate: ' || m."column" END,
+   CASE WHEN field = 'amount' AND filled = 0 THEN 'cannot validate: ' || m."column" END,
    CASE WHEN field IN ('amount', 'amount_out', 'amount_in') AND num < filled * 0.8 THEN 'not numeric: ' || m."column" END], lambda x: x IS NOT NULL)) AS issue
- FROM mapping m JOIN q ON q.file = m.file AND q."column" = m."column"),
+ FROM mapping m JOIN q ON q.file = m.file AND q."column" = m."column"
+ UNION ALL SELECT m.file, 'cannot validate: amount pair' FROM mapping m JOIN q ON q.file = m.file AND q."column" = m."column" WHERE field IN ('amount_out', 'amount_in')
+ GROUP BY m.file HAVING MAX(filled) = 0),
 colissues AS (SELECT file, list_sort(list(issue)) AS ci FROM probs GROUP BY 1),
 fields AS (SELECT file, list(field) AS fs, string_agg(field || '=' || "column", ';' ORDER BY field) AS detected FROM mapping GROUP BY 1),
 cnt AS (SELECT file, COUNT(*) AS n FROM numbered GROUP BY 1),

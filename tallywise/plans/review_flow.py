@@ -41,17 +41,17 @@ def review_summary(spark, d):
 
 
 @query("raw_to_review_queue", f"""WITH {b.PREDICTIONS} SELECT txn_id, strftime(txn_date, '%Y-%m-%d') AS txn_date, description, amount_out, amount_in, predicted_category,
- ROUND(confidence, 6) AS confidence FROM predictions WHERE confidence < 0.7 AND amount_out + amount_in >= 10""")
+ ROUND(confidence, 6) AS confidence FROM predictions WHERE confidence < 0.7""")
 def raw_to_review_queue(spark, d):
     """Raw money and date text, cleaned, voted on and filtered to the review queue."""
     text = b.votes(spark, d).where(F.col("txn_id") % 101 != 0).select(
         "*", F.date_format("txn_date", "M/d/yyyy").alias("date_text"), F.concat(F.lit("  "), "description", F.lit(" ")).alias("raw_text"),
         F.concat(F.lit(" "), (F.col("amount_out") - F.col("amount_in")).cast("string")).alias("money_text"))
-    out, inn = split_signed(lenient_money(F.col("money_text")))
-    clean = text.select(
+    typed = text.select(
         "txn_id", lenient_date(F.col("date_text")).alias("txn_date"), normal_description(F.col("raw_text")).alias("description"),
-        out.alias("amount_out"), inn.alias("amount_in"),
+        lenient_money(F.col("money_text")).alias("signed"),
         b.pick(vote.three_way_vote([F.col(f"code{i}") for i in (1, 2, 3)])).alias("predicted_category"),
         vote.mean_confidence([F.col(f"conf{i}") for i in (1, 2, 3)]).alias("confidence"))
-    q = review.review_queue(clean).where(F.col("amount_out") + F.col("amount_in") >= 10)
-    return q.withColumn("confidence", r6(F.col("confidence")))
+    out, inn = split_signed(F.col("signed"))
+    clean = typed.withColumns({"amount_out": out, "amount_in": inn}).drop("signed")
+    return review.review_queue(clean).withColumn("confidence", r6(F.col("confidence")))

@@ -22,8 +22,7 @@ weights AS (SELECT {row}, term, w / sqrt(SUM(w * w) OVER (PARTITION BY {row})) A
 @query("k01_vocabulary", f"""WITH {WORDS}, {FIT.format(docs='documents', tf='tf')}
 SELECT term, df, CAST(cf AS BIGINT) AS cf, ROUND(idf, 6) AS idf FROM vocab""")
 def vocabulary(spark, d):
-    docs = b.table(spark, d, "documents")
-    v = tfidf.vocabulary(tfidf.term_counts(docs, "doc_id", "text"), docs.agg(F.count(F.lit(1))).scalar())
+    v = tfidf.fit_vocabulary(b.table(spark, d, "documents"), "text")
     return v.withColumn("idf", r6(F.col("idf")))
 
 
@@ -56,7 +55,7 @@ SELECT d.doc_id, term, ROUND(weight, 6) AS weight FROM documents d LEFT JOIN wei
 def apply_vocabulary(spark, d):
     docs = b.table(spark, d, "documents").select("doc_id", "text")
     train, rest = docs.where("doc_id % 5 <> 0"), docs.where("doc_id % 5 = 0")
-    vocab, _ = tfidf.fit_tfidf(train, "doc_id", "text")
+    vocab = tfidf.fit_vocabulary(train, "text")
     return tfidf.apply_tfidf(rest, "doc_id", "text", vocab).withColumn("weight", r6(F.col("weight")))
 
 
