@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallywise.constants import OPTIONAL_COMPONENT, REQUIRED_COMPONENT
+from tallywise.constants import OPTIONAL_COMPONENT, REQUIRED_COMPONENT, SOURCES
 from tallywise.operators.ordered import first_rows
 
 REGISTRY_SCHEMA = (
@@ -108,8 +108,8 @@ def component_availability(latest: DataFrame, sources: DataFrame, models: list[s
 
 
 def source_model_version(latest: DataFrame, model: str) -> DataFrame:
-    """``v{n}`` of ``{source}_{model}`` per source."""
+    """``v{n}`` of ``{source}_{model}``, one row for each of the two sources."""
     name = F.regexp_extract("model", rf"^(.+)_{model}$", 1)
-    return latest.where(name != "").select(
+    return latest.where(name.isin(SOURCES)).select(
         name.alias("transaction_source"),
         F.concat(F.lit("v"), F.col("version").cast("string")).alias("source_model_version"))

@@ -60,7 +60,9 @@ mapping AS (SELECT file, field, "column" FROM hits WHERE k = 1 AND NOT (field =
 
 
 def mapping(spark, d):
-    return detect.column_mapping(b.file_columns(spark, d), scores(spark, d))
+    """Column mapping of every file, stored because several steps read it."""
+    found = materialise(spark, scores(spark, d), "scores")
+    return materialise(spark, detect.column_mapping(b.file_columns(spark, d), found), "mapping")
 
 
 @query("c04_column_mapping", f"""WITH {MAPPING} SELECT file, field, "column" FROM mapping""")

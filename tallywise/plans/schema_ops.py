@@ -150,13 +150,12 @@ def accounting_projection(spark, d):
 
 
 @query("c15_review_view", f"""WITH {b.CORRECTED_FILE}
-SELECT row_key, ROW_NUMBER() OVER (ORDER BY row_key) - 1 AS id, strftime(txn_date, '%Y-%m-%d') AS txn_date, description, amount_out,
+SELECT row_key, ROW_NUMBER() OVER (PARTITION BY transaction_source ORDER BY row_key) - 1 AS id, strftime(txn_date, '%Y-%m-%d') AS txn_date, description, amount_out,
  amount_in, category AS predicted_category, category AS corrected_category, ROUND(confidence, 6) AS confidence, transaction_source FROM corrected_file""")
 def review_view(spark, d):
-    f = b.corrected_file(spark, d).withColumn("batch", F.lit("file"))
-    v = slim(ops.review_view(f, ["batch", "row_key"]))
-    # file order in blocks of rows, so one large file is numbered by many tasks
-    n = row_ordinals(v, ["batch"], [b.key_block("row_key", 2**24), b.key_block("row_key", 2**12)], [F.col("row_key")], "id")
+    # one file per source; the ordinal is the position in the file
+    v = slim(ops.review_view(b.corrected_file(spark, d), ["row_key"]))
+    n = row_ordinals(v, ["transaction_source"], [b.key_block("row_key", 2**24), b.key_block("row_key", 2**12)], [F.col("row_key")], "id")
     return n.select("row_key", (F.col("id") - 1).alias("id"), F.col("Date").alias("txn_date"),
                     F.col("Description").alias("description"), "amount_out", "amount_in", "predicted_category",
                     "corrected_category", F.round("confidence", 6).alias("confidence"), "transaction_source")
