@@ -114,7 +114,9 @@ DEFAULT_ACCOUNT = {
 MAX_FEATURES = 5000
 MIN_DF = 2
 MAX_DF = 0.95
-TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
+# word characters are letters, digits and underscore of any script; the plain
+# ranges come first because they are tested fastest
+TOKEN_PATTERN = r"[a-z0-9_\p{L}\p{N}]{2,}+"
 
 # --- fixed values: category families ----------------------------------------
 STAFF_BASE = "Expenses:Household Staff"

@@ -25,18 +25,19 @@ def term_stats(df: DataFrame, text: str, analyzer: str = "word") -> DataFrame:
     shuffled per (row, term): both counts combine on the map side, and only one
     line per task and term is exchanged.
     """
-    terms = row_terms(F.col(text), analyzer)
-    once = df.select(F.explode(F.array_distinct(terms)).alias("term"),
-                     F.lit(1).cast("long").alias("df"), F.lit(0).cast("long").alias("cf"))
     if analyzer == "word":
-        every = df.select(F.explode(terms).alias("term"), F.lit(0).cast("long").alias("df"),
-                          F.lit(1).cast("long").alias("cf"))
-    else:
-        # equal words are counted before they are cut into n-grams
-        words = df.select(F.explode(padded_words(F.col(text))).alias("word"))
-        counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("cf"))
-        every = counted.select(F.explode(char_ngrams(F.col("word"))).alias("term"),
-                               F.lit(0).cast("long").alias("df"), "cf")
+        # one pass: the distinct terms and all terms of a row, told apart by position
+        lists = df.select(row_terms(F.col(text)).alias("terms")).select(
+            F.posexplode(F.array(F.array_distinct("terms"), F.col("terms"))).alias("all", "terms"))
+        return (lists.select("all", F.explode("terms").alias("term")).groupBy("term")
+                .agg(F.sum(1 - F.col("all")).alias("df"), F.sum("all").alias("cf")))
+    once = df.select(F.explode(F.array_distinct(row_terms(F.col(text), analyzer))).alias("term"),
+                     F.lit(1).cast("long").alias("df"), F.lit(0).cast("long").alias("cf"))
+    # equal words are counted before they are cut into n-grams
+    words = df.select(F.explode(padded_words(F.col(text))).alias("word"))
+    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("cf"))
+    every = counted.select(F.explode(char_ngrams(F.col("word"))).alias("term"),
+                           F.lit(0).cast("long").alias("df"), "cf")
     return once.unionByName(every).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
