@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tallywise.functions.money import split_signed
 from tallywise.operators.ordered import row_ordinals
 from tallywise.operators.vote import mean_confidence, three_way_vote
-from tallywise.sources.files import scan_table
+from tallywise.session import scan_table
 
 LABELS = ["Expenses:Dining", "Expenses:Fees", "Expenses:Groceries", "Expenses:Health",
           "Expenses:Travel"]

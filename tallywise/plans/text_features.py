@@ -49,14 +49,14 @@ def tfidf_char(spark, d):
     return w.withColumn("weight", r6(F.col("weight")))
 
 
-@query("k03_apply_vocabulary", f"""WITH {WORDS}, tr AS (SELECT * FROM tf WHERE doc_id % 5 <> 0), te AS (SELECT * FROM tf WHERE doc_id % 5 = 0),
-{FIT.format(docs='documents WHERE doc_id % 5 <> 0', tf='tr')}, {WEIGHTS.format(row='doc_id', tf='te')}
-SELECT d.doc_id, term, ROUND(weight, 6) AS weight FROM documents d LEFT JOIN weights w ON w.doc_id = d.doc_id WHERE d.doc_id % 5 = 0""")
+@query("k03_apply_vocabulary", f"""WITH {WORDS}, tr AS (SELECT tf.* FROM tf JOIN documents d ON d.doc_id = tf.doc_id WHERE lang = 'en'),
+{FIT.format(docs="documents WHERE lang = 'en'", tf='tr')}, {WEIGHTS.format(row='doc_id', tf='tf')}
+SELECT d.doc_id, term, ROUND(weight, 6) AS weight FROM documents d LEFT JOIN weights w ON w.doc_id = d.doc_id""")
 def apply_vocabulary(spark, d):
-    docs = b.table(spark, d, "documents").select("doc_id", "text")
-    train, rest = docs.where("doc_id % 5 <> 0"), docs.where("doc_id % 5 = 0")
-    vocab = tfidf.fit_vocabulary(train, "text")
-    return tfidf.apply_tfidf(rest, "doc_id", "text", vocab).withColumn("weight", r6(F.col("weight")))
+    """A vocabulary fitted on one language, applied to the whole table."""
+    docs = b.table(spark, d, "documents").select("doc_id", "text", "lang")
+    vocab = tfidf.fit_vocabulary(docs.where("lang = 'en'"), "text")
+    return tfidf.apply_tfidf(docs, "doc_id", "text", vocab).withColumn("weight", r6(F.col("weight")))
 
 
 @query("k04_label_codes", f"WITH {b.CATEGORIES} SELECT category, DENSE_RANK() OVER (ORDER BY category) - 1 AS code FROM (SELECT DISTINCT category FROM categories)")

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+SPREAD_BYTES = 128 * 1024
+SPLIT_BYTES = 128 * 1024 * 1024  # default size of one split
 
 
 def build_session(app: str = "tallywise", master: str | None = None,
@@ -52,8 +55,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/tallywise/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(spark: SparkSession, df, name: str):
+def scan_table(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet scan that uses all cores even when the table is one small file.
+
+    A file with a single row group is one task however many cores there are.
+    Only then are its rows dealt out; a table that already comes in as many
+    splits as there are cores, as every large one does, is not shuffled.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = min(cores, size // SPREAD_BYTES)
+    return df.repartition(parts) if size < cores * SPLIT_BYTES and parts > 1 else df
+
+
+def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by writing a table to the shared folder and reading it back."""
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return scan_table(spark, path)

@@ -18,24 +18,6 @@ METRICS_JSON = (
     "std: double, low_confidence_rate: double>, category_distribution map<string, long>")
 
 
-SPREAD_BYTES = 256 * 1024
-SPLIT_BYTES = 128 * 1024 * 1024  # default size of one split
-
-
-def scan_table(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet scan that uses all cores even when the table is one small file.
-
-    A file with a single row group is one task however many cores there are.
-    Only then are its rows dealt out; a table that already comes in as many
-    splits as there are cores, as every large one does, is not shuffled.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    parts = min(cores, size // SPREAD_BYTES)
-    return df.repartition(parts) if size < cores * SPLIT_BYTES and parts > 1 else df
-
-
 def scan_csv(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """CSV with a header, every column as text, with the file it came from."""
     raw = spark.read.option("header", True).csv(paths)

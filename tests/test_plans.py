@@ -1,5 +1,8 @@
 """Shapes of the physical plans."""
 
+import subprocess
+import sys
+
 import pytest
 
 from tallywise.plans import load
@@ -35,3 +38,8 @@ def test_row_level_queries_do_not_shuffle(spark, sf):
 
 def test_small_tables_are_not_dealt_out(spark, sf):
     assert "RoundRobin" not in plan_of(QUERIES["c12_debit_credit"](spark, sf))
+
+
+def test_queries_load_without_a_session():
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) < set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=60)
