@@ -178,8 +178,7 @@ def accounting_projection(df: DataFrame, extra: list[str] | None = None) -> Data
     cols = df.columns
     labels = [F.col(c) for c in ("Category", "predicted_category") if c in cols]
     empty, zero = F.lit(""), F.lit("0")
-    as_text = df.select("*")
-    return as_text.select(
+    return df.select(
         *(extra or []),
         canonical("Date", cols, empty).alias("Date"),
         canonical("Description", cols, empty).alias("Description"),
