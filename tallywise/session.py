@@ -12,11 +12,13 @@ SPLIT_BYTES = 128 * 1024 * 1024  # default size of one split
 
 
 def build_session(app: str = "tallywise", master: str | None = None,
-                  shuffle_partitions: int | None = None) -> SparkSession:
+                  shuffle_partitions: int | None = None, scratch: str | None = None) -> SparkSession:
     """A session with adaptive execution, skew handling and UTC time.
 
     On a cluster leave ``master`` and ``shuffle_partitions`` unset: adaptive
     execution starts from ``initialPartitionNum`` and merges small partitions.
+    ``scratch`` becomes ``spark.checkpoint.dir``; leave it unset where the
+    cluster names that folder itself.
     """
     b = (SparkSession.builder.appName(app)
          .config("spark.sql.session.timeZone", "UTC")
@@ -26,6 +28,8 @@ def build_session(app: str = "tallywise", master: str | None = None,
          .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.ui.enabled", "false"))
+    if scratch:
+        b = b.config("spark.checkpoint.dir", scratch)
     if master:
         b = b.master(master)
     if shuffle_partitions:
@@ -33,21 +37,25 @@ def build_session(app: str = "tallywise", master: str | None = None,
     return b.getOrCreate()
 
 
+_LOCAL_SCRATCH: list[str] = []
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session may fall back to a temporary folder; on a
-    cluster executors could not see it, so an unset value is an error there.
+    Only a session in local mode, where driver and tasks are one process, may
+    do without the setting; it then uses one temporary folder. On a cluster
+    other machines could not see that, so an unset value is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="tallywise-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if root:
+        return root
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    if not _LOCAL_SCRATCH:
+        _LOCAL_SCRATCH.append(tempfile.mkdtemp(prefix="tallywise-"))
+    return _LOCAL_SCRATCH[0]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -5,10 +5,8 @@ from tallywise.session import build_session
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    s = build_session("tests", master="local[8]", shuffle_partitions=8)
+    s = build_session("tests", master="local[8]", shuffle_partitions=8, scratch=str(tmp_path_factory.mktemp("scratch")))
     s.sparkContext.setLogLevel("ERROR")
-    if s.conf.get("spark.checkpoint.dir", None) is None:
-        s.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("scratch")))
     yield s
     s.stop()
 
