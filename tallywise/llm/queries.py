@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallywise.llm import bpe, chat, exact, shards, simhash
+from tallywise.llm import bpe, chat, exact, shards, simhash, suffix
 from tallywise.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +78,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.assign_shards(spark, table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
                          F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op9_suffix_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.keep_digests(suffix.repeated_bytes(spark, table(spark, sf_dir, "documents")))
