@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallywise.llm import bpe, chat, exact, shards, simhash, suffix
+from tallywise.llm import bpe, chat, decontam, exact, langid, quality, shards, simhash, suffix, toxicity
 from tallywise.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +83,23 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_suffix_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.keep_digests(suffix.repeated_bytes(spark, table(spark, sf_dir, "documents")))
+
+
+@query("op6_subword_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_decontaminate")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
