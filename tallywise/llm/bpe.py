@@ -17,7 +17,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tallywise.llm.common import small_batches, text_or_empty
+from tallywise.llm.common import prepare_workers, text_or_empty
 
 CHUNK = 16_384
 SAFE = regex.compile(r"(?<=\p{L})(?= \p{L})")
@@ -50,7 +50,7 @@ def encode(spark: SparkSession, docs: DataFrame, rank_file: str, pattern: str, i
     A null text counts as empty and gives an empty array. Repeated rows are
     encoded each; null ids pass through; other columns are ignored.
     """
-    small_batches(spark)
+    prepare_workers(spark)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("body"))
     out = rows.select("doc_id").schema.add("ids", T.ArrayType(T.IntegerType()))
 
@@ -67,7 +67,7 @@ def encode(spark: SparkSession, docs: DataFrame, rank_file: str, pattern: str, i
 
 def decode(spark: SparkSession, tokens: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """Adds ``decoded``, the raw bytes of ``ids`` (null ids: null); cut characters stay as they are."""
-    small_batches(spark)
+    prepare_workers(spark)
     out = tokens.select("doc_id", "ids").schema.add("decoded", T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

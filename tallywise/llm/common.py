@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallywise.session import scratch_path
@@ -14,8 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that a worker holds few texts at a time however long they are."""
+_SHIPPED: set[str] = set()
+
+
+def prepare_workers(spark: SparkSession) -> None:
+    """Send this library to the Python workers once per application, wherever the driver found it.
+
+    Arrow batches are kept small, so that a worker holds few texts at a time however long they are.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        base = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="tallywise-")), "tallywise_package")
+        context.addPyFile(shutil.make_archive(base, "zip", root, "tallywise"))
+        _SHIPPED.add(context.applicationId)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tallywise.llm.common import small_batches, text_or_empty
+from tallywise.llm.common import prepare_workers, text_or_empty
 
 EDIT_SHARE = 0.06
 BLOCK_CHARS = 1_000_000  # of item text in one automaton; more items mean more scans, not a larger automaton
@@ -143,7 +143,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, share:
     and items give a row each; null ids pass through. Empty tables give an empty
     result; other columns are ignored.
     """
-    small_batches(spark)
+    prepare_workers(spark)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("body"))
     out = rows.select("doc_id").schema.add("item_id", items.schema["item_id"].dataType)
     for name in ("distance", "start", "stop"):

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallywise.llm.common import save, text_or_empty
+from tallywise.llm.common import prepare_workers, save, text_or_empty
 
 COUNTERS = 1024
 FAN_IN = 128
@@ -64,6 +64,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     rows with the id that stays are all marked as kept. An empty table gives an
     empty result; other columns of ``docs`` are ignored.
     """
+    prepare_workers(spark)
     text = F.regexp_replace(text_or_empty(text_col), r"[\x20\x09-\x0D]+", " ")
     digests = save(spark, docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest")),
                    "digests")

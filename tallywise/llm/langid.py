@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tallywise.llm.common import held_out, small_batches, text_or_empty
+from tallywise.llm.common import held_out, prepare_workers, text_or_empty
 from tallywise.llm.learn import ftrl, labelled_sample, sample_features, softmax, temperature
 
 SIZE = 1 << 16
@@ -84,7 +84,7 @@ class Model:
 def train(spark: SparkSession, docs: DataFrame, learn, id_col: str, text_col: str, lang_col: str,
           sample: int = SAMPLE) -> Model | None:
     """Fit on rows where ``learn`` holds and the language is known; None without any."""
-    small_batches(spark)
+    prepare_workers(spark)
     rows = docs.where(learn).where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(
         F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{lang_col}`").alias("label"), text_or_empty(text_col).alias("body"))
     held = sample_features(rows.select("doc_id", "body"), labelled_sample(rows.select("doc_id", "label"), sample), features)

@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tallywise.llm.common import held_out, small_batches, text_or_empty
+from tallywise.llm.common import held_out, prepare_workers, text_or_empty
 from tallywise.llm.learn import labelled_sample, sample_features, softmax
 
 BUCKETS = 1 << 17
@@ -115,7 +115,7 @@ def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_co
     once. Null ids are scored and not learned from; repeated rows get the same
     score; an empty table gives an empty result; other columns are ignored.
     """
-    small_batches(spark)
+    prepare_workers(spark)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), held_out(5, 0, id_col).alias("held_out"),
                        text_or_empty(text_col).alias("body"))
     known = labels.select("doc_id", F.col(f"`{label_col}`").cast("int").alias("label")).where("label in (0, 1)")

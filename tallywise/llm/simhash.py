@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tallywise.llm.common import components, id_and_bytes, save, small_batches
+from tallywise.llm.common import components, id_and_bytes, save, prepare_workers
 
 SEED = 42
 SEGMENT = 32
@@ -73,7 +73,7 @@ def fingerprint(body: bytes, words: int, lanes: int) -> list[int]:
 def fingerprints(spark: SparkSession, docs: DataFrame, words: int, lanes: int = 1, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """doc_id and print (array of ``lanes`` longs) of every row."""
-    small_batches(spark)
+    prepare_workers(spark)
     rows = id_and_bytes(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallywise.llm.common import id_and_bytes, small_batches
+from tallywise.llm.common import id_and_bytes, prepare_workers
 
 LENGTH = 50
 GRAM = 24
@@ -432,7 +432,7 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
     others, and rows with the same id never take from each other. An empty
     table gives an empty result; other columns are ignored.
     """
-    small_batches(spark)
+    prepare_workers(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * parts
     rows = id_and_bytes(docs, id_col, text_col).select(
