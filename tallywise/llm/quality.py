@@ -24,8 +24,8 @@ from tallywise.llm.learn import labelled_sample, sample_features, softmax
 BUCKETS = 1 << 17
 WIDTH = 16
 GRAMS = (3, 4)
-SAMPLE = 5000  # labelled rows that the vectors are fitted on
-EPOCHS = 4
+SAMPLE = 3000  # labelled rows that the vectors are fitted on
+EPOCHS = 3
 RATE = 0.3
 CACHE = 300_000  # words whose summed features a worker remembers
 THRESHOLD = 0.3
