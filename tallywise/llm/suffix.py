@@ -21,18 +21,18 @@ task.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallywise.llm.common import id_and_bytes, prepare_workers
 
 LENGTH = 50
-GRAM = 24
+GRAM = 20
 BLOCK = 1 << 19  # bytes that one vectorised step works on
 LAST = (1 << 63) - 1  # rank of a null id
 LOW40 = np.uint64((1 << 40) - 1)
@@ -151,11 +151,9 @@ def anchor_entries(docs: DataFrame, length: int, gram: int, buckets: int) -> Dat
                 rows.append(pack(int(group[a]), False, codes[first][a:b][by_doc], doc[first][a:b][by_doc], texts))
             if known.any():
                 rows.append(pack(int(texts[doc[known][0]] % buckets), True, codes[known], doc[known], texts))
-            yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-    SCHEMA = to_arrow_schema(StructType.fromDDL(ENTRIES))
+    schema = to_arrow_schema(T.StructType.fromDDL(ENTRIES))
     return docs.select("text_id", "body").mapInArrow(run, ENTRIES)
 
 
@@ -337,11 +335,25 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
     return np.concatenate([[False], same])[:len(order)]
 
 
-SPANS = "text_id long, rank long, start int, stop int"
+SPANS = "text_id long, span long"
+
+
+def pack_spans(rank: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """15 bits that check the rank, 40 bits of start, 8 bits of length, in one number."""
+    check = (rank.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(49)
+    return (check << np.uint64(48) | start.astype(np.uint64) << np.uint64(8) | (stop - start).astype(np.uint64)).astype(np.int64)
+
+
+def unpack_spans(rank: int, packed: np.ndarray) -> list[tuple[int, int]]:
+    """Spans of the text with this rank; another text with the same 64-bit id has other check bits."""
+    check = int((np.array([rank]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0] >> np.uint64(49))
+    own = packed[packed >> 48 == check]
+    start = own >> 8 & (1 << 40) - 1
+    return list(zip(start.tolist(), (start + (own & 255)).tolist()))
 
 
 def repeated_spans(pieces: DataFrame, length: int) -> DataFrame:
-    """text_id, rank, start, stop: bytes of strings that a text of smaller rank holds too; spans may overlap."""
+    """(text_id, span): bytes of strings that a text of smaller rank holds too; spans may overlap."""
     def spans(rows: list[bytes]) -> pa.RecordBatch | None:
         open_ = zstandard.ZstdDecompressor()
         number: dict[bytes, int] = {}
@@ -392,9 +404,9 @@ def repeated_spans(pieces: DataFrame, length: int) -> DataFrame:
         a = np.nonzero(new)[0]
         b = np.append(a[1:], len(member)) - 1
         m = member[a]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(text_id[m]), pa.array(rank[m]), pa.array((start[m] + inside[a]).astype(np.int32)),
-             pa.array((start[m] + inside[b] + length).astype(np.int32))], names=["text_id", "rank", "start", "stop"])
+        begin = start[m] + inside[a]
+        packed = pack_spans(rank[m], begin, start[m] + inside[b] + length)
+        return pa.RecordBatch.from_arrays([pa.array(text_id[m]), pa.array(packed)], names=["text_id", "span"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
@@ -424,7 +436,7 @@ def union_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def repeated_bytes(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, body (bytes), spans (array of start, stop), the maximal removed runs.
+    """One row per input row: doc_id, body (bytes) and what :func:`span_lists` and :func:`kept_texts` turn into spans.
 
     A byte goes when a string of ``length`` bytes that covers it also starts in
     a document with a smaller id, as the input stands. A null text is empty; a
@@ -436,46 +448,57 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * parts
     rows = id_and_bytes(docs, id_col, text_col).select(
-        "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("rank"), "body",
-        F.xxhash64("body").alias("text_id"), F.xxhash64(F.lit(1), "body").alias("text_id2"))
-    own = rows.select("rank", "text_id", "text_id2").groupBy("text_id", "text_id2").agg(F.min("rank").alias("first_rank"))
+        "doc_id", "body", F.xxhash64("body").alias("text_id"), F.xxhash64(F.lit(1), "body").alias("text_id2"))
+    rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    # the smallest rank of each text, by its second hash; one text for an id but for rare collisions
+    own = (rows.groupBy("text_id", "text_id2").agg(F.min(rank).alias("first_rank"))
+           .groupBy("text_id").agg(F.map_from_entries(F.collect_list(F.struct("text_id2", "first_rank"))).alias("firsts")))
     entries = anchor_entries(rows, length, gram, buckets).repartition(parts, "bucket")
     codes = shared_anchors(entries).groupBy("text_id").agg(F.collect_set("code").alias("codes"))
-    dealt = rows.repartition(parts, "text_id")  # both joins below read this one exchange
-    firsts = dealt.join(own, ["text_id", "text_id2"]).where("rank = first_rank").join(codes, "text_id")
-    pieces = cut_pieces(firsts.select("text_id", "rank", "body", "codes"), length, gram, buckets)
+    # Both joins of whole texts use this key and these columns only, so that they share one exchange
+    first = F.col("firsts")[F.col("text_id2")]
+    cut = (rows.join(own.join(codes, "text_id"), "text_id").withColumn("rank", rank).where(F.col("rank") == first)
+           .select("doc_id", "text_id", "rank", "body", "codes"))
+    pieces = cut_pieces(cut, length, gram, buckets)
     spans = (repeated_spans(pieces.repartition(parts, "bucket").sortWithinPartitions("bucket"), length)
-             .groupBy("text_id", "rank").agg(F.collect_set(F.struct("start", "stop")).alias("found")))
-    final = (dealt.join(own, ["text_id", "text_id2"])
-             .join(spans.select("text_id", F.col("rank").alias("first_rank"), "found"), ["text_id", "first_rank"], "left"))
-    whole = (F.col("rank") > F.col("first_rank")) & (F.length("body") >= length)
-    return final.select("doc_id", "body", F.when(whole, F.array(F.struct(
-        F.lit(0).alias("start"), F.length("body").alias("stop")))).otherwise(
-        F.coalesce("found", F.array().cast("array<struct<start:int,stop:int>>"))).alias("found"))
+             .groupBy("text_id").agg(F.collect_set("span").alias("packed")))
+    return (rows.join(own.join(spans, "text_id", "left"), "text_id")
+            .select("doc_id", "body", "packed", first.alias("first_rank"), (rank > first).alias("copy")))
 
 
-def keep_digests(rows: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 from ``repeated_bytes``."""
+def span_lists(rows: pa.RecordBatch, length: int) -> Iterator[list[tuple[int, int]]]:
+    """Maximal removed runs of every row of ``repeated_bytes``."""
+    for body, copy, first, packed in zip(*(rows.column(c) for c in ("body", "copy", "first_rank", "packed"))):
+        size = len(body.as_buffer())
+        if copy.as_py():
+            yield [(0, size)] if size >= length else []
+        else:
+            yield union_spans(unpack_spans(first.as_py(), packed.values.to_numpy()) if packed.is_valid else [])
+
+
+def kept_texts(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, starts, stops (of the maximal removed runs), kept (the bytes that stay)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, removed, runs, digests = [], [], [], []
-            for body, found in zip(batch.column("body").to_pylist(), batch.column("found").to_pylist()):
-                spans = union_spans([(s["start"], s["stop"]) for s in found])
-                at, kept = 0, hashlib.sha256()
-                for a, b in spans:
-                    kept.update(body[at:a])
-                    at = b
-                kept.update(body[at:])
-                sizes.append(len(body))
-                removed.append(sum(b - a for a, b in spans))
-                runs.append(len(spans))
-                digests.append(kept.hexdigest())
+            found = list(span_lists(batch, length))
+            bodies = batch.column("body").to_pylist()
+            kept = [b"".join(body[a:b] for a, b in zip([0, *(s[1] for s in spans)], [*(s[0] for s in spans), len(body)]))
+                    for body, spans in zip(bodies, found)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (sizes, removed, runs)), pa.array(digests)],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                [batch.column("doc_id"), pa.array(map(len, bodies), pa.int64()),
+                 pa.array([len(b) - len(k) for b, k in zip(bodies, kept)], pa.int64()), pa.array(map(len, found), pa.int64()),
+                 *(pa.array([[s[i] for s in spans] for spans in found], pa.list_(pa.int64())) for i in (0, 1)),
+                 pa.array(kept, pa.binary())],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "starts", "stops", "kept"])
 
-    from pyspark.sql import types as T
     out = rows.select("doc_id").schema
     for name in ("n_bytes", "n_removed", "n_spans"):
         out = out.add(name, T.LongType())
-    return rows.mapInArrow(run, out.add("kept_sha256", T.StringType()))
+    for name in ("starts", "stops"):
+        out = out.add(name, T.ArrayType(T.LongType()))
+    return rows.mapInArrow(run, out.add("kept", T.BinaryType()))
+
+
+def keep_digests(rows: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    return kept_texts(rows).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
