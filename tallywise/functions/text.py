@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
 from tallywise.constants import TOKEN_PATTERN
 
-# fixed values: accented letters and the plain letters they fold to
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+def plain_letter(char: str) -> str:
+    """The character without its marks, by compatibility decomposition."""
+    return "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+
+
+# every letter of the basic plane that is one plain letter with marks
+ACCENTED = "".join(c for c in map(chr, range(0xC0, 0x2000)) if c.isalpha() and len(plain_letter(c)) == 1 and plain_letter(c) != c)
+PLAIN = "".join(map(plain_letter, ACCENTED))
 
 
 def words(text: Column) -> Column:
@@ -26,7 +34,8 @@ def word_ngrams(text: Column) -> Column:
 
 
 def fold_accents(text: Column) -> Column:
-    return F.translate(text, ACCENTED, PLAIN)
+    """Letters without their marks, whether the marks are part of the letter or follow it."""
+    return F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"\p{Mn}+", "")
 
 
 def padded_words(text: Column) -> Column:

@@ -42,7 +42,8 @@ def quality_metrics(df: DataFrame, batch: str, confidence: str = "confidence",
         return df.groupBy(batch).agg(
             *basic, F.percentile_approx(c, 0.5, accuracy).alias("median"))
     medians = exact_median(df, [batch], confidence, confidence_buckets(c), "median")
-    return df.groupBy(batch).agg(*basic).join(medians, batch, "left")
+    medians = medians.select(F.col(batch).alias("_batch"), "median")
+    return df.groupBy(batch).agg(*basic).join(medians, F.col(batch).eqNullSafe(F.col("_batch")), "left").drop("_batch")
 
 
 def quality_alerts(metrics: DataFrame, batch: str) -> DataFrame:

@@ -19,7 +19,7 @@ from tallywise.operators.scores import (average_precision, class_report, class_w
                                         macro_f1, report_averages, roc_auc)
 from tallywise.operators.tfidf import encode_labels, fit_vocabulary, row_terms, stratified_split
 from tallywise.operators.validate import keep_frequent
-from tallywise.operators.vote import mean_confidence, three_way_vote
+from tallywise.operators.vote import mean_confidence, majority_vote
 
 log = logging.getLogger(__name__)
 
@@ -126,7 +126,7 @@ def predict(df: DataFrame, text: str, source: SourceModels) -> DataFrame:
     names = list(source.models)
     out = model_columns(df, text, source)
     return out.withColumns({
-        "predicted_category": three_way_vote([F.col(f"label_{n}") for n in names]),
+        "predicted_category": majority_vote([F.col(f"label_{n}") for n in names]),
         "confidence": mean_confidence([F.col(f"confidence_{n}") for n in names]),
     }).drop(*[f"{kind}_{n}" for n in names for kind in ("label", "confidence", "probability")])
 
@@ -187,7 +187,7 @@ def search(prepared: DataFrame, text: str, regs: list[float], analyzer: str = "w
     weights = class_weights(train_rows, "code").select("code", "weight")
     ready = featurise(train_rows, text, features, analyzer).join(weights, "code").select(
         "code", "weight", "features")
-    learner = LogisticRegression(family="multinomial", maxIter=30, featuresCol="features",
+    learner = LogisticRegression(family="multinomial", maxIter=50, featuresCol="features",
                                  labelCol="code", weightCol="weight")
     grid = ParamGridBuilder().addGrid(learner.regParam, regs).build()
     found = TrainValidationSplit(estimator=learner, estimatorParamMaps=grid,

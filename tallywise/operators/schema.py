@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallywise.constants import (CANONICAL_ALIASES, CREDIT_CARD, DEFAULT_ACCOUNT, GRID_PATTERNS, HOUSEHOLD,
                                  STAGE_RENAMES)
+from tallywise.functions.dates import lenient_date
 from tallywise.functions.missing import first_present
-from tallywise.functions.money import MONEY, lenient_money, split_signed
+from tallywise.functions.money import MONEY, any_money, lenient_money, split_signed
 
 HOUSEHOLD_COLUMNS = ["Date", "Description", "Out", "In"]
 LINEAGE_COLUMNS = ["correction_timestamp", "source_model_version"]
@@ -133,11 +134,20 @@ def align_to(df: DataFrame, target: T.StructType) -> DataFrame:
     return cast_to(df.withColumns(added) if added else df, target)
 
 
+def convert(c: Column, have: T.DataType, want: T.DataType) -> Column:
+    """Cast; texts are read leniently as dates (any known layout) and as money (grouping marks, signs)."""
+    if isinstance(have, T.StringType) and isinstance(want, T.DateType):
+        return lenient_date(c)
+    if isinstance(have, T.StringType) and isinstance(want, T.DecimalType):
+        return any_money(c).try_cast(want)
+    return c.try_cast(want)
+
+
 def cast_to(df: DataFrame, target: T.StructType) -> DataFrame:
     """Cast each shared column to the target's type."""
     types = {f.name: f.dataType for f in target.fields}
     have = {f.name: f.dataType for f in df.schema.fields}
-    changed = {n: F.col(f"`{n}`").try_cast(types[n])
+    changed = {n: convert(F.col(f"`{n}`"), have[n], types[n])
                for n in df.columns if n in types and types[n] != have[n]}
     return df.withColumns(changed) if changed else df
 
@@ -148,7 +158,9 @@ def cast_losses(df: DataFrame, target: T.StructType) -> DataFrame:
     have = {f.name: f.dataType for f in df.schema.fields}
     names = [n for n in df.columns if n in types and types[n] != have[n]]
     lost = [F.count_if(F.col(f"`{n}`").isNotNull()
-                       & F.col(f"`{n}`").try_cast(types[n]).isNull()).alias(n) for n in names]
+                       & convert(F.col(f"`{n}`"), have[n], types[n]).isNull()).alias(n) for n in names]
+    if not names:
+        return df.sparkSession.createDataFrame([], "column_name string, lost_values long")
     return df.agg(*lost).unpivot([], names, "column_name", "lost_values")
 
 

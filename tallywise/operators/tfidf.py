@@ -106,7 +106,8 @@ def stratified_split(df: DataFrame, row: str, label: str, fraction: float = TEST
     hashed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(row).cast("string"))))
     ranked = running_sums(hashed, [label], F.substring("_h", 1, SPLIT_PREFIX),
                           [F.col("_h"), F.col(row)], {"_rank": F.lit(1).cast("long")})
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    return (ranked.join(sizes, label)
+    # rows without a label are a class of their own
+    sizes = df.groupBy(F.col(label).alias("_class")).agg(F.count(F.lit(1)).alias("_n"))
+    return (ranked.join(sizes, F.col(label).eqNullSafe(F.col("_class"))).drop("_class")
             .withColumn("is_test", F.col("_rank") <= F.round(F.col("_n") * fraction))
             .drop("_h", "_rank", "_n"))

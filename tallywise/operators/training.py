@@ -7,9 +7,8 @@ import logging
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallywise.constants import SOURCES
-from tallywise.functions.money import lenient_money
 from tallywise.operators import models as ml
-from tallywise.operators.schema import add_canonical, align_to, choose_category, stamp_lineage
+from tallywise.operators.schema import add_canonical, align_to, cast_losses, choose_category, stamp_lineage
 from tallywise.operators.validate import blocking_errors, validation_report
 from tallywise.sources.sinks import write_training
 
@@ -32,23 +31,31 @@ def training_at(training: DataFrame, source: str, version: int) -> DataFrame:
 
 
 def prepare_corrections(corrections: DataFrame, training: DataFrame) -> DataFrame:
-    """Corrected rows in the training set's columns and types."""
-    named = choose_category(add_canonical(corrections))
+    """Corrected rows in the training set's columns and types; amounts that are missing become 0."""
     zero = F.lit(0).cast("decimal(18,2)")
-    money = {c: F.coalesce(lenient_money(F.col(f"`{c}`")), zero)
-             for c in ("Amount (Negated)", "Amount") if c in named.columns}
-    return align_to(named.withColumns(money), training.drop("training_version").schema)
+    ready = aligned(corrections, training)
+    return ready.withColumns({c: F.coalesce(F.col(f"`{c}`"), zero)
+                              for c in ("Amount (Negated)", "Amount") if c in ready.columns})
+
+
+def aligned(corrections: DataFrame, training: DataFrame) -> DataFrame:
+    """The same before missing amounts are filled, as the rules see it."""
+    return align_to(choose_category(add_canonical(corrections)), training.drop("training_version").schema)
 
 
 def merged_rows(training: DataFrame, corrections: DataFrame, versions: DataFrame, at: Column,
                 model_versions: DataFrame) -> DataFrame:
-    """New training rows of all sources, with version and lineage; nothing is dropped.
+    """New training rows of all sources, with version and lineage.
+
+    Nothing is dropped: a row whose source is null or has no version stops the job.
 
     ``versions`` and ``model_versions`` hold one row per source, so both joins
     are against at most two rows.
     """
     ready = prepare_corrections(corrections, training)
-    versioned = (ready.join(F.broadcast(versions), "transaction_source")
+    unknown = F.raise_error(F.concat(F.lit("no training version for source "), F.coalesce("transaction_source", F.lit("null"))))
+    versioned = (ready.join(F.broadcast(versions), "transaction_source", "left")
+                 .withColumn("next_version", F.coalesce("next_version", unknown.cast("int")))
                  .join(F.broadcast(model_versions.withColumnRenamed(
                      "source_model_version", "_mv")), "transaction_source", "left"))
     stamped = stamp_lineage(versioned.drop(*[c for c in (
@@ -71,10 +78,15 @@ def merge_corrections(training: DataFrame, corrections: DataFrame, dictionary: D
                       at: Column, model_versions: DataFrame, path: str) -> DataFrame:
     """Validate, align and append corrections; returns the report.
 
-    Any error-level rule stops the merge before anything is written.
+    Any error-level rule, a null or unknown source among them, stops the merge
+    before anything is written. Values that the training set's types cannot take
+    are warnings of the report, one row per column.
     """
-    ready = prepare_corrections(corrections, training)
-    report = validation_report(ready, dictionary)
+    report = validation_report(aligned(corrections, training), dictionary)
+    losses = cast_losses(choose_category(add_canonical(corrections)), training.drop("training_version").schema)
+    report = report.unionByName(losses.select(
+        F.lit(None).cast("string").alias("transaction_source"), F.concat(F.lit("cast_loss: "), "column_name").alias("rule"),
+        F.lit("warning").alias("severity"), F.col("lost_values").alias("n")))
     blocked = blocking_errors(report).collect()  # at most one row per source
     if blocked:
         raise ValueError(f"validation failed: {[r.asDict() for r in blocked]}")

@@ -121,7 +121,7 @@ def validation_report(df: DataFrame, dictionary: DataFrame) -> DataFrame:
     known = dictionary.select(F.col("category").alias("Category"), F.lit(True).alias("_known"))
     per_label = df.groupBy("transaction_source", "Category").agg(
         F.count(F.lit(1)).alias("n_rows"), *amount_checks(), *date_checks(),
-        *description_checks(), *category_checks())
+        *description_checks(), *category_checks(), *source_checks())
     sums = [c for c in per_label.columns if c not in ("transaction_source", "Category")]
     joined = per_label.join(known, "Category", "left")
     unknown = F.count_if(F.col("Category").isNotNull() & F.col("_known").isNull())
@@ -130,6 +130,8 @@ def validation_report(df: DataFrame, dictionary: DataFrame) -> DataFrame:
     all_zero = ((F.col("nonzero_amount") == 0) & (F.col("nonzero_negated") == 0)).cast("long")
     rules = [
         ("all_amounts_zero", "error", all_zero),
+        ("null_source", "error", F.col("null_sources")),
+        ("bad_source", "error", F.col("bad_sources")),
         ("null_category", "error", F.col("null_categories")),
         ("null_description", "error", F.col("null_descriptions")),
         ("bad_date", "warning", F.col("bad_dates")),

@@ -7,13 +7,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def three_way_vote(labels: list[Column]) -> Column:
-    """Majority of up to three labels; a tie gives the smallest label.
+def majority_vote(labels: list[Column]) -> Column:
+    """Majority of the labels; a tie gives the smallest label.
 
     Works inside the row, so it needs no shuffle. A model that gave no label is
-    left out.
+    left out. Three labels or fewer need only comparisons; more are counted.
     """
-    a, b, c = (labels + [F.lit(None)] * 3)[:3]
+    if len(labels) > 3:
+        given = F.filter(F.array(*labels), lambda x: x.isNotNull())
+        counted = F.transform(F.array_distinct(given), lambda x: F.struct(
+            (-F.size(F.filter(given, lambda y: y == x))).alias("n"), x.alias("label")))
+        return F.array_min(counted)["label"]
+    a, b, c = labels + [F.lit(None)] * (3 - len(labels))
     return F.when((a == b) | (a == c), a).when(b == c, b).otherwise(F.least(a, b, c))
 
 

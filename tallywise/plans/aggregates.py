@@ -76,7 +76,7 @@ w AS (SELECT txn_id, code, ROW_NUMBER() OVER (PARTITION BY txn_id ORDER BY COUNT
 SELECT txn_id, w.code, ROUND(c, 6) AS confidence FROM w JOIN (SELECT txn_id, AVG(conf) AS c FROM long GROUP BY 1) USING (txn_id) WHERE k = 1""")
 def wide_vote(spark, d):
     v = b.votes(spark, d)
-    return v.select("txn_id", vote.three_way_vote([F.col(f"code{i}") for i in (1, 2, 3)]).alias("code"),
+    return v.select("txn_id", vote.majority_vote([F.col(f"code{i}") for i in (1, 2, 3)]).alias("code"),
                     r6(vote.mean_confidence([F.col(f"conf{i}") for i in (1, 2, 3)])).alias("confidence"))
 
 

@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallywise.functions.money import split_signed
 from tallywise.operators.ordered import row_ordinals
-from tallywise.operators.vote import mean_confidence, three_way_vote
-from tallywise.session import scan_table
+from tallywise.operators.vote import mean_confidence, majority_vote
 
 LABELS = ["Expenses:Dining", "Expenses:Fees", "Expenses:Groceries", "Expenses:Health",
           "Expenses:Travel"]
@@ -19,7 +18,7 @@ SQL_LABELS = "['Expenses:Dining','Expenses:Fees','Expenses:Groceries','Expenses:
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return scan_table(spark, f"{d}/{name}.parquet")
+    return spark.read.parquet(f"{d}/{name}.parquet")
 
 
 def pick(index: Column) -> Column:
@@ -87,7 +86,7 @@ VOTES = LEDGER + """, votes AS (
 def predictions(spark: SparkSession, d: str) -> DataFrame:
     v = votes(spark, d)
     known = F.col("txn_id") % 101 != 0
-    code = three_way_vote([F.col("code1"), F.col("code2"), F.col("code3")])
+    code = majority_vote([F.col("code1"), F.col("code2"), F.col("code3")])
     conf = mean_confidence([F.col("conf1"), F.col("conf2"), F.col("conf3")])
     return v.select(
         "txn_id", "ts", "txn_date", "description", "amount_out", "amount_in",

@@ -24,7 +24,7 @@ def review_summary(spark, d):
     raw = b.votes(spark, d)
     v = raw.where(F.col("txn_id") % 101 != 0).select(
         "txn_id", "transaction_source", "amount_out", "amount_in",
-        b.pick(vote.three_way_vote([F.col(f"code{i}") for i in (1, 2, 3)])).alias("predicted_category"),
+        b.pick(vote.majority_vote([F.col(f"code{i}") for i in (1, 2, 3)])).alias("predicted_category"),
         vote.mean_confidence([F.col(f"conf{i}") for i in (1, 2, 3)]).alias("confidence"))
     keys = ["transaction_source", "predicted_category"]
     c = F.col("confidence")
@@ -50,7 +50,7 @@ def raw_to_review_queue(spark, d):
     typed = text.select(
         "txn_id", lenient_date(F.col("date_text")).alias("txn_date"), normal_description(F.col("raw_text")).alias("description"),
         lenient_money(F.col("money_text")).alias("signed"),
-        b.pick(vote.three_way_vote([F.col(f"code{i}") for i in (1, 2, 3)])).alias("predicted_category"),
+        b.pick(vote.majority_vote([F.col(f"code{i}") for i in (1, 2, 3)])).alias("predicted_category"),
         vote.mean_confidence([F.col(f"conf{i}") for i in (1, 2, 3)]).alias("confidence"))
     out, inn = split_signed(F.col("signed"))
     clean = typed.withColumns({"amount_out": out, "amount_in": inn}).drop("signed")

@@ -133,9 +133,12 @@ def pair_and_future(spark, d):
  COUNT(*) FILTER (amount_out IS NULL) AS null_negated, COUNT(*) FILTER (amount_in <> 0) AS nonzero_amount,
  COUNT(*) FILTER (amount_out <> 0) AS nonzero_negated, COUNT(*) FILTER (date_value IS NULL) AS bad_date,
  COUNT(DISTINCT category) FILTER (category IN ('Expenses:Health','Expenses:Travel')) AS unknown_label
- FROM holes WHERE transaction_source IN ('household', 'credit_card') GROUP BY 1)
+, COUNT(*) FILTER (transaction_source IS NULL) AS null_source,
+ COUNT(*) FILTER (transaction_source NOT IN ('household', 'credit_card')) AS bad_source FROM holes GROUP BY 1)
 SELECT transaction_source, rule, severity, n FROM (
  SELECT transaction_source, 'all_amounts_zero' AS rule, 'error' AS severity, CAST(nonzero_amount = 0 AND nonzero_negated = 0 AS BIGINT) AS n FROM w
+ UNION ALL SELECT transaction_source, 'null_source', 'error', null_source FROM w
+ UNION ALL SELECT transaction_source, 'bad_source', 'error', bad_source FROM w
  UNION ALL SELECT transaction_source, 'null_category', 'error', null_category FROM w
  UNION ALL SELECT transaction_source, 'null_description', 'error', null_description FROM w
  UNION ALL SELECT transaction_source, 'bad_date', 'warning', bad_date FROM w
@@ -146,7 +149,7 @@ SELECT transaction_source, rule, severity, n FROM (
  UNION ALL SELECT transaction_source, 'nonzero_amount', 'info', nonzero_amount FROM w
  UNION ALL SELECT transaction_source, 'nonzero_negated', 'info', nonzero_negated FROM w)""")
 def validation_report(spark, d):
-    rows = with_holes(spark, d).where(F.col("transaction_source").isin("household", "credit_card"))
+    rows = with_holes(spark, d)
     known = (b.predictions(spark, d).select(F.col("predicted_category").alias("category")).distinct()
              .where(~F.col("category").isin("Expenses:Health", "Expenses:Travel")))
     return val.validation_report(rows, known)

@@ -34,7 +34,7 @@ def tfidf_word(spark, d):
 
 
 CHARS = """words AS (SELECT conv_id, turn, ' ' || w || ' ' AS w, COUNT(*) AS k FROM (SELECT conv_id, turn,
-  unnest(regexp_split_to_array(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '\\s+')) AS w FROM conversations) WHERE w <> '' GROUP BY ALL),
+  unnest(regexp_split_to_array(strip_accents(lower(text)), '\\s+')) AS w FROM conversations) WHERE w <> '' GROUP BY ALL),
 grams AS (SELECT conv_id, turn, k, substr(w, i, 1) AS term FROM (SELECT *, unnest(range(1, length(w) + 1)) AS i FROM words) UNION ALL
  SELECT conv_id, turn, k, substr(w, i, 2) FROM (SELECT *, unnest(range(1, length(w))) AS i FROM words) UNION ALL
  SELECT conv_id, turn, k, substr(w, i, 3) FROM (SELECT *, unnest(range(1, length(w) - 1)) AS i FROM words)),

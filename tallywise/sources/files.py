@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallywise.constants import UPLOAD_EXTENSIONS, UPLOAD_MAX_BYTES
@@ -105,7 +106,12 @@ def scan_accounts(spark: SparkSession, path: str, one_per_file: bool = True) ->
 
 def scan_registry(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
     """Nested registry JSON, per file or per line, as one row per model and version."""
-    doc = spark.read.option("multiLine", one_per_file).schema(REGISTRY_JSON).json(path)
+    try:
+        doc = spark.read.option("multiLine", one_per_file).schema(REGISTRY_JSON).json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        doc = spark.createDataFrame([], REGISTRY_JSON)  # no registry yet
     by_model = doc.select(F.explode("models").alias("model", "versions"))
     return by_model.select("model", F.explode("versions").alias("v", "e")).select(
         "model", F.col("v").try_cast("int").alias("version"), "e.locations", "e.metrics",

@@ -9,9 +9,9 @@ from tallywise.operators import metrics as mt, review, vote
 def test_vote_rules(spark):
     rows = spark.createDataFrame([(1, "b", "a", "c"), (2, "b", "a", "b"), (3, "b", "a", None), (4, "c", "c", "a"), (5, None, None, "z"),
                                   (6, None, None, None), (7, "c", "b", "b")], "i int, x string, y string, z string")
-    got = {r.i: r.v for r in rows.select("i", vote.three_way_vote([F.col("x"), F.col("y"), F.col("z")]).alias("v")).collect()}
+    got = {r.i: r.v for r in rows.select("i", vote.majority_vote([F.col("x"), F.col("y"), F.col("z")]).alias("v")).collect()}
     assert got == {1: "a", 2: "b", 3: "a", 4: "c", 5: "z", 6: None, 7: "b"}
-    two = {r.i: r.v for r in rows.select("i", vote.three_way_vote([F.col("x"), F.col("y")]).alias("v")).collect()}
+    two = {r.i: r.v for r in rows.select("i", vote.majority_vote([F.col("x"), F.col("y")]).alias("v")).collect()}
     assert two[1] == "a" and two[4] == "c"
 
 

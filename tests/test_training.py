@@ -39,6 +39,51 @@ def test_merge_stops_on_errors(spark, sf, tmp_path):
     assert tr.new_only(back, back, "row_key").count() == 0
 
 
+def test_merge_reads_leniently_and_loses_nothing(spark, sf, tmp_path):
+    training = b.training_rows(spark, sf)
+    good = b.corrected_file(spark, sf)
+    at = F.lit("2025-01-01").cast("timestamp")
+    known = spark.createDataFrame([(x,) for x in b.LABELS], "category string")
+    versions = spark.createDataFrame([("household", "v3")], "transaction_source string, source_model_version string")
+    date = next(c for c in good.columns if c.lower() == "date")
+    typed = good.withColumn(date, F.date_format(F.to_date(F.col(date).cast("string")), "M/d/yyyy"))
+    a = tr.prepare_corrections(good, training).select("row_key", "Date")
+    assert a.exceptAll(tr.prepare_corrections(typed, training).select("row_key", "Date")).count() == 0
+    for wrong in (F.lit(None).cast("string"), F.lit("elsewhere")):
+        bad = good.withColumn("transaction_source", F.when(F.col("row_key") % 2 == 0, F.col("transaction_source")).otherwise(wrong))
+        with pytest.raises(ValueError, match="validation failed"):
+            tr.merge_corrections(training, bad, known, at, versions, str(tmp_path / "x"))
+        with pytest.raises(Exception, match="no training version"):
+            tr.merged_rows(training, bad, tr.next_versions(training), at, versions).write.format("noop").mode("overwrite").save()
+    assert not (tmp_path / "x").exists()
+    odd = good.withColumn(date, F.lit("not a date"))
+    report = tr.merge_corrections(training, odd, known, at, versions, str(tmp_path / "y"))
+    assert report.where("rule = 'cast_loss: Date'").first().n == good.count()
+
+
+def test_vote_counts_every_model(spark):
+    from tallywise.operators.vote import majority_vote
+    rows = spark.createDataFrame([("a", "b", "c", "c"), ("b", "a", None, None), (None, None, None, None), ("b", "b", "a", "a")],
+                                 "a string, b string, c string, d string")
+    assert [r[0] for r in rows.select(majority_vote([F.col(c) for c in "abcd"])).collect()] == ["c", "a", None, "a"]
+
+
+def test_null_labels_and_batches_stay(spark):
+    from tallywise.operators import metrics
+    rows = spark.createDataFrame([(i, None if i % 3 else "x", None, i / 10) for i in range(9)],
+                                 "id long, label string, batch string, confidence double")
+    assert tfidf.stratified_split(rows, "id", "label").count() == 9
+    assert metrics.quality_metrics(rows, "batch").first().median == pytest.approx(0.4)
+
+
+def test_accents_fold_and_missing_registry_is_empty(spark, tmp_path):
+    from tallywise.functions.text import fold_accents
+    from tallywise.sources.files import scan_registry
+    got = spark.createDataFrame([("šőčžă é e\u0301",)], "t string").select(fold_accents(F.col("t"))).first()[0]
+    assert got == "soczaee".replace("aee", "a e e")
+    assert scan_registry(spark, str(tmp_path / "none.json")).count() == 0
+
+
 def test_household_amounts_survive(spark, sf):
     raw = b.household(spark, sf).withColumn("Category", F.lit("x")).withColumn("transaction_source", F.lit("household"))
     ready = tr.prepare_corrections(raw, b.training_rows(spark, sf))
