@@ -12,6 +12,7 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -57,10 +58,36 @@ def encode(spark: SparkSession, docs: DataFrame, rank_file: str, pattern: str, i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
         for batch in batches:
-            ids = [[i for part in chunks(text) for i in enc.encode_ordinary(part)]
-                   for text in batch.column("body").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))],
-                                             names=["doc_id", "ids"])
+            ids = [ids_of(enc, text.as_py()) for text in batch.column("body")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists_of(ids)], names=["doc_id", "ids"])
+
+    return rows.mapInArrow(run, out)
+
+
+def ids_of(enc: tiktoken.Encoding, text: str) -> np.ndarray:
+    """All ids of a text, four bytes each."""
+    return np.concatenate([np.array(enc.encode_ordinary(part), np.int32) for part in chunks(text)])
+
+
+def lists_of(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.zeros(0, np.int32)])))
+
+
+def round_trip(spark: SparkSession, docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id",
+               text_col: str = "text") -> DataFrame:
+    """``decode(encode(docs))`` in one pass over the texts: doc_id, ids, decoded."""
+    prepare_workers(spark)
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("body"))
+    out = rows.select("doc_id").schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", T.BinaryType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(rank_file, pattern)
+        for batch in batches:
+            ids = [ids_of(enc, text.as_py()) for text in batch.column("body")]
+            raw = [enc.decode_bytes(x.tolist()) for x in ids]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists_of(ids), pa.array(raw, pa.binary())],
+                                             names=["doc_id", "ids", "decoded"])
 
     return rows.mapInArrow(run, out)
 
@@ -73,7 +100,7 @@ def decode(spark: SparkSession, tokens: DataFrame, rank_file: str, pattern: str)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
         for batch in batches:
-            raw = [None if ids is None else enc.decode_bytes(ids) for ids in batch.column("ids").to_pylist()]
+            raw = [enc.decode_bytes(ids.as_py()) if ids.is_valid else None for ids in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(raw, pa.binary())],
                                              names=["doc_id", "ids", "decoded"])
 

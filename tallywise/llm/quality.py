@@ -27,7 +27,7 @@ GRAMS = (3, 4)
 SAMPLE = 3000  # labelled rows that the vectors are fitted on
 EPOCHS = 3
 RATE = 0.3
-CACHE = 300_000  # words whose summed features a worker remembers
+CACHE = 150_000  # words whose summed features a worker remembers
 THRESHOLD = 0.3
 
 REPEAT = "\0repeat"

@@ -63,8 +63,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_byte_bpe")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    tokens = bpe.encode(spark, table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return token_digests(bpe.decode(spark, tokens, ranks, public_tokenizers.PATTERN))
+    return token_digests(bpe.round_trip(spark, table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
 
 
 def token_digests(tokens: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ SAMPLE = 12_000  # labelled rows that the scorer is fitted on
 EPOCHS = 3
 CALIBRATE = 5  # every fifth of them first sets the shift of the scores
 THRESHOLD = 0.5
-CACHE = 400_000  # words whose score a worker remembers
+CACHE = 150_000  # words whose score a worker remembers
 
 # the channel: what a sign may stand for
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a",

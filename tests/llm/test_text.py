@@ -23,6 +23,8 @@ def test_bpe_round_trip_and_edges(spark, monkeypatch):
     want = sorted(((i, own.encode_ordinary(t or "")) for i, t in rows), key=key)
     assert sorted(((r.doc_id, list(r.ids)) for r in got), key=key) == want
     assert all(bytes(r.decoded) in {(t or "").encode() for i, t in rows if i == r.doc_id} for r in got)
+    both = bpe.round_trip(spark, documents(spark, rows), RANKS, public_tokenizers.PATTERN).collect()
+    assert sorted(map(str, both)) == sorted(map(str, got))
     assert bpe.encode(spark, documents(spark, []), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
