@@ -36,9 +36,9 @@ def sample_features(docs: DataFrame, sample: DataFrame, features: Features) -> l
     seen: dict[tuple[bytes, bytes], object] = {}
     for label, f, n in zip(*(rows.column(c).to_pylist() for c in ("label", "f", "n"))):
         seen.setdefault((f, n), label)  # copies of a text teach nothing new
+    del rows
     order = sorted(seen, key=lambda key: hash_of(key[0] + key[1]))
-    return [(seen[k], np.frombuffer(k[0], "<u4").astype(np.int64), np.frombuffer(k[1], "<u2").astype(np.float32))
-            for k in order]
+    return [(seen[k], np.frombuffer(k[0], "<u4"), np.frombuffer(k[1], "<u2")) for k in order]  # views, no copies
 
 
 def hash_of(data: bytes) -> bytes:
@@ -63,6 +63,7 @@ def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], size: int, classes: int
 
     for _ in range(epochs):
         for label, at, x in rows:
+            x = np.asarray(x, np.float32)
             zi, ni = z[at], n[at]
             w = weights(zi, ni)
             p = softmax(x @ w + bias)

@@ -26,7 +26,7 @@ from tallywise.llm.learn import ftrl, labelled_sample, sample_features
 
 BUCKETS = 1 << 20
 BEGINNINGS = (4, 5, 6)
-SAMPLE = 12_000  # labelled rows that the scorer is fitted on
+SAMPLE = 6_000  # labelled rows that the scorer is fitted on
 EPOCHS = 3
 CALIBRATE = 5  # every fifth of them first sets the shift of the scores
 THRESHOLD = 0.5
