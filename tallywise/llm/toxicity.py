@@ -12,6 +12,7 @@ and their beginnings.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -26,6 +27,7 @@ from tallywise.llm.learn import ftrl, labelled_sample, sample_features
 
 BUCKETS = 1 << 20
 BEGINNINGS = (4, 5, 6)
+BEGINS = crc32(b"^")  # marks a beginning
 SAMPLE = 6_000  # labelled rows that the scorer is fitted on
 EPOCHS = 3
 CALIBRATE = 5  # every fifth of them first sets the shift of the scores
@@ -46,9 +48,10 @@ BYTE_SYMBOL = np.array([27 if b >= 0x80 else b - 96 if 97 <= b <= 122 else b - 6
                         for b in range(256)], np.int64)
 
 WORD = regex.compile(r"\S+")
-RUN = regex.compile(r"(.)\1+")
-LONG_RUN = regex.compile(r"(\p{L})\1\1")
+RUN = re.compile(r"(.)\1+")
+LONG_RUN = re.compile(r"(.)\1\1")
 SPACED = regex.compile(r"(?<!\S)(?:[^\s\p{P}][ ]){2,}[^\s\p{P}](?!\S)|(?<!\S)(?:[\p{L}\p{N}@$!|*+][ .\-_*]){3,}[\p{L}\p{N}@$!|*+](?!\S)")
+SINGLES = re.compile(r"(?<!\S).[ .\-_*].[ .\-_*].", re.DOTALL)  # every match of SPACED begins so; found faster
 TRIM = ".,;:!?\"'()[]{}<>«»„“”…#%&*$~-_/\\=^`|+"
 TRIM_LEFT = TRIM.replace("$", "").replace("(", "").replace("|", "").replace("!", "").replace("*", "")
 
@@ -149,7 +152,7 @@ def restored(token: str, model: list[float]) -> list[str]:
 
 def spelled_out(low: str, model: list[float]) -> Iterator[str]:
     """Words of stretches of single letters, in all their readings."""
-    for spaced in SPACED.findall(low):
+    for spaced in SPACED.findall(low) if SINGLES.search(low) else ():
         for way in decode(spaced, model, PATHS):
             yield from way.split()
 
@@ -162,9 +165,18 @@ def restore(text: str, model: list[float]) -> str:
 
 def word_features(word: str) -> set[int]:
     """The word and its beginnings, each run of a letter as one."""
-    word = RUN.sub(r"\1", word)
-    keys = [word, *("^" + word[:n] for n in BEGINNINGS if len(word) >= n)]
-    return {crc32(k.encode("utf-8", "replace")) % BUCKETS for k in keys}
+    if RUN.search(word):
+        word = RUN.sub(r"\1", word)
+    raw, size = word.encode("utf-8", "replace"), len(word)
+    out = {crc32(raw) % BUCKETS}
+    for n in BEGINNINGS:
+        if size >= n:
+            start = raw[:n] if len(raw) == size else word[:n].encode("utf-8", "replace")
+            out.add(crc32(start, BEGINS) % BUCKETS)
+    return out
+
+
+NONE: frozenset[int] = frozenset()
 
 
 @dataclass
@@ -186,7 +198,8 @@ class Scorer:
 
     def hits(self, words: Iterable[str]) -> frozenset[int]:
         """Features that have a weight; few words have any."""
-        return frozenset(f for word in words for f in word_features(word) if f in self.weights)
+        found = [f for word in words for f in word_features(word) if f in self.weights]
+        return frozenset(found) if found else NONE
 
     def score(self, text: str, cache: dict[str, frozenset[int]]) -> float:
         low = text.lower()
