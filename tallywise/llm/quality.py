@@ -42,6 +42,11 @@ def shape(word: str) -> str:
             return "a" if len(word) == 1 else "a+"
         if len(word) > 2 and word[1:].islower():
             return "Aa+"
+    elif len(word) > 3 and word[-1] in ".,;:!?" and word[:-1].isalpha() and word[1:-1].islower():
+        if word[0].islower():
+            return "a+" + word[-1]
+        if word[0].isupper():
+            return "Aa+" + word[-1]
     for pattern, to in SHAPES:
         word = pattern.sub(to, word)
     return word
@@ -50,11 +55,15 @@ def shape(word: str) -> str:
 def word_features(word: str) -> list[int]:
     if word == REPEAT:
         return [crc32(REPEAT.encode()) % BUCKETS] * 4  # weighs like a word with its n-grams
-    low = f"<{word.lower()}>"
-    out = [low, f"\1{shape(word)}", f"\2{shape(word)}"]
+    low, form = f"<{word.lower()}>", shape(word)
+    raw, size = low.encode("utf-8", "replace"), len(low)
+    out = [raw, f"\1{form}".encode("utf-8", "replace"), f"\2{form}".encode("utf-8", "replace")]
     for n in GRAMS:
-        out += [low[i:i + n] for i in range(len(low) - n + 1)]
-    return [crc32(x.encode("utf-8", "replace")) % BUCKETS for x in out]
+        if len(raw) == size:  # one byte a letter
+            out += [raw[i:i + n] for i in range(size - n + 1)]
+        else:
+            out += [low[i:i + n].encode("utf-8", "replace") for i in range(size - n + 1)]
+    return [crc32(x) % BUCKETS for x in out]
 
 
 def words_of(text: str) -> Counter:
