@@ -14,13 +14,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tallywise.llm.common import components, id_and_bytes, save, prepare_workers
 
 SEED = 42
 SEGMENT = 32
 PAIRED = 64  # buckets of up to so many fingerprints are paired; larger ones are split exactly
+LEADERS, MOST_LEADERS = 32, 512  # of a large bucket: in the first round, in any
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 LANES = np.uint64(0x0101010101010101)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -85,7 +86,7 @@ def fingerprints(spark: SparkSession, docs: DataFrame, words: int, lanes: int =
     return rows.mapInArrow(run, rows.select("doc_id").schema.add("print", T.ArrayType(T.LongType())))
 
 
-def distance(a: str, b: str) -> Column:
+def distance(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
@@ -120,27 +121,33 @@ def ball_edges(nodes: DataFrame) -> DataFrame:
     return points.join(stars, "point").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
 
 
-def leader_edges(spark: SparkSession, members: DataFrame, radius: int, paired: int) -> DataFrame:
-    """Links inside large buckets: all members meet the bucket's leader; those that it does not hold go on.
+def leader_edges(spark: SparkSession, members: DataFrame, radius: int, paired: int, leaders: int = LEADERS) -> DataFrame:
+    """Links inside large buckets: all members meet the bucket's leaders; those that none of them holds go on.
 
-    A bucket loses its leader and all that is linked to it in every round; what
-    is left of it is paired as soon as it is small. No bucket is ever paired whole.
+    A bucket loses its leaders and all that is linked to one in every round, and
+    every round has twice the leaders of the one before, up to ``MOST_LEADERS``,
+    so that mixed buckets need few rounds. What is left of a bucket is paired as
+    soon as it is small. No bucket is ever paired whole.
     """
     edges = None
     while True:
-        lead = members.groupBy("variant").agg(F.min(F.struct("node", "print")).alias("lead"))
-        met = save(spark, members.join(lead, "variant").where("node <> lead.node").select(
-            "variant", "node", "print", F.col("lead.node").alias("leader"),
-            (distance("print", "lead.print") <= radius).alias("linked")), "met")
-        found = met.where("linked").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+        place = F.row_number().over(Window.partitionBy("variant").orderBy("node"))
+        lead = (members.withColumn("place", place).where(F.col("place") <= leaders)
+                .groupBy("variant").agg(F.collect_list(F.struct("node", "print")).alias("leaders")))
+        near = F.filter("leaders", lambda x: (x["node"] != F.col("node")) & (distance("print", x["print"]) <= radius))
+        met = save(spark, members.join(lead, "variant").select(
+            "variant", "node", "print", F.transform(near, lambda x: x["node"]).alias("near"),
+            F.exists("leaders", lambda x: x["node"] == F.col("node")).alias("leads")), "met")
+        found = met.select(F.col("node").alias("a"), F.explode("near").alias("b")).distinct()
         edges = found if edges is None else edges.union(found)
-        rest = met.where("not linked").select("variant", "node", "print")
+        rest = met.where("not leads and size(near) = 0").select("variant", "node", "print")
         sizes = rest.groupBy("variant").agg(F.count("*").alias("n")).where("n > 1")
         few = rest.join(sizes.where(F.col("n") <= paired), "variant").drop("n")
         edges = edges.union(pair_edges(few, radius))
         members = save(spark, rest.join(sizes.where(F.col("n") > paired), "variant").drop("n"), "large")
         if members.isEmpty():
             return edges.distinct()
+        leaders = min(2 * leaders, MOST_LEADERS)
 
 
 def pair_edges(members: DataFrame, radius: int) -> DataFrame:
