@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -87,3 +88,19 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
                  .union(low.select("a", F.col("low").alias("b"))).distinct())
         now = save(spark, small, "small-star")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def cross_pairs(members: DataFrame, block: int, near: Callable[[str, str], Column]) -> DataFrame:
+    """Pairs (a, b) of nodes that share a bucket, have different roots and are ``near``.
+
+    ``members`` has bucket, node, root and size (rows of the bucket). A bucket is cut into blocks of about
+    ``block`` rows; every two blocks meet under a key of their own, so that no task holds a whole bucket.
+    """
+    blocks = F.ceil(F.col("size") / block)
+    cut = (members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+           .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+           .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")))
+    x, y = cut.where("own = i").alias("x"), cut.where("own = j").alias("y")
+    on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("bucket", "i", "j")]
+    apart = (F.col("x.root") != F.col("y.root")) & ((F.col("x.i") < F.col("x.j")) | (F.col("x.node") < F.col("y.node")))
+    return x.join(y, [*on, apart & near("x", "y")]).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
