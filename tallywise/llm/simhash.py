@@ -16,12 +16,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from tallywise.llm.common import components, id_and_bytes, save, prepare_workers
+from tallywise.llm.common import components, cross_pairs, id_and_bytes, save, prepare_workers
 
 SEED = 42
 SEGMENT = 32
 PAIRED = 64  # buckets of up to so many fingerprints are paired; larger ones are split exactly
-LEADERS, MOST_LEADERS = 32, 512  # of a large bucket: in the first round, in any
+LEADERS = 32  # of a large bucket: met by all its members first
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 LANES = np.uint64(0x0101010101010101)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -121,33 +121,29 @@ def ball_edges(nodes: DataFrame) -> DataFrame:
     return points.join(stars, "point").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
 
 
-def leader_edges(spark: SparkSession, members: DataFrame, radius: int, paired: int, leaders: int = LEADERS) -> DataFrame:
-    """Links inside large buckets: all members meet the bucket's leaders; those that none of them holds go on.
+def large_edges(spark: SparkSession, members: DataFrame, edges: DataFrame, radius: int, lanes: int, paired: int) -> DataFrame:
+    """``edges`` and what large buckets add to their groups.
 
-    A bucket loses its leaders and all that is linked to one in every round, and
-    every round has twice the leaders of the one before, up to ``MOST_LEADERS``,
-    so that mixed buckets need few rounds. What is left of a bucket is paired as
-    soon as it is small. No bucket is ever paired whole.
+    All members meet some leaders of their bucket. After that only pairs of
+    different groups can add anything: these are all compared, in blocks.
     """
-    edges = None
-    while True:
-        place = F.row_number().over(Window.partitionBy("variant").orderBy("node"))
-        lead = (members.withColumn("place", place).where(F.col("place") <= leaders)
-                .groupBy("variant").agg(F.collect_list(F.struct("node", "print")).alias("leaders")))
-        near = F.filter("leaders", lambda x: (x["node"] != F.col("node")) & (distance("print", x["print"]) <= radius))
-        met = save(spark, members.join(lead, "variant").select(
-            "variant", "node", "print", F.transform(near, lambda x: x["node"]).alias("near"),
-            F.exists("leaders", lambda x: x["node"] == F.col("node")).alias("leads")), "met")
-        found = met.select(F.col("node").alias("a"), F.explode("near").alias("b")).distinct()
-        edges = found if edges is None else edges.union(found)
-        rest = met.where("not leads and size(near) = 0").select("variant", "node", "print")
-        sizes = rest.groupBy("variant").agg(F.count("*").alias("n")).where("n > 1")
-        few = rest.join(sizes.where(F.col("n") <= paired), "variant").drop("n")
-        edges = edges.union(pair_edges(few, radius))
-        members = save(spark, rest.join(sizes.where(F.col("n") > paired), "variant").drop("n"), "large")
-        if members.isEmpty():
-            return edges.distinct()
-        leaders = min(2 * leaders, MOST_LEADERS)
+    place = F.row_number().over(Window.partitionBy("variant").orderBy("node"))
+    lead = (members.withColumn("place", place).where(F.col("place") <= LEADERS)
+            .groupBy("variant").agg(F.collect_list(F.struct("node", "print")).alias("leaders")))
+    near = F.filter("leaders", lambda x: (x["node"] != F.col("node")) & (distance("print", x["print"]) <= radius))
+    met = members.join(lead, "variant").select(F.col("node").alias("a"), F.explode(F.transform(near, lambda x: x["node"])).alias("b"))
+    edges = save(spark, edges.union(met.distinct()), "met")
+    roots = save(spark, components(spark, edges), "roots")
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = (placed.groupBy("variant").agg(F.count("*").alias("size"), F.min("root").alias("r"), F.max("root").alias("s"))
+             .where("r < s").drop("r", "s"))
+    rest = placed.join(mixed, "variant").withColumnRenamed("variant", "bucket")
+
+    def close(a: str, b: str) -> Column:
+        bits = (F.bit_count(F.col(f"{a}.print")[k].bitwiseXOR(F.col(f"{b}.print")[k])) for k in range(lanes))
+        return sum(bits, F.lit(0)) <= radius
+
+    return edges.union(cross_pairs(rest, paired, close))
 
 
 def pair_edges(members: DataFrame, radius: int) -> DataFrame:
@@ -158,6 +154,20 @@ def pair_edges(members: DataFrame, radius: int) -> DataFrame:
             .select("a", "b").distinct())
 
 
+def links(spark: SparkSession, nodes: DataFrame, lanes: int, radius: int, paired: int) -> DataFrame:
+    """Edges (a, b) of ``radius`` or fewer bits that give the same groups as all such pairs."""
+    variants = segment_variants(nodes)
+    shared = variants.groupBy("variant").agg(F.count("*").alias("n")).where("n > 1")
+    members = save(spark, variants.join(shared, "variant").join(nodes, "node"), "members")
+    edges = pair_edges(members.where(F.col("n") <= paired), radius)
+    large = members.where(F.col("n") > paired).drop("n")
+    if large.isEmpty():
+        return edges
+    if radius <= 2 and lanes == 1:
+        return edges.union(ball_edges(large.select("node", "print").distinct()))
+    return large_edges(spark, large, edges, radius, lanes, paired)
+
+
 def near_groups(spark: SparkSession, docs: DataFrame, words: int = 3, lanes: int = 1, radius: int = 2,
                 id_col: str = "doc_id", text_col: str = "text", paired: int = PAIRED) -> DataFrame:
     """One row per input row: doc_id, fingerprint (lower-case hex, highest bit first), component_id.
@@ -166,8 +176,8 @@ def near_groups(spark: SparkSession, docs: DataFrame, words: int = 3, lanes: int
     of both differs by at most one bit, and differ in ``radius`` or fewer bits
     in all. For a radius up to 4 * lanes - 1 the first always follows from the
     second. ``component_id`` is the smallest id that links reach. With a radius
-    of 2 or less large buckets are searched by :func:`ball_edges`, which loses
-    no link, else by :func:`leader_edges`.
+    of 2 or less large buckets are searched by :func:`ball_edges`, else by
+    :func:`large_edges`; neither loses a group, whatever the size of a bucket.
 
     A-Z are lower-cased; words are separated by ASCII white space; a text of
     fewer words than a shingle is one shingle; null, empty and blank texts have
@@ -178,16 +188,7 @@ def near_groups(spark: SparkSession, docs: DataFrame, words: int = 3, lanes: int
     prints = save(spark, fingerprints(spark, docs, words, lanes, id_col, text_col), "prints")
     nodes = save(spark, prints.groupBy("print").agg(F.min("doc_id").alias("doc_id"))
                  .withColumn("node", F.monotonically_increasing_id()), "nodes")
-    variants = segment_variants(nodes.select("node", "print"))
-    shared = variants.groupBy("variant").agg(F.count("*").alias("n")).where("n > 1")
-    members = save(spark, variants.join(shared, "variant").join(nodes.select("node", "print"), "node"), "members")
-    edges = pair_edges(members.where(F.col("n") <= paired), radius)
-    large = members.where(F.col("n") > paired).drop("n")
-    if not large.isEmpty():
-        if radius <= 2 and lanes == 1:
-            edges = edges.union(ball_edges(large.select("node", "print").distinct()))
-        else:
-            edges = edges.union(leader_edges(spark, large, radius, paired))
+    edges = links(spark, nodes.select("node", "print"), lanes, radius, paired)
     roots = components(spark, edges).select("node", "root")
     classed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = classed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
