@@ -1,9 +1,10 @@
 """SimHash near-dedup with deletion-variant signatures.
 
-A fingerprint is cut into segments of 32 bits, two for every 64. With up to
-three differing bits in two segments (15 in eight) one segment differs by at
-most one bit. Every segment is indexed under its 32 variants with one wildcard
-bit; fingerprints that share a variant are joined by equality and verified.
+A fingerprint is cut into segments of at most 32 bits, so many that of two
+fingerprints within the radius one segment differs by at most one bit: two of
+32 bits for radius 2, 13 of about 20 bits for radius 24 in 256. Every segment
+is indexed under its variants with one wildcard bit; fingerprints that share a
+variant are joined by equality and verified.
 Only distinct fingerprints are indexed, so copies cost nothing.
 """
 
@@ -90,20 +91,32 @@ def distance(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def segment_variants(nodes: DataFrame) -> DataFrame:
+def segment_ends(lanes: int, radius: int) -> list[int]:
+    """Where to cut 64 * lanes bits: over radius / 2 segments, of which one differs by at most one bit; none over 32 bits."""
+    count = max(2 * lanes, radius // 2 + 1)
+    if count > 64 * lanes:
+        raise ValueError("the radius is too wide for so few lanes")
+    return [64 * lanes * k // count for k in range(count + 1)]
+
+
+def segment_variants(nodes: DataFrame, ends: list[int]) -> DataFrame:
     """(variant, node): every segment of every fingerprint with each of its bits masked in turn."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            prints = np.array(batch.column("print").to_pylist(), np.int64).view(np.uint32)  # rows x segments
-            segment = np.arange(prints.shape[1], dtype=np.uint64)[None, :, None]
-            bit = np.arange(SEGMENT, dtype=np.uint64)[None, None, :]
-            masked = prints.astype(np.uint64)[:, :, None] & ~(np.uint64(1) << bit)
-            keys = ((segment * np.uint64(SEGMENT) + bit) << np.uint64(SEGMENT)) | masked
-            node = np.repeat(batch.column("node").to_numpy(), keys.shape[1] * SEGMENT)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).astype(np.int64)), pa.array(node)],
-                                             names=["variant", "node"])
+            prints = np.array(batch.column("print").to_pylist(), "<i8")
+            bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")
+            node = batch.column("node").to_numpy()
+            for segment, (low, high) in enumerate(zip(ends, ends[1:])):
+                held = np.zeros((len(bits), SEGMENT), np.uint8)
+                held[:, :high - low] = bits[:, low:high]
+                value = np.packbits(held, axis=1, bitorder="little").view("<u4")  # one column
+                bit = np.arange(high - low, dtype=np.uint64)[None, :]
+                masked = value.astype(np.uint64) & ~(np.uint64(1) << bit)
+                keys = ((np.uint64(segment * SEGMENT) + bit) << np.uint64(SEGMENT)) | masked
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).astype(np.int64)), pa.array(np.repeat(node, high - low))],
+                                                 names=["variant", "node"])
 
     return nodes.mapInArrow(run, "variant long, node long")
 
@@ -156,7 +169,7 @@ def pair_edges(members: DataFrame, radius: int) -> DataFrame:
 
 def links(spark: SparkSession, nodes: DataFrame, lanes: int, radius: int, paired: int) -> DataFrame:
     """Edges (a, b) of ``radius`` or fewer bits that give the same groups as all such pairs."""
-    variants = segment_variants(nodes)
+    variants = segment_variants(nodes, segment_ends(lanes, radius))
     shared = variants.groupBy("variant").agg(F.count("*").alias("n")).where("n > 1")
     members = save(spark, variants.join(shared, "variant").join(nodes, "node"), "members")
     edges = pair_edges(members.where(F.col("n") <= paired), radius)
@@ -172,10 +185,8 @@ def near_groups(spark: SparkSession, docs: DataFrame, words: int = 3, lanes: int
                 id_col: str = "doc_id", text_col: str = "text", paired: int = PAIRED) -> DataFrame:
     """One row per input row: doc_id, fingerprint (lower-case hex, highest bit first), component_id.
 
-    Fingerprints are linked when they share a variant, that is when a segment
-    of both differs by at most one bit, and differ in ``radius`` or fewer bits
-    in all. For a radius up to 4 * lanes - 1 the first always follows from the
-    second. ``component_id`` is the smallest id that links reach. With a radius
+    Fingerprints are linked when they differ in ``radius`` or fewer bits.
+    ``component_id`` is the smallest id that links reach. With a radius
     of 2 or less large buckets are searched by :func:`ball_edges`, else by
     :func:`large_edges`; neither loses a group, whatever the size of a bucket.
 

@@ -42,3 +42,19 @@ def test_chains_in_a_large_bucket_stay_whole(spark):
                 p ^= 1 << bit
     r.shuffle(prints)
     assert grouped(spark, prints, 4, 24, 8) == by_distance(prints, 24)
+
+
+@pytest.mark.parametrize("paired", [2, 64])
+def test_radius_alone_decides(spark, paired):
+    r = random.Random(8)
+    prints = []
+    for spread in (3, 2, 4):  # bits that differ in each of eight 32-bit segments: 24 and 16 are links, 32 is none
+        p = r.getrandbits(256)
+        q = p
+        for segment in range(8):
+            for bit in r.sample(range(32), spread):
+                q ^= 1 << 32 * segment + bit
+        prints += [p, q]
+    want = by_distance(prints, 24)
+    assert want == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5}
+    assert grouped(spark, prints, 4, 24, paired) == want
