@@ -37,11 +37,22 @@ def prepare_workers(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def save(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def saved(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write a table to the shared scratch folder and read it back: cuts lineage, survives lost executors."""
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def save(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    return saved(spark, df, name)[0]
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def text_or_empty(col: str = "text") -> Column:
