@@ -82,8 +82,9 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     and an equality join, each round is written to the shared folder, and the
     loop ends when a round changes nothing. Nothing is gathered per node.
     """
-    now = save(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-               .distinct(), "edges")
+    edges = edges.toDF("a", "b")
+    now, path = saved(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+                      .distinct(), "edges")
     mark = None
     while True:
         found = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b") % 1000003)).first()
@@ -93,11 +94,13 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        large = save(spark, large, "large-star")
+        large, middle = saved(spark, large, "large-star")
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = (large.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
                  .union(low.select("a", F.col("low").alias("b"))).distinct())
-        now = save(spark, small, "small-star")
+        last = path
+        now, path = saved(spark, small, "small-star")
+        remove(spark, last, middle)  # each round holds all that is known
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

@@ -2,9 +2,9 @@
 
 Two sets of similarity 4/5 or more share a shingle among the first
 ``n - ceil(4n/5) + 1`` of each, whatever order all sets are sorted in (prefix
-filter). Shared shingles bring sets together, a parity sketch rules out pairs
-that differ in too many shingles for certain, and every other pair is counted
-shingle by shingle. Rows that links already hold together are not compared
+filter). SimHash fingerprints within two bits and shared shingles bring sets
+together, a parity sketch rules out pairs that differ in too many shingles for
+certain, and every other pair is counted shingle by shingle. Rows that links already hold together are not compared
 again, which loses no group.
 """
 
@@ -17,13 +17,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallywise.llm.common import components, cross_pairs, prepare_workers, save, text_or_empty
-from tallywise.llm.simhash import LOWER, SEED
+from tallywise.llm import simhash
+from tallywise.llm.common import components, cross_pairs, prepare_workers, remove, save, saved, text_or_empty
+from tallywise.llm.simhash import LOWER, SEED, bit_counts
 
 WORDS = 5
 SKETCH = 16  # longs of a parity sketch
 PAIRED = 64  # shingles shared by so many sets are paired at once; others after rounds of stars
 ROUNDS = 3
+RADIUS = 2  # of SimHash fingerprints that propose a pair
 SAMPLED, COMMON, MOST_COMMON = 2000, 8, 20_000  # texts read to find common shingles; seen in so many; kept
 KNOWN_WORDS = 200_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -67,8 +69,16 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def fingerprint(shingles: np.ndarray) -> int:
+    """SimHash of the set: a bit is set if over half of the shingle hashes have it."""
+    if not len(shingles):
+        return 0
+    bits = (2 * bit_counts(shingles.view(np.uint64)) > len(shingles)).astype(np.uint8)
+    return int(np.packbits(bits, bitorder="little").view("<i8")[0])
+
+
 def signatures(spark: SparkSession, texts: DataFrame, common: np.ndarray) -> DataFrame:
-    """From rows of id, mark and body: node (hash of the set), n, sketch and prefix instead of body."""
+    """From rows of id, mark and body: node (hash of the set), n, fingerprint, sketch and prefix instead of body."""
     prepare_workers(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,11 +89,12 @@ def signatures(spark: SparkSession, texts: DataFrame, common: np.ndarray) -> Dat
                 [batch.column("doc_id"), batch.column("mark"),
                  pa.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets], pa.int64()),
                  pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([fingerprint(s) for s in sets], pa.int64()),
                  pa.array([sketch(s) for s in sets], pa.list_(pa.int64())),
                  pa.array([prefix(s, common) for s in sets], pa.list_(pa.int64()))],
-                names=["doc_id", "mark", "node", "n", "sketch", "prefix"])
+                names=["doc_id", "mark", "node", "n", "print", "sketch", "prefix"])
 
-    schema = ", ".join(["mark long", "node long", "n long", "sketch array<long>", "prefix array<long>"])
+    schema = ", ".join(["mark long", "node long", "n long", "print long", "sketch array<long>", "prefix array<long>"])
     return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, {schema}")
 
 
@@ -110,23 +121,53 @@ def common_shingles(spark: SparkSession, texts: DataFrame) -> np.ndarray:
     return np.array(sorted(r.s for r in counts.orderBy(F.desc("n"), "s").limit(MOST_COMMON).collect()), np.int64)
 
 
+def apart(a: str, b: str) -> Column:
+    return sum((F.bit_count(F.col(f"{a}.sketch")[k].bitwiseXOR(F.col(f"{b}.sketch")[k])) for k in range(SKETCH)), F.lit(0))
+
+
 def can_be_near(a: str, b: str) -> Column:
     """False only if sizes or sketches rule out a similarity of 4/5."""
-    bits = sum((F.bit_count(F.col(f"{a}.sketch")[k].bitwiseXOR(F.col(f"{b}.sketch")[k])) for k in range(SKETCH)), F.lit(0))
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * bits <= n + m)
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * apart(a, b) <= n + m)
 
 
-def verified(spark: SparkSession, texts: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+def simhash_pairs(spark: SparkSession, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets whose fingerprints differ in ``RADIUS`` bits or fewer, as far as they join groups."""
+    prints = save(spark, sets.groupBy("print").agg(F.min("node").alias("node")).select("node", F.array("print").alias("print")), "prints")
+    equal = sets.join(prints.select(F.col("print")[0].alias("print"), F.col("node").alias("b")), "print")
+    return (equal.where("node <> b").select(F.col("node").alias("a"), "b")
+            .union(simhash.links(spark, prints, 1, RADIUS, simhash.PAIRED))).distinct()
+
+
+def settle(spark: SparkSession, traits: DataFrame, full: DataFrame, pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Components (node, root) after adding those of the pairs (a, b) whose sets have a similarity of 4/5 or more.
+
+    Sizes and sketches rule pairs out first. Of what is left every node meets its most similar partner; of the rest
+    only pairs of different groups are counted. So a set travels once or twice, not with each of its pairs.
+    """
+    close = (pairs.distinct().join(traits.alias("x"), F.col("a") == F.col("x.node")).join(traits.alias("y"), F.col("b") == F.col("y.node"))
+             .where(can_be_near("x", "y")).select("a", "b", apart("x", "y").alias("bits")))
+    close, path = saved(spark, close, "pairs")
+    if close.isEmpty():
+        remove(spark, path)
+        return roots
+    best = close.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b"))
+    roots = components(spark, roots.union(verified(full, best)))
+    of_a, of_b = roots.toDF("a", "root_a"), roots.toDF("b", "root_b")
+    rest = (close.join(best, ["a", "b"], "left_anti").join(of_a, "a", "left").join(of_b, "b", "left")
+            .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
+    rest, left = saved(spark, rest, "pairs")
+    if not rest.isEmpty():
+        roots = components(spark, roots.union(verified(full, rest)))
+    remove(spark, path, left)
+    return roots
+
+
+def verified(full: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose sets have a similarity of 4/5 or more."""
-    pairs = save(spark, pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    marks = sets.join(wanted, "node", "left_semi").select("mark").distinct()
-    full = save(spark, shingle_sets(spark, texts.join(marks, "mark", "left_semi")).dropDuplicates(["node"]), "sets")
     left, right = full.toDF("a", "of_a"), full.toDF("b", "of_b")
     shared = F.size(F.array_intersect("of_a", "of_b"))
-    return save(spark, pairs.join(left, "a").join(right, "b")
-                .where(9 * shared >= 4 * (F.size("of_a") + F.size("of_b"))).select("a", "b"), "near")
+    return pairs.join(left, "a").join(right, "b").where(9 * shared >= 4 * (F.size("of_a") + F.size("of_b"))).select("a", "b")
 
 
 def jaccard_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -139,46 +180,47 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     texts have none and are linked to nothing. Null ids get the component of
     their text and never name one, unless no other id is in it.
 
-    Sets that share a shingle of their prefixes first meet the smallest set of
-    that shingle, then, as long as a large bucket holds several groups, others
-    at random. What is left is paired whole, block against block, but only
-    across groups.
+    SimHash proposes the first pairs: fingerprints of the same shingles that
+    differ in two bits or fewer, found under their one-wildcard segments. Sets
+    that share a shingle of their prefixes then meet the smallest set of that
+    shingle and, as long as a large bucket holds several groups, others at
+    random. What is left is paired whole, block against block, but only across
+    groups. Every pair is counted before it links.
     """
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("mark"),
                         text_or_empty(text_col).cast("binary").alias("body"))
     rows = save(spark, signatures(spark, texts, common_shingles(spark, texts)), "signatures")
     sets = rows.where("n > 0")
-    entries = sets.select(F.explode("prefix").alias("bucket"), "node")
+    proposed, proposals = saved(spark, simhash_pairs(spark, sets), "proposed")
+    entries = sets.select(F.explode("prefix").alias("bucket"), "node").repartition("bucket")  # one exchange for both uses
     shared = entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    members = save(spark, entries.join(shared.select("bucket", "low"), "bucket").distinct(), "members")
-    traits = sets.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    wanted = members.select("node").distinct()
-    traits = save(spark, traits.join(wanted, "node", "left_semi"), "traits")
-
-    def links(pairs: DataFrame) -> DataFrame:
-        a, b = traits.alias("x"), traits.alias("y")
-        close = (pairs.distinct().join(a, F.col("a") == F.col("x.node")).join(b, F.col("b") == F.col("y.node"))
-                 .where(can_be_near("x", "y")).select("a", "b"))
-        return verified(spark, texts, sets, close)
-
-    edges = links(members.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")))
+    members, place = saved(spark, entries.join(shared.select("bucket", "low"), "bucket").distinct(), "members")
+    wanted = save(spark, members.select("node").union(proposed.select("a")).union(proposed.select("b")).distinct(), "wanted")
+    chosen = sets.select("node", "n", "sketch", "mark").join(wanted, "node", "left_semi")
+    traits = save(spark, chosen.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"),
+                                                    F.first("mark").alias("mark")), "traits")
+    full = save(spark, shingle_sets(spark, texts.join(traits.select("mark"), "mark", "left_semi")).dropDuplicates(["node"]), "sets")
+    traits = traits.drop("mark")
+
+    roots = settle(spark, traits, full, proposed, spark.createDataFrame([], "node long, root long"))
+    roots = settle(spark, traits, full, members.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")), roots)
     members = members.where("node <> low").select("bucket", "node")  # the smallest has met all others
     for k in range(rounds + 1):
-        roots = save(spark, components(spark, edges), "roots")
         placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         sizes = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("r"), F.max("root").alias("s"),
                                              F.min_by("node", F.xxhash64("node", F.lit(k))).alias("lead"))
-        open_ = save(spark, placed.join(sizes.where("r < s").drop("r", "s"), "bucket"), "open")
+        open_, opened = saved(spark, placed.join(sizes.where("r < s").drop("r", "s"), "bucket"), "open")
+        remove(spark, place)
+        place = opened
         large = open_.where(F.col("size") > paired)
         if k == rounds or large.isEmpty():
             break
         # of a pair in one group nothing more is to be learned
-        edges = edges.union(links(large.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))))
+        roots = settle(spark, traits, full, large.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")), roots)
         members = open_.where((F.col("size") <= paired) | (F.col("node") != F.col("lead"))).select("bucket", "node")
     if not open_.isEmpty():
-        rest = cross_pairs(open_.join(traits, "node"), paired, can_be_near)
-        edges = edges.union(verified(spark, texts, sets, rest))
-    roots = components(spark, edges)
+        roots = settle(spark, traits, full, cross_pairs(open_.select("bucket", "node", "root", "size"), paired, lambda a, b: F.lit(True)), roots)
+    remove(spark, place, proposals)
     classed = (sets.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(roots, "node", "left")
                .withColumn("root", F.coalesce("root", "node")))
     low = classed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
