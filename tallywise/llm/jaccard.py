@@ -22,12 +22,13 @@ from tallywise.llm.common import components, cross_pairs, prepare_workers, remov
 from tallywise.llm.simhash import LOWER, SEED, bit_counts
 
 WORDS = 5
-SKETCH = 16  # longs of a parity sketch
+SKETCH = 16  # longs of a parity sketch; sets of over 1,024 shingles have longer ones
 PAIRED = 64  # shingles shared by so many sets are paired at once; others after rounds of stars
 ROUNDS = 3
 RADIUS = 2  # of SimHash fingerprints that propose a pair
 SAMPLED, COMMON, MOST_COMMON = 2000, 8, 20_000  # texts read to find common shingles; seen in so many; kept
 KNOWN_WORDS = 200_000
+BROADCAST_MARKS = 1_000_000  # hashes of texts, 8 bytes each; with more, texts are shuffled to them
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,8 +65,9 @@ def prefix(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """Parity of the shingles in each of 1,024 places; two sketches differ in no more bits than the sets in shingles."""
-    odd = np.bincount(shingles.view(np.uint64).astype(np.int64) & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+    """Parity of the shingles in each of 1,024 places or more; two sketches differ in no more bits than the sets in shingles."""
+    places = max(64 * SKETCH, 1 << max(0, len(shingles) - 1).bit_length())
+    odd = np.bincount(shingles.view(np.uint64).astype(np.int64) & (places - 1), minlength=places) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
@@ -121,8 +123,19 @@ def common_shingles(spark: SparkSession, texts: DataFrame) -> np.ndarray:
     return np.array(sorted(r.s for r in counts.orderBy(F.desc("n"), "s").limit(MOST_COMMON).collect()), np.int64)
 
 
+def folded(sketch_: Column, longs: Column) -> Column:
+    """A sketch of half as many places, or the sketch itself where it has ``longs`` already."""
+    half = F.transform(F.sequence(F.lit(0), longs - 1), lambda i: F.get(sketch_, i).bitwiseXOR(F.get(sketch_, i + longs)))
+    return F.when(F.size(sketch_) > longs, half).otherwise(sketch_)
+
+
 def apart(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.col(f"{a}.sketch")[k].bitwiseXOR(F.col(f"{b}.sketch")[k])) for k in range(SKETCH)), F.lit(0))
+    """Bits in which the sketches of two sets differ whose sizes are within 4/5, so that one is folded once at most."""
+    x, y = F.col(f"{a}.sketch"), F.col(f"{b}.sketch")
+    short = sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(SKETCH)), F.lit(0))
+    longs = F.least(F.size(x), F.size(y))
+    bits = F.zip_with(folded(x, longs), folded(y, longs), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.when((F.size(x) == SKETCH) & (F.size(y) == SKETCH), short).otherwise(F.aggregate(bits, F.lit(0), lambda s, v: s + v))
 
 
 def can_be_near(a: str, b: str) -> Column:
@@ -139,18 +152,20 @@ def simhash_pairs(spark: SparkSession, sets: DataFrame) -> DataFrame:
             .union(simhash.links(spark, prints, 1, RADIUS, simhash.PAIRED))).distinct()
 
 
-def settle(spark: SparkSession, traits: DataFrame, full: DataFrame, pairs: DataFrame, roots: DataFrame) -> DataFrame:
+def settle(spark: SparkSession, texts: DataFrame, traits: DataFrame, pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Components (node, root) after adding those of the pairs (a, b) whose sets have a similarity of 4/5 or more.
 
-    Sizes and sketches rule pairs out first. Of what is left every node meets its most similar partner; of the rest
-    only pairs of different groups are counted. So a set travels once or twice, not with each of its pairs.
+    Sizes and sketches rule pairs out first. Only sets of what is left are made. Every node meets its most similar
+    partner; of the rest only pairs of different groups are counted. So few sets travel with more than one pair.
     """
-    close = (pairs.distinct().join(traits.alias("x"), F.col("a") == F.col("x.node")).join(traits.alias("y"), F.col("b") == F.col("y.node"))
+    of_a, of_b = traits.drop("mark").alias("x"), traits.drop("mark").alias("y")
+    close = (pairs.join(of_a, F.col("a") == F.col("x.node")).join(of_b, F.col("b") == F.col("y.node"))
              .where(can_be_near("x", "y")).select("a", "b", apart("x", "y").alias("bits")))
     close, path = saved(spark, close, "pairs")
     if close.isEmpty():
         remove(spark, path)
         return roots
+    full, lists = saved(spark, chosen_sets(spark, texts, traits, close), "sets")
     best = close.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b"))
     roots = components(spark, roots.union(verified(full, best)))
     of_a, of_b = roots.toDF("a", "root_a"), roots.toDF("b", "root_b")
@@ -159,10 +174,21 @@ def settle(spark: SparkSession, traits: DataFrame, full: DataFrame, pairs: DataF
     rest, left = saved(spark, rest, "pairs")
     if not rest.isEmpty():
         roots = components(spark, roots.union(verified(full, rest)))
-    remove(spark, path, left)
+    remove(spark, path, lists, left)
     return roots
 
 
+def chosen_sets(spark: SparkSession, texts: DataFrame, traits: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node and shingles of all nodes in ``pairs``, from one text of each."""
+    marks = (traits.select("node", "mark").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+             .select("mark"))
+    if marks.count() <= BROADCAST_MARKS:
+        rows = texts.join(F.broadcast(marks), "mark", "left_semi")  # texts stay where they are
+    else:
+        rows = texts.join(marks, "mark", "left_semi")
+    return shingle_sets(spark, rows).dropDuplicates(["node"])
+
+
 def verified(full: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose sets have a similarity of 4/5 or more."""
     left, right = full.toDF("a", "of_a"), full.toDF("b", "of_b")
@@ -189,24 +215,26 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     """
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("mark"),
                         text_or_empty(text_col).cast("binary").alias("body"))
-    rows = save(spark, signatures(spark, texts, common_shingles(spark, texts)), "signatures")
+    rows, signed = saved(spark, signatures(spark, texts, common_shingles(spark, texts)), "signatures")
     sets = rows.where("n > 0")
     proposed, proposals = saved(spark, simhash_pairs(spark, sets), "proposed")
     entries = sets.select(F.explode("prefix").alias("bucket"), "node").repartition("bucket")  # one exchange for both uses
     shared = entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     members, place = saved(spark, entries.join(shared.select("bucket", "low"), "bucket").distinct(), "members")
-    wanted = save(spark, members.select("node").union(proposed.select("a")).union(proposed.select("b")).distinct(), "wanted")
+    wanted = members.select("node").union(proposed.select("a")).union(proposed.select("b")).distinct()
     chosen = sets.select("node", "n", "sketch", "mark").join(wanted, "node", "left_semi")
     traits = save(spark, chosen.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"),
                                                     F.first("mark").alias("mark")), "traits")
-    full = save(spark, shingle_sets(spark, texts.join(traits.select("mark"), "mark", "left_semi")).dropDuplicates(["node"]), "sets")
-    traits = traits.drop("mark")
+    rows = save(spark, rows.select("doc_id", "node", "n"), "rows")
+    remove(spark, signed)
+    sets = rows.where("n > 0")
 
-    roots = settle(spark, traits, full, proposed, spark.createDataFrame([], "node long, root long"))
-    roots = settle(spark, traits, full, members.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")), roots)
+    roots = settle(spark, texts, traits, proposed, spark.createDataFrame([], "node long, root long"))
+    stars = members.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    roots = settle(spark, texts, traits, stars, roots)
     members = members.where("node <> low").select("bucket", "node")  # the smallest has met all others
     for k in range(rounds + 1):
-        placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).repartition("bucket")
         sizes = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("r"), F.max("root").alias("s"),
                                              F.min_by("node", F.xxhash64("node", F.lit(k))).alias("lead"))
         open_, opened = saved(spark, placed.join(sizes.where("r < s").drop("r", "s"), "bucket"), "open")
@@ -216,10 +244,11 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         if k == rounds or large.isEmpty():
             break
         # of a pair in one group nothing more is to be learned
-        roots = settle(spark, traits, full, large.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")), roots)
+        stars = large.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+        roots = settle(spark, texts, traits, stars, roots)
         members = open_.where((F.col("size") <= paired) | (F.col("node") != F.col("lead"))).select("bucket", "node")
     if not open_.isEmpty():
-        roots = settle(spark, traits, full, cross_pairs(open_.select("bucket", "node", "root", "size"), paired, lambda a, b: F.lit(True)), roots)
+        roots = settle(spark, texts, traits, cross_pairs(open_.select("bucket", "node", "root", "size"), paired, lambda a, b: F.lit(True)), roots)
     remove(spark, place, proposals)
     classed = (sets.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(roots, "node", "left")
                .withColumn("root", F.coalesce("root", "node")))

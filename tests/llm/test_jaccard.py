@@ -68,10 +68,23 @@ def test_stage_drops_near_copies_of_a_small_table(spark):
     assert got == {i for i, low in brute_force(rows).items() if i == low}
 
 
-def test_sketch_is_a_lower_bound():
+def test_sketch_is_a_lower_bound(spark):
     r = np.random.default_rng(1)
-    for n in (3, 300, 5000):
+    rows = []
+    for n in (3, 300, 1000, 1100, 5000, 8150):
         a = np.unique(r.integers(-1 << 62, 1 << 62, n))
-        b = np.union1d(a[n // 10:], r.integers(-1 << 62, 1 << 62, n // 10))
-        bits = np.unpackbits((jaccard.sketch(a) ^ jaccard.sketch(b)).view(np.uint8)).sum()
-        assert bits <= len(np.setxor1d(a, b))
+        b = np.union1d(a[n // 10:], r.integers(-1 << 62, 1 << 62, n // 7))
+        rows.append((jaccard.sketch(a).tolist(), jaccard.sketch(b).tolist(), len(np.setxor1d(a, b)), len(a) + len(b)))
+    df = spark.createDataFrame(rows, "p array<long>, q array<long>, d long, n long")
+    pairs = df.selectExpr("named_struct('sketch', p) as x", "named_struct('sketch', q) as y", "d", "n")
+    got = pairs.select(jaccard.apart("x", "y").alias("bits"), jaccard.apart("y", "x").alias("back"), "d", "n").collect()
+    assert len({len(s) for r in rows for s in r[:2]}) > 2
+    for g in got:
+        assert g.bits == g.back <= g.d and g.bits >= g.d / 3
+
+
+def test_marks_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BROADCAST_MARKS", 0)
+    rows = mixed_rows()[:120]
+    got = jaccard.jaccard_groups(spark, documents(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_force(rows)
