@@ -26,7 +26,7 @@ SKETCH = 16  # longs of a parity sketch; sets of over 1,024 shingles have longer
 PAIRED = 64  # shingles shared by so many sets are paired at once; others after rounds of stars
 ROUNDS = 3
 RADIUS = 2  # of SimHash fingerprints that propose a pair
-SAMPLED, COMMON, MOST_COMMON = 2000, 8, 20_000  # texts read to find common shingles; seen in so many; kept
+SAMPLED, COMMON, MOST_COMMON = 16, 3, 250_000  # every so manyth text is read to find common shingles; seen in so many; kept
 KNOWN_WORDS = 200_000
 BROADCAST_MARKS = 1_000_000  # hashes of texts, 8 bytes each; with more, texts are shuffled to them
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -116,9 +116,8 @@ def shingle_sets(spark: SparkSession, texts: DataFrame) -> DataFrame:
 
 
 def common_shingles(spark: SparkSession, texts: DataFrame) -> np.ndarray:
-    """Shingles that many texts of a sample hold. They only set the order, so no link depends on the sample."""
-    step = max(1, texts.count() // SAMPLED)
-    seen = shingle_sets(spark, texts.where(F.pmod("mark", F.lit(step)) == 0)).select(F.explode("shingles").alias("s"))
+    """Shingles that many texts hold, by a share of all texts. They only set the order, so no link depends on the sample."""
+    seen = shingle_sets(spark, texts.where(F.pmod("mark", F.lit(SAMPLED)) == 0)).select(F.explode("shingles").alias("s"))
     counts = seen.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     return np.array(sorted(r.s for r in counts.orderBy(F.desc("n"), "s").limit(MOST_COMMON).collect()), np.int64)
 
@@ -138,10 +137,14 @@ def apart(a: str, b: str) -> Column:
     return F.when((F.size(x) == SKETCH) & (F.size(y) == SKETCH), short).otherwise(F.aggregate(bits, F.lit(0), lambda s, v: s + v))
 
 
+def sizes_fit(a: str, b: str) -> Column:
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
+
+
 def can_be_near(a: str, b: str) -> Column:
     """False only if sizes or sketches rule out a similarity of 4/5."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * apart(a, b) <= n + m)
+    return sizes_fit(a, b) & (9 * apart(a, b) <= F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
 def simhash_pairs(spark: SparkSession, sets: DataFrame) -> DataFrame:
@@ -248,7 +251,8 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         roots = settle(spark, texts, traits, stars, roots)
         members = open_.where((F.col("size") <= paired) | (F.col("node") != F.col("lead"))).select("bucket", "node")
     if not open_.isEmpty():
-        roots = settle(spark, texts, traits, cross_pairs(open_.select("bucket", "node", "root", "size"), paired, lambda a, b: F.lit(True)), roots)
+        sized = open_.select("bucket", "node", "root", "size").join(traits.select("node", "n"), "node")
+        roots = settle(spark, texts, traits, cross_pairs(sized, paired, sizes_fit), roots)
     remove(spark, place, proposals)
     classed = (sets.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(roots, "node", "left")
                .withColumn("root", F.coalesce("root", "node")))
