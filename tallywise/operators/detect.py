@@ -25,12 +25,12 @@ SCORE = "decimal(4,1)"
 PAIR_FIELDS = ["out", "in", "debit", "credit"]
 
 
-def statement_layout(grid: DataFrame, cells: list[str]) -> DataFrame:
+def statement_layout(grid: DataFrame) -> DataFrame:
     """Whether each file is a bank statement, from marker phrases in its head.
 
     ``row_no`` is stored at ingest, so the head is a pushed-down filter.
     """
-    text = F.upper(F.concat_ws(" ", *cells))
+    text = F.upper(F.array_join("cells", " "))
     flags = [F.max(F.contains(text, F.lit(m)).cast("int")) for m in STATEMENT_MARKERS]
     total = flags[0]
     for f in flags[1:]:

@@ -36,19 +36,69 @@ def grid_scan(spark, d):
     (o.repartition(4, "part").sortWithinPartitions("part", "o_orderkey")
      .select("part", F.col("o_orderkey").cast("string").alias("k"), "o_orderpriority")
      .write.partitionBy("part").csv(path))
-    g = files.scan_grid(spark, f"{path}/part=*", width=3)
-    return g.select(F.regexp_extract("file", r"part=(\d+)", 1).cast("long").alias("part"), "row_no", "c0", "c1")
+    g = files.scan_grid(spark, f"{path}/part=*")
+    return g.select(F.regexp_extract("file", r"part=(\d+)", 1).cast("long").alias("part"), "row_no",
+                    F.get("cells", F.lit(0)).alias("c0"), F.get("cells", F.lit(1)).alias("c1"))
+
+
+def statement_files(spark, d):
+    """One file per order priority: blank lines, a preamble, 20 columns, repeated and empty header names, notes of two lines."""
+    path = scratch_path(spark, "wide")
+    key, part = F.col("o_orderkey"), F.substring("o_orderpriority", 1, 1)
+    note = F.concat(F.lit('"first ""'), key.cast("string"), F.lit('"",\nsecond"'))
+    row = F.array_join(F.concat(F.array(key.cast("string"), F.when(key % 3 == 0, note).otherwise("plain"), F.col("o_totalprice").cast("string")),
+                                F.array_repeat(F.lit("x"), 16), F.array(F.col("o_orderstatus"))), ",")
+    blank = F.when(key % 5 == 0, F.lit("\n")).otherwise("")
+    rows = b.table(spark, d, "orders").select(part.alias("part"), key.alias("k"), F.concat(row, blank).alias("value"))
+    head = F.lit("\n\nkey,note,amount," + "x," * 15 + ",status")
+    heads = rows.select("part").distinct().select("part", F.lit(-1).cast("long").alias("k"), head.alias("value"))
+    (rows.union(heads).repartition("part").sortWithinPartitions("part", "k").select("part", "value")
+     .write.partitionBy("part").text(path))
+    return f"{path}/part=*"
+
+
+@query("a01_wide_grid", r"""WITH o AS (SELECT *, substr(o_orderpriority, 1, 1) AS part, 1 + CAST(o_orderkey % 3 = 0 AS BIGINT) + CAST(o_orderkey % 5 = 0 AS BIGINT) AS n_lines FROM orders)
+SELECT part, 3 + SUM(n_lines) OVER (PARTITION BY part ORDER BY o_orderkey) - n_lines AS line, CAST(o_orderkey AS VARCHAR) AS key,
+ CASE WHEN o_orderkey % 3 = 0 THEN 'first "' || o_orderkey || '",' || chr(10) || 'second' ELSE 'plain' END AS note, 20 AS width, o_orderstatus AS last FROM o""")
+def wide_grid(spark, d):
+    g = files.scan_grid(spark, statement_files(spark, d)).where("row_no > 2")
+    return g.select(F.regexp_extract("file", r"part=(\d+)", 1).alias("part"), F.col("row_no").alias("line"), F.get("cells", F.lit(0)).alias("key"),
+                    F.get("cells", F.lit(1)).alias("note"), F.size("cells").alias("width"), F.get("cells", F.lit(19)).alias("last"))
+
+
+@query("a01_named_cells", r"""SELECT substr(o_orderpriority, 1, 1) AS part, CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus AS status, 'x|x|x' AS xs, 20 AS n_names FROM orders""")
+def named_cells(spark, d):
+    rows = grids.body_cells(files.scan_grid(spark, statement_files(spark, d)))
+    cell = lambda n: F.element_at("cells", F.lit(n))
+    return rows.select(F.regexp_extract("file", r"part=(\d+)", 1).alias("part"), cell("key").alias("key"), cell("status").alias("status"),
+                       F.concat_ws("|", cell("x"), cell("x.14"), cell("Unnamed: 18")).alias("xs"), F.size("cells").alias("n_names"))
+
+
+@query("a01_mixed_columns", """SELECT o_orderkey % 3 AS layout, CAST(o_orderkey AS VARCHAR) AS "Key", strftime(o_orderdate, '%Y-%m-%d') AS "Date",
+ CASE WHEN o_orderkey % 3 <> 2 THEN o_orderstatus END AS "Status" FROM orders""")
+def mixed_columns(spark, d):
+    path = scratch_path(spark, "mixed")
+    o = b.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("Key"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("Date"),
+                                           F.col("o_orderstatus").alias("Status"), (F.col("o_orderkey") % 3).alias("layout"))
+    for k, names in enumerate((["Key", "Date", "Status"], ["Status", "Key", "Date"], ["Date", "Key"])):
+        sinks.write_csv(o.where(F.col("layout") == k).select(*names), f"{path}/layout={k}")
+    rows = files.scan_csv(spark, f"{path}/layout=*")
+    return rows.select(F.regexp_extract("file", r"layout=(\d+)", 1).cast("long").alias("layout"), "Key", "Date", "Status")
+
+
+def statement_grid(spark, d):
+    return b.statement_grid(spark, d).select("file", "row_no", F.array("c0", "c1", "c2").alias("cells"))
 
 
 @query("a02_statement_rows", f"""WITH {b.STATEMENT_GRID} SELECT file, row_no, c0 AS date, c1 AS description, c2 AS amount FROM grid WHERE row_no >= 13""")
 def statement_rows(spark, d):
-    return grids.statement_rows(b.statement_grid(spark, d))
+    return grids.statement_rows(statement_grid(spark, d))
 
 
 @query("a02_normalise_statement", f"""WITH {b.STATEMENT_GRID} SELECT file, row_no, c0 AS date, trim(c1) AS description, CAST(replace(replace(c2, 'PHP ', ''), ',', '') AS DOUBLE) AS amount
 FROM grid WHERE row_no >= 13 AND c0 <> 'pending' AND c1 IS NOT NULL AND c2 IS NOT NULL""")
 def normalise_statement(spark, d):
-    return grids.normalise_statement(b.statement_grid(spark, d))
+    return grids.normalise_statement(statement_grid(spark, d))
 
 
 @query("a03_statement_layout", f"""WITH {b.STATEMENT_GRID}, t AS (SELECT file, string_agg(upper(COALESCE(c0,'') || ' ' || COALESCE(c1,'') || ' ' || COALESCE(c2,'')), chr(10)) AS t
@@ -56,7 +106,7 @@ def normalise_statement(spark, d):
  + contains(t, 'PAYMENT DUE DATE')::BIGINT + contains(t, 'TOTAL AMOUNT DUE')::BIGINT AS markers FROM t)
 SELECT file, markers, markers >= 3 AS is_statement FROM m""")
 def statement_layout(spark, d):
-    return detect.statement_layout(b.statement_grid(spark, d), ["c0", "c1", "c2"])
+    return detect.statement_layout(statement_grid(spark, d))
 
 
 @query("a04_generic_grid", """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderpriority AS description,

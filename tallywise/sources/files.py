@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallywise.constants import UPLOAD_EXTENSIONS, UPLOAD_MAX_BYTES
 from tallywise.functions.filenames import base_name, extension, version_in
 from tallywise.functions.money import human_size
-from tallywise.operators.ordered import row_ordinals
 from tallywise.operators.taxonomy import dictionary_from_lines
+from tallywise.sources.grids import body_cells
+from tallywise.sources.lines import cells, records
+
+MOST_COLUMNS = 10_000  # distinct names over all headers
 
 REGISTRY_JSON = (
     "models map<string, map<string, struct<locations: map<string,string>, "
@@ -20,25 +23,27 @@ METRICS_JSON = (
 
 
 def scan_csv(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """CSV with a header, every column as text, with the file it came from."""
-    raw = spark.read.option("header", True).csv(paths)
-    return raw.select("*", F.col("_metadata.file_path").alias("file"))
+    """CSV with a header, every column as text, with the file it came from.
+
+    Cells are taken by the names in their own file's header, so files may order
+    their columns differently; a column that a file lacks is null there.
+    """
+    rows = body_cells(scan_grid(spark, paths))
+    # one row per distinct name
+    names = rows.select(F.explode(F.map_keys("cells")).alias("name")).distinct().limit(MOST_COLUMNS + 1).collect()
+    if len(names) > MOST_COLUMNS:
+        raise ValueError(f"over {MOST_COLUMNS} distinct column names")
+    return rows.select(*[F.element_at("cells", F.lit(r.name)).alias(r.name) for r in sorted(names)], "file")
 
 
-def scan_grid(spark: SparkSession, paths: list[str] | str, width: int = 16) -> DataFrame:
-    """Files of any layout as ``(file, row_no, c0 .. cN)``.
+def scan_grid(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """Files of any layout as ``(file, row_no, cells)``, cells being an array as wide as the record.
 
-    Row numbers are dense and start at 0. They come from the split's offset in
-    the file and the order within the split, counted per split, so one huge
-    file is numbered by many tasks.
+    Row numbers are line numbers of the file from 0, with blank lines counted;
+    blank records have no row. Quoted cells keep their line breaks.
     """
-    names = [f"c{i}" for i in range(width)]
-    raw = spark.read.schema(", ".join(f"{n} string" for n in names)).csv(paths)
-    placed = raw.select(F.col("_metadata.file_path").alias("file"),
-                        F.col("_metadata.file_block_start").alias("_split"),
-                        F.monotonically_increasing_id().alias("_at"), *names)
-    numbered = row_ordinals(placed, ["file"], F.col("_split"), [F.col("_at")], "row_no")
-    return numbered.select("file", (F.col("row_no") - 1).alias("row_no"), *names)
+    found = records(spark, paths).where(F.trim("record") != "")
+    return found.select("file", "row_no", cells(F.col("record")).alias("cells"))
 
 
 def manifest(spark: SparkSession, folders: list[str], pattern: str = "*.{csv,xlsx,xls}") -> DataFrame:

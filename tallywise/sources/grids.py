@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallywise.constants import STATEMENT_PREAMBLE_ROWS
 from tallywise.functions.dates import lenient_date
@@ -17,8 +17,7 @@ FIELDS = ["date", "description", "amount"]
 def statement_rows(grid: DataFrame) -> DataFrame:
     """Bank statement rows: after the preamble, first three cells by position."""
     body = grid.where(F.col("row_no") >= STATEMENT_PREAMBLE_ROWS)
-    return body.select("file", "row_no", F.col("c0").alias("date"),
-                       F.col("c1").alias("description"), F.col("c2").alias("amount"))
+    return body.select("file", "row_no", *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(FIELDS)])
 
 
 def normalise_statement(grid: DataFrame) -> DataFrame:
@@ -39,20 +38,39 @@ def normalise_grid(df: DataFrame, keys: list[str]) -> DataFrame:
     return drop_incomplete(typed, FIELDS)
 
 
-def header_cells(grid: DataFrame, width: int) -> DataFrame:
-    """``(file, ordinal, column)`` from row 0 of each file."""
-    names = F.array(*[f"c{i}" for i in range(width)])
-    return (grid.where(F.col("row_no") == 0)
-            .select("file", F.posexplode(names).alias("ordinal", "column"))
-            .where(F.col("column").isNotNull()))
+def unique_names(head: Column) -> Column:
+    """Names of a header row: the second ``x`` is ``x.1``, a cell without text is ``Unnamed: 3`` by its ordinal."""
+    named = F.transform(head, lambda c, i: F.coalesce(c, F.concat(F.lit("Unnamed: "), i.cast("string"))))
 
+    def distinct(name: Column, i: Column) -> Column:
+        earlier = F.size(F.filter(F.slice(named, F.lit(1), i), lambda other: other == name))
+        counted = F.concat(name, F.lit("."), earlier.cast("string"))
+        clash = F.array_contains(named, counted)
+        return F.when(earlier == 0, name).when(clash, F.concat(counted, F.lit("#"), i.cast("string"))).otherwise(counted)
 
-def body_cells(grid: DataFrame, width: int) -> DataFrame:
-    """``(file, row_no, cells)`` with cells named by the file's own header."""
-    names = F.array(*[f"c{i}" for i in range(width)])
-    heads = grid.where(F.col("row_no") == 0).select("file", names.alias("_head"))
-    body = grid.where(F.col("row_no") > 0).select("file", "row_no", names.alias("_cells"))
-    pairs = F.filter(F.arrays_zip("_head", "_cells"), lambda p: p["_head"].isNotNull())
-    return (body.join(heads, "file")
-            .select("file", (F.col("row_no") - 1).alias("row_no"),
-                    F.map_from_entries(pairs).alias("cells")))
+    return F.transform(named, distinct)
+
+
+def heads(grid: DataFrame) -> DataFrame:
+    """``(file, head_row, names)`` from the first row of each file that isn't blank."""
+    first = grid.groupBy("file").agg(F.min("row_no").alias("head_row"), F.min_by("cells", "row_no").alias("head"))
+    return first.select("file", "head_row", unique_names(F.col("head")).alias("names"))
+
+
+def header_cells(grid: DataFrame) -> DataFrame:
+    """``(file, ordinal, column)`` of each file's header."""
+    return heads(grid).select("file", F.posexplode("names").alias("ordinal", "column"))
+
+
+def body_cells(grid: DataFrame) -> DataFrame:
+    """``(file, row_no, cells)`` with cells named by the file's own header, and rows numbered from the line after it.
+
+    A short row has null for what it lacks; cells beyond the header are named by their ordinals.
+    """
+    more = F.transform(F.sequence(F.size("names"), F.greatest(F.size("names"), F.size("cells"))),
+                       lambda i: F.concat(F.lit("Unnamed: "), i.cast("string")))
+    width = F.greatest(F.size("names"), F.size("cells"))
+    keys = F.slice(F.concat("names", more), F.lit(1), width)
+    values = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.get("cells", i))
+    body = grid.join(heads(grid), "file").where(F.col("row_no") > F.col("head_row"))
+    return body.select("file", (F.col("row_no") - F.col("head_row") - 1).alias("row_no"), F.map_from_arrays(keys, values).alias("cells"))

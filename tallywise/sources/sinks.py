@@ -11,8 +11,8 @@ def write_stage(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """UTF-8 CSV export with a header and no index."""
-    df.write.mode("errorifexists").option("header", True).csv(path)
+    """UTF-8 CSV export with a header and no index; a quote inside a quoted cell is doubled."""
+    df.write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
 
 
 def append_metrics(log_rows: DataFrame, path: str) -> None:
