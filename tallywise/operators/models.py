@@ -9,15 +9,15 @@ from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tallywise.constants import MAX_DF, MAX_FEATURES, MIN_CATEGORY_SAMPLES, MIN_DF, SPLIT_SEED
+from tallywise.constants import MAX_DF, MAX_FEATURES, MIN_CATEGORY_SAMPLES, MIN_DF, REQUIRED_COMPONENT, SPLIT_SEED
 from tallywise.operators.scores import (average_precision, class_report, class_weights, macro_average,
                                         macro_f1, report_averages, roc_auc)
-from tallywise.operators.tfidf import encode_labels, fit_vocabulary, row_terms, stratified_split
+from tallywise.operators.stages import RowTerms, ScoredLabel
+from tallywise.operators.tfidf import encode_labels, fit_vocabulary, stratified_split
 from tallywise.operators.validate import keep_frequent
 from tallywise.operators.vote import mean_confidence, majority_vote
 
@@ -28,12 +28,18 @@ MODEL_NAMES = ["logistic", "forest", "bayes"]
 
 @dataclass
 class SourceModels:
-    """What one source needs to predict; every part is of bounded size."""
+    """What one source needs to predict; every part is of bounded size and carries all it needs.
+
+    ``features`` knows its text column and analyzer, and each model its labels.
+    """
 
-    labels: list[str]
     features: PipelineModel
-    analyzer: str
-    models: dict[str, Model] = field(default_factory=dict)
+    models: dict[str, PipelineModel] = field(default_factory=dict)
+
+    @property
+    def labels(self) -> list[str]:
+        scored = next(iter(self.models.values())).stages[-1]
+        return scored.getOrDefault(scored.labels)
 
 
 def make_learners(seed: int = SPLIT_SEED) -> dict:
@@ -48,7 +54,7 @@ def make_learners(seed: int = SPLIT_SEED) -> dict:
 def fit_features(train: DataFrame, text: str, analyzer: str = "word",
                  min_df: int = MIN_DF, max_df: float = MAX_DF,
                  max_features: int = MAX_FEATURES) -> PipelineModel:
-    """TF-IDF stages from the relational vocabulary.
+    """Text to TF-IDF vector, from the relational vocabulary.
 
     Only the vocabulary, at most ``max_features`` terms, reaches the driver.
     """
@@ -59,14 +65,13 @@ def fit_features(train: DataFrame, text: str, analyzer: str = "word",
     scale = ElementwiseProduct(scalingVec=Vectors.dense([t.idf for t in terms]),
                                inputCol="term_counts", outputCol="scaled")
     unit = Normalizer(p=2.0, inputCol="scaled", outputCol="features")
-    return PipelineModel([counter, scale, unit])
+    return PipelineModel([RowTerms(inputCol=text, analyzer=analyzer), counter, scale, unit])
 
 
-def featurise(df: DataFrame, text: str, features: PipelineModel, analyzer: str = "word"
-              ) -> DataFrame:
-    """Add the feature vector row by row; no shuffle."""
-    with_terms = df.withColumn("terms", row_terms(F.coalesce(F.col(text), F.lit("")), analyzer))
-    return features.transform(with_terms).drop("terms", "term_counts", "scaled")
+def featurise(df: DataFrame, text: str | None, features: PipelineModel) -> DataFrame:
+    """Add the feature vector row by row; no shuffle. Without ``text`` the column of the training is read."""
+    read = {features.stages[0].inputCol: text} if text else {}
+    return features.transform(df, read).drop("terms", "term_counts", "scaled")
 
 
 def prepare(df: DataFrame, row: str, text: str, label: str,
@@ -87,17 +92,17 @@ def train(prepared: DataFrame, text: str, label: str, analyzer: str = "word",
     train_rows = prepared.where(~F.col("is_test"))
     features = fit_features(train_rows, text, analyzer, **limits)
     weights = class_weights(train_rows, "code").select("code", "weight")
-    ready = featurise(train_rows, text, features, analyzer).join(weights, "code").select(
+    ready = featurise(train_rows, text, features).join(weights, "code").select(
         "code", "weight", "features")
     # one row per class
     labels = [r[label] for r in prepared.select(label, "code").distinct()
               .orderBy("code").collect()]
-    out = SourceModels(labels, features, analyzer)
+    out = SourceModels(features)
     ready.persist()
     try:
         for name, learner in (learners or make_learners()).items():
             try:
-                out.models[name] = learner.fit(ready)
+                out.models[name] = PipelineModel([learner.fit(ready), ScoredLabel(model=name, labels=labels)])
             except Exception as e:  # one learner must not stop the others
                 log.warning("training %s failed: %s", name, e)
     finally:
@@ -107,24 +112,26 @@ def train(prepared: DataFrame, text: str, label: str, analyzer: str = "word",
     return out
 
 
-def model_columns(df: DataFrame, text: str, source: SourceModels) -> DataFrame:
-    """Add ``label_{m}``, ``confidence_{m}`` and ``probability_{m}`` of each model."""
-    names = F.lit(source.labels)
-    out = featurise(df, text, source.features, source.analyzer)
+def model_columns(df: DataFrame, text: str | None, source: SourceModels) -> DataFrame:
+    """Add ``label_{m}``, ``confidence_{m}`` and ``probability_{m}`` of each model.
+
+    A model that cannot score is reported and left out; none left is an error.
+    """
+    out, used = featurise(df, text, source.features), 0
     for name, model in source.models.items():
-        scored = model.transform(out)
-        probs = vector_to_array("probability")
-        out = (scored.withColumns({
-            f"label_{name}": F.element_at(names, (F.col("prediction") + 1).cast("int")),
-            f"confidence_{name}": F.array_max(probs), f"probability_{name}": probs})
-            .drop("rawPrediction", "probability", "prediction"))
+        try:
+            out, used = model.transform(out), used + 1
+        except Exception as e:  # one model must not stop the others
+            log.warning("model %s cannot predict: %s", name, e)
+    if not used:
+        raise ValueError("no model can predict")
     return out.drop("features")
 
 
-def predict(df: DataFrame, text: str, source: SourceModels) -> DataFrame:
+def predict(df: DataFrame, text: str | None, source: SourceModels) -> DataFrame:
     """Add the voted category and the mean confidence of the models."""
-    names = list(source.models)
     out = model_columns(df, text, source)
+    names = [n for n in source.models if f"label_{n}" in out.columns]
     return out.withColumns({
         "predicted_category": majority_vote([F.col(f"label_{n}") for n in names]),
         "confidence": mean_confidence([F.col(f"confidence_{n}") for n in names]),
@@ -185,7 +192,7 @@ def search(prepared: DataFrame, text: str, regs: list[float], analyzer: str = "w
     train_rows = prepared.where(~F.col("is_test"))
     features = fit_features(train_rows, text, analyzer, **limits)
     weights = class_weights(train_rows, "code").select("code", "weight")
-    ready = featurise(train_rows, text, features, analyzer).join(weights, "code").select(
+    ready = featurise(train_rows, text, features).join(weights, "code").select(
         "code", "weight", "features")
     learner = LogisticRegression(family="multinomial", maxIter=50, featuresCol="features",
                                  labelCol="code", weightCol="weight")
@@ -197,17 +204,26 @@ def search(prepared: DataFrame, text: str, regs: list[float], analyzer: str = "w
 
 def save_models(source: SourceModels, path: str) -> dict[str, str]:
     """Write the features and models under a shared path; returns their locations."""
-    places = {"tfidf_vectorizer": f"{path}/features"}
-    source.features.write().overwrite().save(places["tfidf_vectorizer"])
+    places = {REQUIRED_COMPONENT: f"{path}/features"}
+    source.features.write().overwrite().save(places[REQUIRED_COMPONENT])
     for name, model in source.models.items():
         places[name] = f"{path}/{name}"
-        PipelineModel([model]).write().overwrite().save(places[name])
+        model.write().overwrite().save(places[name])
     return places
 
 
-def load_models(spark: SparkSession, places: dict[str, str], labels: list[str],
-                analyzer: str = "word") -> SourceModels:
-    """Load saved parts; a model that is not listed is simply absent."""
-    features = PipelineModel.load(places["tfidf_vectorizer"])
-    models = {n: PipelineModel.load(p) for n, p in places.items() if n != "tfidf_vectorizer"}
-    return SourceModels(labels, features, analyzer, models)
+def load_models(places: dict[str, str]) -> SourceModels:
+    """Load saved parts, which need nothing else to predict.
+
+    A model that cannot be loaded is reported and left out; none left is an error.
+    """
+    out = SourceModels(PipelineModel.load(places[REQUIRED_COMPONENT]))
+    for name, place in places.items():
+        if name != REQUIRED_COMPONENT:
+            try:
+                out.models[name] = PipelineModel.load(place)
+            except Exception as e:  # one model must not stop the others
+                log.warning("model %s cannot be loaded: %s", name, e)
+    if not out.models:
+        raise ValueError("no model could be loaded")
+    return out

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import logging
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallywise.constants import SOURCES
+from tallywise.constants import SOURCE_SETTINGS, SOURCES
 from tallywise.operators import models as ml
+from tallywise.operators.registry import REGISTRY_SCHEMA, current_entries, empty_registry, register
 from tallywise.operators.schema import add_canonical, align_to, cast_losses, choose_category, stamp_lineage
 from tallywise.operators.validate import blocking_errors, validation_report
-from tallywise.sources.sinks import write_training
+from tallywise.session import materialise
+from tallywise.sources.sinks import append_registry, write_training
 
 log = logging.getLogger(__name__)
 
@@ -95,18 +98,83 @@ def merge_corrections(training: DataFrame, corrections: DataFrame, dictionary: D
     return report
 
 
-def retrain(spark: SparkSession, training: DataFrame, source: str, row: str, path: str,
-            analyzer: str = "word", **limits) -> ml.SourceModels | None:
-    """Train one source on its whole training set and save the parts.
+def settings_of(source: str) -> dict:
+    """Samples a category needs, confidence threshold and analyzer of a source."""
+    _, _, samples, threshold, _, analyzer, *_ = next(s for s in SOURCE_SETTINGS if s[0] == source)
+    return {"min_samples": samples, "threshold": threshold, "analyzer": analyzer}
+
+
+def claim_version(spark: SparkSession, root: str, source: str, known: int) -> int:
+    """The first version after ``known`` that no other run has claimed.
+
+    A claim is a file that only one run can create, so runs at the same time get different versions.
+    """
+    jvm, version = spark._jvm, known + 1
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    while True:
+        place = jvm.org.apache.hadoop.fs.Path(f"{root}/claims/{source}/v{version}")
+        if place.getFileSystem(conf).createNewFile(place):
+            return version
+        version += 1
+
+
+def publish(spark: SparkSession, fitted: ml.SourceModels, metrics: dict[str, dict[str, float]], source: str, training_data: str,
+            root: str, registry: str, extra: dict[str, str] | None = None) -> int:
+    """Models first, under a folder of this version; then one registry file with all components is the commit.
+
+    A run that ends in between leaves a claimed version that no registry entry names.
+    """
+    known = current_entries(read_registry(spark, registry)).where(F.col("model").startswith(f"{source}_"))
+    version = claim_version(spark, root, source, known.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0])
+    places = ml.save_models(fitted, f"{root}/{source}/v{version}")
+    entries = spark.createDataFrame(
+        [(f"{source}_{name}", version, {"path": place}, metrics.get(name, {}), training_data, extra or {}) for name, place in places.items()],
+        "model string, version int, locations map<string,string>, metrics map<string,double>, training_data string, extra map<string,string>")
+    now = F.current_timestamp()
+    events = register(entries, now, F.unix_micros(now))
+    append_registry(events.select(*empty_registry(spark).columns).coalesce(1), registry)  # one file appears whole or not at all
+    return version
+
+
+def read_registry(spark: SparkSession, registry: str) -> DataFrame:
+    """All registry events; none before the first."""
+    try:
+        return spark.read.schema(REGISTRY_SCHEMA).parquet(registry)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return empty_registry(spark)
+
+
+def registered_models(spark: SparkSession, registry: str, source: str) -> ml.SourceModels:
+    """The latest registered models of a source, ready to predict."""
+    entries = current_entries(read_registry(spark, registry)).where(
+        F.col("model").startswith(f"{source}_") & (F.col("status") == "active"))
+    rows = entries.select(F.substring("model", len(source) + 2, 1000).alias("component"), "version", "locations").collect()
+    if not rows:
+        raise ValueError(f"no registered models of {source}")
+    last = max(r.version for r in rows)  # a few components for each version
+    return ml.load_models({r.component: r.locations["path"] for r in rows if r.version == last})
+
+
+def retrain(spark: SparkSession, training: DataFrame, source: str, row: str, root: str, registry: str, **limits) -> int | None:
+    """Train one source on its whole training set with its own settings, evaluate, publish; the new version.
 
     A failure is logged and gives ``None``; the merged data stay as they are.
     """
     try:
+        chosen = settings_of(source)
         rows = training.where(F.col("transaction_source") == source)
-        prepared = ml.prepare(rows, row, "Description", "Category")
-        fitted = ml.train(prepared, "Description", "Category", analyzer, **limits)
-        ml.save_models(fitted, f"{path}/{source}")
-        return fitted
+        prepared = materialise(spark, ml.prepare(rows, row, "Description", "Category", chosen["min_samples"]), "prepared")
+        fitted = ml.train(prepared, "Description", "Category", chosen["analyzer"], **limits)
+        scored = materialise(spark, ml.model_columns(prepared.where("is_test"), "Description", fitted).drop("Description"), "scored")
+        metrics = {}
+        for name in fitted.models:
+            found = ml.evaluate(scored, "Category", name, fitted.labels).first().asDict()
+            metrics[name] = {k: float(v) for k, v in found.items() if k != "model" and v is not None}
+        seen = rows.agg(F.count(F.lit(1)).alias("rows"), F.max("training_version").alias("v")).first()
+        return publish(spark, fitted, metrics, source, f"{source}:v{seen.v}", root, registry,
+                       {"rows": str(seen.rows), "analyzer": chosen["analyzer"], "threshold": str(chosen["threshold"])})
     except Exception as e:
         log.error("retraining %s failed, merged data kept: %s", source, e)
         return None

@@ -37,7 +37,7 @@ def train_and_evaluate(spark, d):
 def model_search(spark, d):
     rows = documents(spark, d)
     regs = [1e-3, 1e-1]
-    _, scores = ml.search(rows, "text", regs, max_features=1000)
+    _, scores = ml.search(rows, "text", regs)
     tried = spark.createDataFrame(list(zip(regs, scores)), "reg double, macro_f1 double")
     n = rows.agg(F.count(F.lit(1))).scalar()
     return rounded(tried.withColumn("n_rows", n))
@@ -50,7 +50,7 @@ def predict(spark, d):
     fitted = {}
     for source, analyzer in (("household", "word"), ("credit_card", "char_wb")):
         rows = materialise(spark, ml.prepare(led.where(F.col("transaction_source") == source), "txn_id", "description", "label"), "prepared")
-        fitted[source] = ml.train(rows, "description", "label", analyzer, max_features=500)
+        fitted[source] = ml.train(rows, "description", "label", analyzer)
     mixed = led.withColumn("transaction_source", F.when(F.col("txn_id") % 50 == 0, "unknown").otherwise(F.col("transaction_source")))
     return rounded(ml.predict_by_source(mixed, "description", fitted).select(
         "txn_id", "transaction_source", "label", "predicted_category", "confidence"))
@@ -66,15 +66,27 @@ def retrain_and_register(spark, d):
                          reg.source_model_version(latest, "logistic"))
     merged = materialise(spark, tr.union_training(training, new).withColumn(
         "row_id", F.concat_ws(":", "training_version", "row_key")), "merged")
-    path = scratch_path(spark, "models")
-    out = None
+    return registered(spark, merged)
+
+
+def registered(spark, training):
+    """Retrain both sources and read the new entries back from the registry."""
+    root, registry = scratch_path(spark, "models"), scratch_path(spark, "registry")
     for source in ("household", "credit_card"):
-        fitted = tr.retrain(spark, merged, source, "row_id", path, max_features=500)
-        places = ml.save_models(fitted, f"{path}/{source}-v1")
-        entry = (merged.where(F.col("transaction_source") == source).groupBy("transaction_source")
-                 .agg(F.count(F.lit(1)).alias("rows"), F.max("training_version").alias("version")))
-        one = entry.select(F.explode(F.lit(list(places))).alias("component"), "*").select(
-            F.concat_ws("_", "transaction_source", "component").alias("model"), "version", "rows",
-            F.lit("active").alias("status"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        tr.retrain(spark, training, source, "row_id", root, registry)
+    return reg.latest_versions(reg.current_entries(tr.read_registry(spark, registry))).select(
+        "model", "version", "status", "training_data", F.element_at("extra", F.lit("rows")).cast("long").alias("rows"),
+        F.element_at("extra", F.lit("analyzer")).alias("analyzer"), F.element_at("extra", F.lit("threshold")).cast("double").alias("threshold"),
+        F.size("metrics").alias("n_metrics"),
+        F.coalesce(F.element_at("metrics", F.lit("macro_f1")).between(0, 1), F.lit(True)).alias("metrics_in_range"))
+
+
+@query("k09_registered_models", f"""WITH {b.TRAINING}, s AS (SELECT transaction_source AS source, 'v' || MAX(training_version) AS v, COUNT(*) AS n FROM training
+ WHERE transaction_source IN ('household', 'credit_card') GROUP BY 1), c(component, n_metrics) AS (VALUES ('tfidf_vectorizer', 0), ('logistic', 6), ('forest', 6), ('bayes', 6))
+SELECT source || '_' || component AS model, 1 AS version, 'active' AS status, source || ':' || v AS training_data, n AS rows,
+ CASE WHEN source = 'household' THEN 'word' ELSE 'char_wb' END AS analyzer, CASE WHEN source = 'household' THEN 0.6::DOUBLE ELSE 0.7::DOUBLE END AS threshold,
+ n_metrics, TRUE AS metrics_in_range FROM s, c""")
+def registered_models(spark, d):
+    training = b.training_rows(spark, d).withColumn("Category", F.substring_index("Description", " ", 1)).withColumn(
+        "row_id", F.monotonically_increasing_id())
+    return registered(spark, materialise(spark, training, "training"))

@@ -45,7 +45,7 @@ def file_drop_ingest(spark, d):
 def file_drop_predict(spark, d):
     led = b.ledger(spark, d).select("txn_id", "description", F.col("event_type").alias("label"))
     rows = materialise(spark, ml.prepare(led, "txn_id", "description", "label"), "prepared")
-    fitted = ml.train(rows, "description", "label", max_features=500)
+    fitted = ml.train(rows, "description", "label")
     inbox, results = drop_files(spark, d), scratch_path(spark, "results")
     q = ingest.run_file_drop(spark, inbox, results, scratch_path(spark, "checkpoint"),
                              lambda batch: ml.predict(clean(batch), "description", fitted))

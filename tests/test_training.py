@@ -123,8 +123,9 @@ def test_predictions(spark, docs, fitted, tmp_path):
     assert got.count() == rows.count()
     assert got.where(~F.col("predicted_category").isin(parts.labels) | (F.col("confidence") < 0) | (F.col("confidence") > 1)).count() == 0
     places = ml.save_models(parts, str(tmp_path / "m"))
-    back = ml.load_models(spark, places, parts.labels)
-    again = ml.predict(rows, "text", back)
+    back = ml.load_models(places)
+    assert back.labels == parts.labels
+    again = ml.predict(rows, None, back)
     cols = ["doc_id", "predicted_category", F.round("confidence", 9).alias("c")]
     assert got.select(*cols).exceptAll(again.select(*cols)).count() == 0
 
@@ -163,7 +164,51 @@ def test_evaluation_ranges(fitted):
 
 def test_retrain_failure_keeps_data(spark, tmp_path):
     empty = spark.createDataFrame([], "row_id string, Description string, Category string, transaction_source string")
-    assert tr.retrain(spark, empty, "household", "row_id", str(tmp_path)) is None
+    assert tr.retrain(spark, empty, "household", "row_id", str(tmp_path / "m"), str(tmp_path / "r")) is None
+    with pytest.raises(ValueError, match="no registered"):
+        tr.registered_models(spark, str(tmp_path / "r"), "household")
+
+
+def test_published_models_predict_and_half_runs_are_not_seen(spark, docs, tmp_path, monkeypatch):
+    root, registry = str(tmp_path / "m"), str(tmp_path / "r")
+    rows = docs.select(F.col("doc_id").alias("row_id"), F.col("text").alias("Description"), F.col("label").alias("Category"),
+                       F.lit("credit_card").alias("transaction_source"), F.lit(7).alias("training_version"))
+    assert tr.retrain(spark, rows, "credit_card", "row_id", root, registry, max_features=100) == 1
+    card = tr.registered_models(spark, registry, "credit_card")
+    assert card.features.stages[0].getOrDefault("analyzer") == "char_wb" and set(card.models) == set(ml.MODEL_NAMES)
+    other = docs.withColumnRenamed("text", "Description")
+    before = {r.doc_id: r.predicted_category for r in ml.predict(other, None, card).select("doc_id", "predicted_category").collect()}
+    assert set(before.values()) <= set(card.labels)
+    with monkeypatch.context() as m:  # the run ends after its models and before its registry entry
+        m.setattr(tr, "append_registry", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        assert tr.retrain(spark, rows, "credit_card", "row_id", root, registry, max_features=50) is None
+    events = tr.read_registry(spark, registry)
+    assert events.agg(F.max("version")).first()[0] == 1
+    assert tr.claim_version(spark, root, "credit_card", 1) == 3  # 2 stays claimed; another run gets the next
+    assert tr.publish(spark, card, {}, "credit_card", "t", root, registry) == 4
+    again = tr.registered_models(spark, registry, "credit_card")
+    assert {r.doc_id: r.predicted_category for r in ml.predict(other, None, again).collect()} == before
+
+
+def test_broken_models_are_left_out(docs, fitted, tmp_path):
+    _, parts = fitted
+    places = ml.save_models(parts, str(tmp_path / "m"))
+    some = ml.load_models({**places, "forest": str(tmp_path / "nothing")})
+    assert set(some.models) == set(parts.models) - {"forest"}
+    assert ml.predict(docs, "text", some).where("predicted_category is null").count() == 0
+
+    class Broken:
+        stages = some.models["bayes"].stages
+
+        def transform(self, _):
+            raise RuntimeError("no")
+
+    half = ml.SourceModels(some.features, {"broken": Broken(), "bayes": some.models["bayes"]})
+    assert ml.predict(docs, "text", half).count() == docs.count()
+    with pytest.raises(ValueError, match="no model can predict"):
+        ml.predict(docs, "text", ml.SourceModels(some.features, {"broken": Broken()}))
+    with pytest.raises(ValueError, match="could be loaded"):
+        ml.load_models({ml.REQUIRED_COMPONENT: places[ml.REQUIRED_COMPONENT], "bayes": str(tmp_path / "no")})
 
 
 def test_file_drop_takes_each_file_once(spark, tmp_path):
