@@ -8,8 +8,6 @@ from dataclasses import dataclass, field
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import Vectors
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame, functions as F
 
@@ -17,7 +15,7 @@ from tallywise.constants import MAX_DF, MAX_FEATURES, MIN_CATEGORY_SAMPLES, MIN_
 from tallywise.operators.scores import (average_precision, class_report, class_weights, macro_average,
                                         macro_f1, report_averages, roc_auc)
 from tallywise.operators.stages import RowTerms, ScoredLabel
-from tallywise.operators.tfidf import encode_labels, fit_vocabulary, stratified_split
+from tallywise.operators.tfidf import encode_labels, fit_vocabulary, indexed_terms, stratified_split, vector_stages
 from tallywise.operators.validate import keep_frequent
 from tallywise.operators.vote import mean_confidence, majority_vote
 
@@ -59,13 +57,7 @@ def fit_features(train: DataFrame, text: str, analyzer: str = "word",
     Only the vocabulary, at most ``max_features`` terms, reaches the driver.
     """
     vocab = fit_vocabulary(train, text, analyzer, min_df=min_df, max_df=max_df, max_features=max_features)
-    terms = vocab.orderBy(F.desc("cf"), "term").select("term", "idf").collect()
-    counter = CountVectorizerModel.from_vocabulary([t.term for t in terms], inputCol="terms",
-                                                   outputCol="term_counts")
-    scale = ElementwiseProduct(scalingVec=Vectors.dense([t.idf for t in terms]),
-                               inputCol="term_counts", outputCol="scaled")
-    unit = Normalizer(p=2.0, inputCol="scaled", outputCol="features")
-    return PipelineModel([RowTerms(inputCol=text, analyzer=analyzer), counter, scale, unit])
+    return PipelineModel([RowTerms(inputCol=text, analyzer=analyzer), *vector_stages(indexed_terms(vocab))])
 
 
 def featurise(df: DataFrame, text: str | None, features: PipelineModel) -> DataFrame:

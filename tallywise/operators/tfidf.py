@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallywise.constants import MAX_DF, MAX_FEATURES, MIN_DF, SPLIT_SEED, TEST_FRACTION
@@ -53,20 +55,41 @@ def vocabulary(stats: DataFrame, n_rows: Column, min_df: int = MIN_DF, max_df: f
             .withColumn("idf", F.log((n_rows + 1) / (F.col("df") + 1)) + 1))
 
 
-def weigh(df: DataFrame, row: str, text: str, vocab: DataFrame, analyzer: str = "word"
-          ) -> DataFrame:
+def vector_stages(terms: list[tuple[str, float]]) -> list:
+    """From a row's terms to its vector of tf times idf, scaled to length one; ``terms`` are (term, idf) by index."""
+    counter = CountVectorizerModel.from_vocabulary([t for t, _ in terms], inputCol="terms", outputCol="term_counts")
+    scale = ElementwiseProduct(scalingVec=Vectors.dense([w for _, w in terms]), inputCol="term_counts", outputCol="scaled")
+    return [counter, scale, Normalizer(p=2.0, inputCol="scaled", outputCol="features")]
+
+
+def indexed_terms(vocab: DataFrame) -> list[tuple[str, float]]:
+    """(term, idf) in the order of their indices; a vocabulary has at most ``max_features`` terms."""
+    return [(r.term, r.idf) for r in vocab.orderBy(F.desc("cf"), "term").select("term", "idf").collect()]
+
+
+def weigh(df: DataFrame, row: str, text: str, vocab: DataFrame, analyzer: str = "word", keep: bool = False) -> DataFrame:
     """``(row, term, weight)``: tf times idf, scaled to length one per row.
 
-    The vocabulary holds at most ``max_features`` terms, so it is broadcast and
-    drops all other terms before anything is shuffled; a row then has at most
-    that many terms.
+    A row's sparse vector is made where the row is and taken apart by index, so
+    nothing is shuffled per row or term. The names of the indices, at most
+    ``max_features``, are broadcast. With ``keep`` a row without a known term
+    stays with a null term.
     """
-    terms = df.select(row, F.explode(row_terms(F.col(text), analyzer)).alias("term"))
-    known = terms.join(F.broadcast(vocab.select("term", "idf")), "term")
-    raw = known.groupBy(row, "term", "idf").agg(F.count(F.lit(1)).alias("tf")).select(
-        row, "term", (F.col("tf") * F.col("idf")).alias("raw"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(row)))
-    return raw.select(row, "term", (F.col("raw") / norm).alias("weight"))
+    terms = indexed_terms(vocab)
+    if not terms:
+        none = df.select(row, F.lit(None).cast("string").alias("term"), F.lit(None).cast("double").alias("weight"))
+        return none if keep else none.where(F.lit(False))
+    out = df.select(row, row_terms(F.coalesce(F.col(text), F.lit("")), analyzer).alias("terms"))
+    for stage in vector_stages(terms):
+        out = stage.transform(out)
+    vector = out.select(row, F.unwrap_udt("features").alias("v"))
+    # vectors of mostly known terms are stored dense
+    index = F.when(F.col("v.type") == 0, F.col("v.indices")).otherwise(F.sequence(F.lit(0), F.size("v.values") - 1))
+    cells = F.filter(F.arrays_zip(index.alias("i"), F.col("v.values").alias("w")), lambda c: c["w"] != 0)
+    spread = (F.explode_outer if keep else F.explode)(cells)
+    flat = vector.select(row, spread.alias("c")).select(row, F.col("c.i").alias("_i"), F.col("c.w").alias("weight"))
+    names = df.sparkSession.createDataFrame([(i, t) for i, (t, _) in enumerate(terms)], "_i int, term string")
+    return flat.join(F.broadcast(names), "_i", "left").select(row, "term", "weight")
 
 
 def fit_vocabulary(df: DataFrame, text: str, analyzer: str = "word", **limits) -> DataFrame:
@@ -86,7 +109,7 @@ def apply_tfidf(df: DataFrame, row: str, text: str, vocab: DataFrame,
 
     Every row is kept: one without a known term has a null term and no weight.
     """
-    return df.select(row).join(weigh(df, row, text, vocab, analyzer), row, "left")
+    return weigh(df, row, text, vocab, analyzer, keep=True)
 
 
 def encode_labels(df: DataFrame, label: str) -> DataFrame:

@@ -160,11 +160,17 @@ def pr_auc(spark, d):
 
 @query("f13_f14_macro", f"""WITH {SCORED}, g AS (SELECT label, score, SUM(y) AS p, COUNT(*) AS n FROM s GROUP BY ALL),
 c AS (SELECT label, p, SUM(p) OVER w AS tp, SUM(n) OVER w AS a FROM g WINDOW w AS (PARTITION BY label ORDER BY score DESC)),
-e AS (SELECT label, CASE WHEN SUM(p) > 0 THEN SUM(p * tp / a) / SUM(p) END AS v FROM c GROUP BY 1)
-SELECT ROUND(AVG(v), 6) AS pr_auc, COUNT(v) AS classes FROM e""")
-def macro_pr_auc(spark, d):
-    per = sc.average_precision(scored(spark, d), "label", "positive", "score")
-    return rounded(sc.macro_average(per, "pr_auc"), "pr_auc")
+e AS (SELECT label, CASE WHEN SUM(p) > 0 THEN SUM(p * tp / a) / SUM(p) END AS v FROM c GROUP BY 1),
+r AS (SELECT label, y, RANK() OVER (PARTITION BY label ORDER BY score) + (COUNT(*) OVER (PARTITION BY label, score) - 1) / 2.0 AS k FROM s),
+u AS (SELECT label, SUM(y) AS p, COUNT(*) - SUM(y) AS n, SUM(k) FILTER (y = 1) AS k FROM r GROUP BY 1)
+SELECT 'pr_auc' AS score, ROUND(AVG(v), 6) AS macro, COUNT(v) AS classes FROM e
+UNION ALL SELECT 'roc_auc', ROUND(AVG(CASE WHEN p > 0 AND n > 0 THEN (k - p * (p + 1) / 2.0) / (p * n) END), 6), COUNT(*) FILTER (p > 0 AND n > 0) FROM u""")
+def macro_auc(spark, d):
+    rows = scored(spark, d)
+    pr = sc.macro_average(sc.average_precision(rows, "label", "positive", "score"), "pr_auc")
+    roc = sc.macro_average(sc.roc_auc(rows, "label", "positive", "score"), "roc_auc")
+    named = lambda df, n: df.select(F.lit(n).alias("score"), F.col(n).alias("macro"), "classes")
+    return rounded(named(pr, "pr_auc").unionByName(named(roc, "roc_auc")), "macro")
 
 
 @query("f15_run_summary", f"""WITH {b.PREDICTIONS} SELECT transaction_source, COUNT(*) AS n_rows, ROUND(AVG(confidence), 6) AS mean_confidence,

@@ -10,7 +10,7 @@ from tallywise.plans import load
 QUERIES, ORACLES = load()
 # trained models and streams run jobs while they are built
 BUILT_BY_JOBS = {"k06_k09_train_and_evaluate", "k07_model_search", "k08_predict", "k11_retrain_and_register",
-                 "l01_file_drop_predict"}
+                 "l01_file_drop_predict", "k09_registered_models"}
 
 
 def plan_of(df):
@@ -43,3 +43,9 @@ def test_small_tables_are_not_dealt_out(spark, sf):
 def test_queries_load_without_a_session():
     code = "import __spark_entry__ as e; assert set(e.oracle_sql()) < set(e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True, timeout=60)
+
+
+def test_term_weights_are_not_shuffled(spark, sf):
+    for name in ("k01_tfidf_word", "k02_tfidf_char", "k03_apply_vocabulary"):
+        plan = plan_of(QUERIES[name](spark, sf))
+        assert "hashpartitioning" not in plan and "Window" not in plan, name
