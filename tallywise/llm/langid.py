@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tallywise.llm.common import held_out, prepare_workers, text_or_empty
-from tallywise.llm.learn import ftrl, labelled_sample, sample_features, softmax, temperature
+from tallywise.llm.learn import ftrl, labelled_sample, sample_features, softmax, temperature, with_texts
 
 SIZE = 1 << 16
 SAMPLE = 6000  # labelled rows that the weights are fitted on
@@ -87,7 +87,8 @@ def train(spark: SparkSession, docs: DataFrame, learn, id_col: str, text_col: st
     prepare_workers(spark)
     rows = docs.where(learn).where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(
         F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{lang_col}`").alias("label"), text_or_empty(text_col).alias("body"))
-    held = sample_features(rows.select("doc_id", "body"), labelled_sample(rows.select("doc_id", "label"), sample), features)
+    picked = labelled_sample(with_texts(rows.select("doc_id", "body"), rows.select("doc_id", "label")), sample)
+    held = sample_features(rows.select("doc_id", "body"), picked, features)
     held = [row for row in held if len(row[1])]
     if not held:
         return None

@@ -7,15 +7,32 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 Features = Callable[[str], tuple[np.ndarray, np.ndarray]]  # text -> distinct feature numbers, counts
 
 
-def labelled_sample(labelled: DataFrame, limit: int) -> DataFrame:
-    """At most ``limit`` rows of (doc_id, label), spread evenly by a hash of the id; repeated ids give one row."""
-    rows = labelled.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+FLOOR = 300  # rows of every label that a sample holds at least, if there are as many
+
+
+def with_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, label and text_hash of every labelled document; ``docs`` has doc_id and body."""
+    one = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
+    return docs.select("doc_id", F.xxhash64("body").alias("text_hash")).join(one, "doc_id")
+
+
+def labelled_sample(labelled: DataFrame, limit: int, floor: int = FLOOR) -> DataFrame:
+    """(doc_id, label) of ``limit`` different texts, spread evenly by their hash, and of at least ``floor`` of every label.
+
+    ``labelled`` has doc_id, label and text_hash. So a rare label is learned at
+    every size of the table, and copies take no place. At most ``limit`` rows
+    and ``floor`` a label; both ranks are cut before the shuffle.
+    """
+    rows = labelled.groupBy("text_hash").agg(F.min_by(F.struct("doc_id", "label"), "doc_id").alias("row")).select("row.*", "text_hash")
+    order = [F.xxhash64("text_hash"), F.col("text_hash")]
+    spread = rows.orderBy(*order).limit(limit)
+    each = rows.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy(*order))).where(F.col("place") <= floor)
+    return spread.select("doc_id", "label").union(each.select("doc_id", "label")).distinct()
 
 
 def sample_features(docs: DataFrame, sample: DataFrame, features: Features) -> list[tuple[object, np.ndarray, np.ndarray]]:

@@ -19,13 +19,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tallywise.llm.common import held_out, prepare_workers, text_or_empty
-from tallywise.llm.learn import labelled_sample, sample_features, softmax
+from tallywise.llm.learn import labelled_sample, sample_features, softmax, with_texts
 
 BUCKETS = 1 << 17
 WIDTH = 16
 GRAMS = (3, 4)
-SAMPLE = 3000  # labelled rows that the vectors are fitted on
-EPOCHS = 3
+SAMPLE = 5000  # labelled rows that the vectors are fitted on
+EPOCHS = 4
 RATE = 0.3
 CACHE = 150_000  # words whose summed features a worker remembers
 THRESHOLD = 0.3
@@ -128,7 +128,7 @@ def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_co
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), held_out(5, 0, id_col).alias("held_out"),
                        text_or_empty(text_col).alias("body"))
     known = labels.select("doc_id", F.col(f"`{label_col}`").cast("int").alias("label")).where("label in (0, 1)")
-    picked = labelled_sample(known.where(~held_out(5, 0)), sample)
+    picked = labelled_sample(with_texts(rows, known.where(~held_out(5, 0))), sample)
     held = sample_features(rows.where("not held_out").select("doc_id", "body"), picked, features)
     kinds = {label for label, _, _ in held}
     model = train(held) if len(kinds) == 2 else (np.zeros(BUCKETS), {0: -20.0, 1: 20.0}.get(next(iter(kinds), 2), 0.0))

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tallywise.llm.common import held_out, prepare_workers, text_or_empty
-from tallywise.llm.learn import ftrl, labelled_sample, sample_features
+from tallywise.llm.learn import ftrl, labelled_sample, sample_features, with_texts
 
 BUCKETS = 1 << 20
 BEGINNINGS = (4, 5, 6)
@@ -41,6 +41,9 @@ SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g",
 FILLERS = set(".-_*~'·, /\\^=:")
 SWAP, FILL, STRETCH, WILD, EDGE = -1.0, -1.0, -0.7, -3.5, -4.0  # log costs of a sign, a filler, a repeated or masked letter, a real mark
 PATHS = 8  # readings that count where signs leave more than one
+GAP = 30.0  # and none less likely than the best by more than this (natural log)
+MASK = "\0"  # any letter
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 SYMBOLS = 28  # 0 edge, 1 to 26 letters a to z, 27 any other letter
 OTHER = 27
@@ -53,6 +56,7 @@ LONG_RUN = re.compile(r"(.)\1\1")
 SPACED = regex.compile(r"(?<!\S)(?:[^\s\p{P}][ ]){2,}[^\s\p{P}](?!\S)|(?<!\S)(?:[\p{L}\p{N}@$!|*+][ .\-_*]){3,}[\p{L}\p{N}@$!|*+](?!\S)")
 SINGLES = re.compile(r"(?<!\S).[ .\-_*].[ .\-_*].", re.DOTALL)  # every match of SPACED begins so; found faster
 TRIM = ".,;:!?\"'()[]{}<>«»„“”…#%&*$~-_/\\=^`|+"
+MARKS = "".join(c for c in TRIM if c not in SIGNS)  # never part of a word at its ends
 TRIM_LEFT = TRIM.replace("$", "").replace("(", "").replace("|", "").replace("!", "").replace("*", "")
 
 
@@ -75,94 +79,165 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def language_model(counts: np.ndarray) -> list[float]:
-    """log P(c | a, b) for every trigram number a, b, c; backs off to P(c | b)."""
+@dataclass
+class Language:
+    """log P(c | a, b): as a list by trigram number, as a table, and the longest run of ``*`` that can still mask letters."""
+    logs: list[float]
+    table: np.ndarray
+    longest: int
+
+
+def language_model(counts: np.ndarray) -> Language:
+    """The character model of trigram counts; backs off to P(c | b).
+
+    Any reading of n masked letters has a rival that takes the run as one filler
+    and goes on alike. After two more letters both stand in the same state, so
+    the rival leads by at least ``n * -WILD + FILL - 2 * worst``, worst being the
+    highest cost of one letter. Where that is over GAP, masking never counts.
+    """
     three = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
     two = three.sum(axis=0) + 0.5
     low = two / two.sum(axis=1, keepdims=True)
-    return np.log((three + 5 * low) / (three.sum(axis=2, keepdims=True) + 5)).reshape(-1).tolist()
+    table = np.log((three + 5 * low) / (three.sum(axis=2, keepdims=True) + 5))
+    return Language(table.reshape(-1).tolist(), table, math.floor((GAP - FILL - 2 * float(table.min())) / -WILD))
 
 
 def symbol(char: str) -> int:
     return ord(char) - 96 if "a" <= char <= "z" else OTHER
 
 
-def arcs(text: str, at: int) -> Iterator[tuple[int, str, float]]:
-    """(next place, clean characters, log cost) for what stands at ``at``; a space is the edge of a word."""
-    char = text[at]
+def arcs(text: str, at: int, longest: int) -> Iterator[tuple[int, str, float]]:
+    """(next place, clean characters, log cost) for what stands at ``at``; a space is the edge of a word, MASK any letter.
+
+    A run of one letter is that letter once or twice. So is a run of three or
+    more equal signs, which may also be one filler or one edge; a run of ``*``
+    masks one letter each. One or two equal signs are read sign by sign.
+    """
+    char, stop = text[at], at + 1
+    while stop < len(text) and text[stop] == char:
+        stop += 1
+    run = stop - at
     if char.isalpha() and char not in SIGNS:
-        stop = at + 1
-        while stop < len(text) and text[stop] == char:
-            stop += 1
-        run = stop - at
         yield stop, char, 0.0 if run == 1 else STRETCH
         if run > 1:
             yield stop, char * 2, 0.0 if run == 2 else STRETCH
         return
-    for clean in SIGNS.get(char, ""):
-        yield at + 1, clean, WILD if char == "*" else SWAP
+    if run < 3:
+        stop, run = at + 1, 1
+    if char == "*":
+        if run <= longest:
+            yield stop, MASK * run, WILD * run
+    else:
+        for clean in SIGNS.get(char, ""):
+            yield stop, clean, SWAP if run == 1 else SWAP + STRETCH
+            if run > 1:
+                yield stop, clean * 2, SWAP + STRETCH
     if char in FILLERS:
-        yield at + 1, "", FILL
-    yield at + 1, " ", FILL if char == " " else EDGE
+        yield stop, "", FILL
+    yield stop, " ", FILL if char == " " else EDGE
+
+
+def masked(states: dict[tuple[int, int], list], model: Language, paths: int) -> dict[tuple[int, int], list]:
+    """The states after one letter of any kind; for each the ``paths`` best ways."""
+    last: dict[int, list] = {}
+    for (a, b), ways in states.items():
+        last.setdefault(b, []).extend((score, a, chain) for score, chain in ways)
+    out = {}
+    for b, ways in last.items():
+        scores = np.array([score for score, _, _ in ways])[:, None] + model.table[[a for _, a, _ in ways], b, 1:OTHER]
+        rows = np.argpartition(-scores, paths - 1, axis=0)[:paths] if len(ways) > paths else np.tile(np.arange(len(ways))[:, None], OTHER - 1)
+        kept = np.take_along_axis(scores, rows, axis=0)
+        for c, (which, gains) in enumerate(zip(rows.T.tolist(), kept.T.tolist())):
+            out[(b, c + 1)] = [(gain, (ways[i][2], LETTERS[c])) for i, gain in zip(which, gains)]
+    return out
 
 
-def decode(text: str, model: list[float], paths: int = 1) -> list[str]:
+def decode(text: str, model: Language, paths: int = 1) -> list[str]:
     """The likeliest clean forms of lower-case ``text`` by Viterbi; states are the last two symbols.
 
     Every state keeps its ``paths`` best ways, for signs that leave much open.
+    Forms less likely than the best by a factor of over exp(GAP) do not count.
     """
-    best: list[dict[tuple[int, int], list]] = [{} for _ in range(len(text) + 1)]
-    best[0][(0, 0)] = [(0.0, None)]
+    logs = model.logs
+    best: dict[int, dict[tuple[int, int], list]] = {0: {(0, 0): [(0.0, None)]}}
     for at in range(len(text)):
-        states, best[at] = best[at], {}
-        for to, clean, cost in arcs(text, at):
-            for (x, y), ways in states.items():
-                a, b, gain = x, y, cost
-                for c in clean:
-                    s = 0 if c == " " else symbol(c)
-                    gain += model[(a * SYMBOLS + b) * SYMBOLS + s]
-                    a, b = b, s
-                held = best[to].setdefault((a, b), [])
-                held += [(score + gain, (chain, clean) if clean else chain) for score, chain in ways]
+        if (states := best.pop(at, None)) is None:
+            continue
+        for to, clean, cost in arcs(text, at, model.longest):
+            ends = best.setdefault(to, {})
+            if clean[:1] == MASK:
+                after = states
+                for _ in clean:
+                    after = masked(after, model, paths)
+                moved = ((state, [(score + cost, chain) for score, chain in ways]) for state, ways in after.items())
+            else:
+                moved = moves(states, clean, cost, logs)
+            for state, ways in moved:
+                held = ends.setdefault(state, [])
+                held += ways
                 if len(held) > paths:
                     held.sort(key=lambda way: -way[0])
                     del held[paths:]
-    ends = [(score + model[(a * SYMBOLS + b) * SYMBOLS], chain) for (a, b), ways in best[-1].items() for score, chain in ways]
-    out = []
-    for _, chain in sorted(ends, key=lambda way: -way[0])[:paths]:
-        parts = []
-        while chain is not None:
-            chain, clean = chain
-            parts.append(clean)
-        out.append("".join(reversed(parts)))
-    return out
+    found = [(score + logs[(a * SYMBOLS + b) * SYMBOLS], chain) for (a, b), ways in best[len(text)].items() for score, chain in ways]
+    found.sort(key=lambda way: -way[0])
+    return [spelled(chain) for score, chain in found[:paths] if score >= found[0][0] - GAP]
 
 
-def restored(token: str, model: list[float]) -> list[str]:
-    """Clean words of one token without white space: itself if only letters, else decoded."""
-    core = token.rstrip(TRIM).lstrip(TRIM_LEFT)
-    if not core:
-        return []
-    if core.isalpha() and not LONG_RUN.search(core):
-        return [core]
-    if not any(map(str.isalpha, core)):
-        return []
-    return [word for way in decode(core, model, PATHS) for word in way.split()]
+def moves(states: dict[tuple[int, int], list], clean: str, cost: float, logs: list[float]) -> Iterator[tuple[tuple[int, int], list]]:
+    """Every state after the known characters ``clean``."""
+    codes = [0 if c == " " else symbol(c) for c in clean]
+    for (a, b), ways in states.items():
+        gain = cost
+        for s in codes:
+            gain += logs[(a * SYMBOLS + b) * SYMBOLS + s]
+            a, b = b, s
+        yield (a, b), [(score + gain, (chain, clean) if clean else chain) for score, chain in ways]
+
+
+def spelled(chain: tuple | None) -> str:
+    parts = []
+    while chain is not None:
+        chain, clean = chain
+        parts.append(clean)
+    return "".join(reversed(parts))
+
 
+def restored(token: str, model: Language) -> list[str]:
+    """Clean words of one token without white space: itself if only letters, else decoded.
 
-def spelled_out(low: str, model: list[float]) -> Iterator[str]:
+    Marks around a word are cut. Where they may stand for letters, the uncut
+    token is read too. A token without letters is read if it mixes signs that
+    stand for letters, and is not a number.
+    """
+    core = token.rstrip(TRIM).lstrip(TRIM_LEFT)
+    readings = []
+    if any(map(str.isalpha, core)):
+        if not core.isalpha() or LONG_RUN.search(core):
+            readings.append(core)
+        if len(core) < len(token):
+            whole = token.strip(MARKS)
+            if len(core) < len(whole):
+                readings.append(whole)
+    elif all_signs(token.strip(MARKS)):
+        readings.append(token.strip(MARKS))
+    words = [core] if core.isalpha() and core not in readings else []
+    for reading in readings:
+        words += [word for way in decode(reading, model, PATHS) for word in way.split()]
+    return list(dict.fromkeys(words))
+
+
+def all_signs(token: str) -> bool:
+    """Every character may stand for a letter, there are several, and not all are digits."""
+    return len(set(token)) > 1 and not token.isdigit() and all(c in SIGNS for c in token)
+
+
+def spelled_out(low: str, model: Language) -> Iterator[str]:
     """Words of stretches of single letters, in all their readings."""
     for spaced in SPACED.findall(low) if SINGLES.search(low) else ():
         for way in decode(spaced, model, PATHS):
             yield from way.split()
 
 
-def restore(text: str, model: list[float]) -> str:
-    """The whole restored text in lower case: likeliest words joined by spaces."""
-    low = SPACED.sub(lambda m: decode(m[0], model)[0], text.lower())
-    return " ".join(word for token in low.split() for word in restored(token, model)[:1] or [token])
-
-
 def word_features(word: str) -> set[int]:
     """The word and its beginnings, each run of a letter as one."""
     if RUN.search(word):
@@ -181,7 +256,7 @@ NONE: frozenset[int] = frozenset()
 
 @dataclass
 class Scorer:
-    grams: list[float]
+    grams: Language
     weights: dict[int, float]
     bias: float
 
@@ -235,7 +310,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("body"))
     scorer = Scorer(language_model(trigram_counts(rows)), {}, 0.0)
     known = labels.select("doc_id", F.col(f"`{label_col}`").cast("int").alias("label")).where("label in (0, 1)")
-    picked = labelled_sample(known.where(~held_out(5, 0)), sample)
+    picked = labelled_sample(with_texts(rows, known.where(~held_out(5, 0))), sample)
     held = sample_features(rows.where(~held_out(5, 0)), picked, scorer.features)
     kinds = {label for label, _, _ in held}
     if len(kinds) < 2:
@@ -275,18 +350,3 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_c
 
     return rows.mapInArrow(run, rows.select("doc_id", "held_out").schema.add("score", T.DoubleType())
                            .add("predicted", T.IntegerType()))
-
-
-def restore_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and restored, the decoded text, under the trigram model of ``docs``."""
-    prepare_workers(spark)
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("body"))
-    shared = spark.sparkContext.broadcast(language_model(trigram_counts(rows)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([restore(t, shared.value) for t in batch.column("body").to_pylist()])],
-                names=["doc_id", "restored"])
-
-    return rows.mapInArrow(run, rows.select("doc_id").schema.add("restored", T.StringType()))
