@@ -43,6 +43,7 @@ SWAP, FILL, STRETCH, WILD, EDGE = -1.0, -1.0, -0.7, -3.5, -4.0  # log costs of a
 PATHS = 8  # readings that count where signs leave more than one
 GAP = 30.0  # and none less likely than the best by more than this (natural log)
 MASK = "\0"  # any letter
+BLOCK = 256  # places whose costs are held at a time
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 SYMBOLS = 28  # 0 edge, 1 to 26 letters a to z, 27 any other letter
@@ -106,92 +107,109 @@ def symbol(char: str) -> int:
     return ord(char) - 96 if "a" <= char <= "z" else OTHER
 
 
-def arcs(text: str, at: int, longest: int) -> Iterator[tuple[int, str, float]]:
-    """(next place, clean characters, log cost) for what stands at ``at``; a space is the edge of a word, MASK any letter.
+def steps(text: str, longest: int) -> Iterator[list[tuple[str, float]]]:
+    """What stands at each place: all (clean characters, log cost); a space is the edge of a word, MASK any letter.
 
     A run of one letter is that letter once or twice. So is a run of three or
     more equal signs, which may also be one filler or one edge; a run of ``*``
     masks one letter each. One or two equal signs are read sign by sign.
     """
-    char, stop = text[at], at + 1
-    while stop < len(text) and text[stop] == char:
-        stop += 1
-    run = stop - at
-    if char.isalpha() and char not in SIGNS:
-        yield stop, char, 0.0 if run == 1 else STRETCH
-        if run > 1:
-            yield stop, char * 2, 0.0 if run == 2 else STRETCH
-        return
-    if run < 3:
-        stop, run = at + 1, 1
-    if char == "*":
-        if run <= longest:
-            yield stop, MASK * run, WILD * run
-    else:
-        for clean in SIGNS.get(char, ""):
-            yield stop, clean, SWAP if run == 1 else SWAP + STRETCH
-            if run > 1:
-                yield stop, clean * 2, SWAP + STRETCH
-    if char in FILLERS:
-        yield stop, "", FILL
-    yield stop, " ", FILL if char == " " else EDGE
-
-
-def masked(states: dict[tuple[int, int], list], model: Language, paths: int) -> dict[tuple[int, int], list]:
-    """The states after one letter of any kind; for each the ``paths`` best ways."""
-    last: dict[int, list] = {}
-    for (a, b), ways in states.items():
-        last.setdefault(b, []).extend((score, a, chain) for score, chain in ways)
-    out = {}
-    for b, ways in last.items():
-        scores = np.array([score for score, _, _ in ways])[:, None] + model.table[[a for _, a, _ in ways], b, 1:OTHER]
-        rows = np.argpartition(-scores, paths - 1, axis=0)[:paths] if len(ways) > paths else np.tile(np.arange(len(ways))[:, None], OTHER - 1)
-        kept = np.take_along_axis(scores, rows, axis=0)
-        for c, (which, gains) in enumerate(zip(rows.T.tolist(), kept.T.tolist())):
-            out[(b, c + 1)] = [(gain, (ways[i][2], LETTERS[c])) for i, gain in zip(which, gains)]
-    return out
+    at = 0
+    while at < len(text):
+        char, start, at = text[at], at, at + 1
+        while at < len(text) and text[at] == char:
+            at += 1
+        run = at - start
+        if char.isalpha() and char not in SIGNS:
+            yield [(char, 0.0)] if run == 1 else [(char, STRETCH), (char * 2, 0.0 if run == 2 else STRETCH)]
+            continue
+        if run < 3:
+            at = start + 1
+            run = 1
+        out = [] if char not in FILLERS else [("", FILL)]
+        out.append((" ", FILL if char == " " else EDGE))
+        if char == "*":
+            if run <= longest:
+                out.append((MASK * run, WILD * run))
+        else:
+            for clean in SIGNS.get(char, ""):
+                out.append((clean, SWAP if run == 1 else SWAP + STRETCH))
+                if run > 1:
+                    out.append((clean * 2, SWAP + STRETCH))
+        yield out
+
+
+def before(clean: str, ahead: np.ndarray, model: Language) -> list[np.ndarray]:
+    """For the characters of ``clean``, the best log cost to the end from every state before each of them, and ``ahead``."""
+    out = [ahead]
+    for c in reversed(clean):
+        if c == MASK:
+            out.append((model.table[:, :, 1:OTHER] + out[-1][None, :, 1:OTHER]).max(axis=2))
+        else:
+            s = 0 if c == " " else symbol(c)
+            out.append(model.table[:, :, s] + out[-1][:, s])
+    return out[::-1]
 
 
 def decode(text: str, model: Language, paths: int = 1) -> list[str]:
-    """The likeliest clean forms of lower-case ``text`` by Viterbi; states are the last two symbols.
-
-    Every state keeps its ``paths`` best ways, for signs that leave much open.
-    Forms less likely than the best by a factor of over exp(GAP) do not count.
+    """The ``paths`` likeliest clean forms of lower-case ``text`` by Viterbi; states are the last two symbols.
+
+    A backward search gives every state its best cost to the end. With that, no
+    more than ``paths`` beginnings have to be kept at any place of the forward
+    search: each of them is the beginning of another whole form, and those are
+    the best ones. Costs are kept for a block of places at a time and worked out
+    again from the block's end, so that memory stays small however long the text
+    is. Forms less likely than the best by a factor of over exp(GAP) do not count.
     """
+    lattice = list(steps(text, model.longest))
+    ends = {}  # costs after the last step of each block
+    ahead = model.table[:, :, 0]
+    for at in range(len(lattice) - 1, -1, -1):
+        if (at + 1) % BLOCK == 0 or at + 1 == len(lattice):
+            ends[at // BLOCK] = ahead
+        ahead = cost_before(lattice[at], ahead, model)
+    ways = [(0.0, 0, 0, None)]
+    for block in range(len(ends)):
+        part = lattice[block * BLOCK:(block + 1) * BLOCK]
+        costs = [ends.pop(block)]
+        for options in reversed(part[1:]):
+            costs.append(cost_before(options, costs[-1], model))
+        for options in part:
+            ahead = costs.pop()
+            found = [way for clean, cost in options for way in moved(ways, clean, cost, ahead, model, paths)]
+            ways = found if len(found) <= paths else sorted(found, key=lambda way: -way[0] - ahead[way[1], way[2]])[:paths]
     logs = model.logs
-    best: dict[int, dict[tuple[int, int], list]] = {0: {(0, 0): [(0.0, None)]}}
-    for at in range(len(text)):
-        if (states := best.pop(at, None)) is None:
-            continue
-        for to, clean, cost in arcs(text, at, model.longest):
-            ends = best.setdefault(to, {})
-            if clean[:1] == MASK:
-                after = states
-                for _ in clean:
-                    after = masked(after, model, paths)
-                moved = ((state, [(score + cost, chain) for score, chain in ways]) for state, ways in after.items())
-            else:
-                moved = moves(states, clean, cost, logs)
-            for state, ways in moved:
-                held = ends.setdefault(state, [])
-                held += ways
-                if len(held) > paths:
-                    held.sort(key=lambda way: -way[0])
-                    del held[paths:]
-    found = [(score + logs[(a * SYMBOLS + b) * SYMBOLS], chain) for (a, b), ways in best[len(text)].items() for score, chain in ways]
-    found.sort(key=lambda way: -way[0])
-    return [spelled(chain) for score, chain in found[:paths] if score >= found[0][0] - GAP]
-
-
-def moves(states: dict[tuple[int, int], list], clean: str, cost: float, logs: list[float]) -> Iterator[tuple[tuple[int, int], list]]:
-    """Every state after the known characters ``clean``."""
+    found = sorted(((gain + logs[(a * SYMBOLS + b) * SYMBOLS], chain) for gain, a, b, chain in ways), key=lambda way: -way[0])
+    return [spelled(chain) for gain, chain in found if gain >= found[0][0] - GAP]
+
+
+def cost_before(options: list[tuple[str, float]], ahead: np.ndarray, model: Language) -> np.ndarray:
+    out = None
+    for clean, cost in options:
+        one = before(clean, ahead, model)[0] + cost
+        out = one if out is None else np.maximum(out, one)
+    return out
+
+
+def moved(ways: list[tuple], clean: str, cost: float, ahead: np.ndarray, model: Language, paths: int) -> list[tuple]:
+    """``ways`` after ``clean``; of masked letters only the best ``paths`` ways, by their cost to the end too."""
+    if clean[:1] == MASK:
+        ways = [(gain + cost, a, b, chain) for gain, a, b, chain in ways]
+        for left in before(clean, ahead, model)[1:]:
+            one, two = [way[1] for way in ways], [way[2] for way in ways]
+            gains = np.array([way[0] for way in ways])[:, None] + model.table[one, two, 1:OTHER]
+            best = np.argsort(-(gains + left[two, 1:OTHER]), axis=None, kind="stable")[:paths]
+            ways = [(float(gains[i, c]), two[i], c + 1, (ways[i][3], LETTERS[c])) for i, c in (divmod(int(k), OTHER - 1) for k in best)]
+        return ways
+    logs, out = model.logs, []
     codes = [0 if c == " " else symbol(c) for c in clean]
-    for (a, b), ways in states.items():
-        gain = cost
+    for gain, a, b, chain in ways:
+        gain += cost
         for s in codes:
             gain += logs[(a * SYMBOLS + b) * SYMBOLS + s]
             a, b = b, s
-        yield (a, b), [(score + gain, (chain, clean) if clean else chain) for score, chain in ways]
+        out.append((gain, a, b, (chain, clean) if clean else chain))
+    return out
 
 
 def spelled(chain: tuple | None) -> str:
