@@ -30,7 +30,7 @@ BEGINNINGS = (4, 5, 6)
 BEGINS = crc32(b"^")  # marks a beginning
 SAMPLE = 6_000  # labelled rows that the scorer is fitted on
 EPOCHS = 3
-CALIBRATE = 5  # every fifth of them first sets the shift of the scores
+CALIBRATE = 5  # parts of them, each judged by weights of the others, that set the shift of the scores
 THRESHOLD = 0.5
 CACHE = 150_000  # words whose score a worker remembers
 
@@ -334,9 +334,11 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
     if len(kinds) < 2:
         scorer.bias = {0: -20.0, 1: 20.0}.get(next(iter(kinds), 2), 0.0)
         return scorer
-    back = held[::CALIBRATE]
-    gap, bias = fit([row for i, row in enumerate(held) if i % CALIBRATE])
-    shift = best_shift(np.array([gap[at].sum() + bias for _, at, _ in back]), np.array([label for label, _, _ in back]))
+    logits = np.zeros(len(held))
+    for part in range(CALIBRATE):  # every row is judged by weights that have not seen it
+        gap, bias = fit([row for i, row in enumerate(held) if i % CALIBRATE != part])
+        logits[part::CALIBRATE] = [gap[at].sum() + bias for _, at, _ in held[part::CALIBRATE]]
+    shift = best_shift(logits, np.array([label for label, _, _ in held]))
     gap, bias = fit(held)
     scorer.weights = {int(i): float(gap[i]) for i in np.nonzero(gap)[0]}
     scorer.bias = bias + shift

@@ -154,7 +154,7 @@ def test_sgd_is_the_plain_update(monkeypatch):
 
 def test_scorers_beat_the_commonest_answer(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(labels, "doc_id", "left_semi").repartition(16, "doc_id")
     rows = toxicity.score_toxicity(spark, docs, labels).join(labels, "doc_id").where("held_out").select("predicted", "toxic").collect()
     caught, toxic = sum(r.predicted and r.toxic for r in rows), sum(r.toxic for r in rows)
     false = sum(r.predicted and not r.toxic for r in rows)
