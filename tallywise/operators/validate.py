@@ -13,6 +13,14 @@ def drop_incomplete(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.dropna(subset=fields)
 
 
+def complete_rows(df: DataFrame, fields: list[str], what: str) -> DataFrame:
+    """``drop_incomplete``; a table that keeps no row is an error. Looks for one row only."""
+    kept = drop_incomplete(df, fields)
+    if kept.isEmpty():
+        raise ValueError(f"{what}: no row has all of {', '.join(fields)}")
+    return kept
+
+
 def of_source(df: DataFrame, source: str) -> DataFrame:
     return df.where(F.col("transaction_source") == source)
 

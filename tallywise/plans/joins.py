@@ -87,11 +87,11 @@ def component_check(spark, d):
 
 
 AUDIT = b.PREDICTIONS + ", " + LAST + """, audit AS (SELECT txn_id, transaction_source, predicted_category,
- COALESCE(new_category, predicted_category) AS category FROM predictions LEFT JOIN last ON txn_id = row_id WHERE predicted_category IS NOT NULL)"""
+ COALESCE(new_category, predicted_category) AS category FROM predictions LEFT JOIN last ON txn_id = row_id)"""
 
 
 def audited(spark, d):
-    p = b.predictions(spark, d).where(F.col("predicted_category").isNotNull())
+    p = b.predictions(spark, d)
     fixes = b.corrections(spark, d).withColumnRenamed("row_id", "txn_id")
     fixed = review.apply_corrections(p.select("txn_id", "predicted_category", "confidence"), fixes, "txn_id",
                                      "predicted_category").select("txn_id", F.col("predicted_category").alias("category"))

@@ -13,16 +13,15 @@ from tallywise.plans import bindings as b
 from tallywise.plans.catalog import query, r6
 
 
-@query("review_summary", f"""WITH {b.PREDICTIONS}, q AS (SELECT transaction_source, predicted_category, COUNT(*) AS n_rows,
+@query("review_summary", f"""WITH {b.PREDICTED}, q AS (SELECT transaction_source, predicted_category, COUNT(*) AS n_rows,
  COUNT(*) FILTER (confidence < 0.7) AS to_review, COUNT(*) FILTER (confidence > 0.7) AS high, COUNT(*) FILTER (confidence BETWEEN 0.5 AND 0.7) AS medium,
  COUNT(*) FILTER (confidence < 0.5) AS low, CAST(SUM(amount_out) AS DOUBLE) AS amount_out, CAST(SUM(amount_in) AS DOUBLE) AS amount_in,
- AVG(confidence) AS a, MEDIAN(confidence) AS m, AVG(CASE WHEN confidence < 0.5 THEN 1.0 ELSE 0.0 END) AS r FROM predictions WHERE predicted_category IS NOT NULL GROUP BY ALL)
+ AVG(confidence) AS a, MEDIAN(confidence) AS m, AVG(CASE WHEN confidence < 0.5 THEN 1.0 ELSE 0.0 END) AS r FROM predictions GROUP BY ALL)
 SELECT transaction_source, predicted_category, n_rows, to_review, high, medium, low, amount_out, amount_in, ROUND(a, 6) AS mean, ROUND(m, 6) AS median,
  ROUND(r, 6) AS low_confidence_rate, r > 0.2 AS many_low, a < 0.6 AS low_mean FROM q""")
 def review_summary(spark, d):
     """Per source and category: rows, tiers, review load, money and confidence alerts."""
-    raw = b.votes(spark, d)
-    v = raw.where(F.col("txn_id") % 101 != 0).select(
+    v = b.votes(spark, d).select(
         "txn_id", "transaction_source", "amount_out", "amount_in",
         b.pick(vote.majority_vote([F.col(f"code{i}") for i in (1, 2, 3)])).alias("predicted_category"),
         vote.mean_confidence([F.col(f"conf{i}") for i in (1, 2, 3)]).alias("confidence"))
@@ -40,11 +39,11 @@ def review_summary(spark, d):
         (F.col("low_confidence_rate") > mt.ALERT_LOW_RATE).alias("many_low"), (F.col("mean") < mt.ALERT_MEAN).alias("low_mean"))
 
 
-@query("raw_to_review_queue", f"""WITH {b.PREDICTIONS} SELECT txn_id, strftime(txn_date, '%Y-%m-%d') AS txn_date, description, amount_out, amount_in, predicted_category,
+@query("raw_to_review_queue", f"""WITH {b.PREDICTED} SELECT txn_id, strftime(txn_date, '%Y-%m-%d') AS txn_date, description, amount_out, amount_in, predicted_category,
  ROUND(confidence, 6) AS confidence FROM predictions WHERE confidence < 0.7""")
 def raw_to_review_queue(spark, d):
     """Raw money and date text, cleaned, voted on and filtered to the review queue."""
-    text = b.votes(spark, d).where(F.col("txn_id") % 101 != 0).select(
+    text = b.votes(spark, d).select(
         "*", F.date_format("txn_date", "M/d/yyyy").alias("date_text"), F.concat(F.lit("  "), "description", F.lit(" ")).alias("raw_text"),
         F.concat(F.lit(" "), (F.col("amount_out") - F.col("amount_in")).cast("string")).alias("money_text"))
     typed = text.select(

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallywise.operators import metrics as mt, review, vote
+from tallywise.operators import metrics as mt, review, validate, vote
 
 
 def test_vote_rules(spark):
@@ -63,3 +63,11 @@ def test_drift_of_equal_batches_is_zero(spark):
     assert r.psi == pytest.approx(0) and r.tv_distance == pytest.approx(0)
     only = spark.createDataFrame([("z",)], "l string")
     assert mt.category_drift(a, only, "l").first().tv_distance == pytest.approx(1)
+
+
+def test_a_table_that_keeps_no_row_is_an_error(spark):
+    rows = spark.createDataFrame([(1, "a", None), (2, None, 3.0), (3, "b", 4.0)], "i int, x string, y double")
+    assert [r.i for r in validate.complete_rows(rows, ["x", "y"], "ledger").collect()] == [3]
+    for none in (rows.where("i < 3"), rows.limit(0)):
+        with pytest.raises(ValueError, match="ledger: no row has all of x, y"):
+            validate.complete_rows(none, ["x", "y"], "ledger")
