@@ -1,19 +1,17 @@
-"""Per-source classifiers on Spark ML: features, training, search, prediction."""
+"""Per-source classifiers on Spark ML: features, training, evaluation, prediction."""
 
 from __future__ import annotations
 
 import logging
 from dataclasses import dataclass, field
 
-from pyspark.ml import Model, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
-from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame, functions as F
 
 from tallywise.constants import MAX_DF, MAX_FEATURES, MIN_CATEGORY_SAMPLES, MIN_DF, REQUIRED_COMPONENT, SPLIT_SEED
 from tallywise.operators.scores import (average_precision, class_report, class_weights, macro_average,
-                                        macro_f1, report_averages, roc_auc)
+                                        report_averages, roc_auc)
 from tallywise.operators.stages import RowTerms, ScoredLabel
 from tallywise.operators.tfidf import encode_labels, fit_vocabulary, indexed_terms, stratified_split, vector_stages
 from tallywise.operators.validate import keep_frequent
@@ -75,6 +73,11 @@ def prepare(df: DataFrame, row: str, text: str, label: str,
     return stratified_split(coded, row, label, seed=seed)
 
 
+def label_list(prepared: DataFrame, label: str) -> list[str]:
+    """Labels by code; one row per class comes to the driver."""
+    return [r[label] for r in prepared.select(label, "code").distinct().orderBy("code").collect()]
+
+
 def train(prepared: DataFrame, text: str, label: str, analyzer: str = "word",
           learners: dict | None = None, **limits) -> SourceModels:
     """Fit the features and every learner on the train part, with balanced weights.
@@ -86,9 +89,7 @@ def train(prepared: DataFrame, text: str, label: str, analyzer: str = "word",
     weights = class_weights(train_rows, "code").select("code", "weight")
     ready = featurise(train_rows, text, features).join(weights, "code").select(
         "code", "weight", "features")
-    # one row per class
-    labels = [r[label] for r in prepared.select(label, "code").distinct()
-              .orderBy("code").collect()]
+    labels = label_list(prepared, label)
     out = SourceModels(features)
     ready.persist()
     try:
@@ -159,41 +160,6 @@ def evaluate(scored: DataFrame, truth: str, name: str, labels: list[str]) -> Dat
         pr.select("pr_auc").scalar().alias("pr_auc"))
 
 
-class MacroF1Evaluator(Evaluator):
-    """Macro F1 for model search; the built-in ``f1`` is the weighted one."""
-
-    def __init__(self, label: str = "code", prediction: str = "prediction"):
-        super().__init__()
-        self.label, self.prediction = label, prediction
-
-    def _evaluate(self, dataset: DataFrame) -> float:
-        pairs = dataset.select(F.col(self.label).cast("double").alias("t"),
-                               F.col(self.prediction).alias("p"))
-        return macro_f1(pairs, "t", "p").first()["macro_f1"]
-
-    def isLargerBetter(self) -> bool:
-        return True
-
-    def copy(self, extra=None):
-        return MacroF1Evaluator(self.label, self.prediction)
-
-
-def search(prepared: DataFrame, text: str, regs: list[float], analyzer: str = "word",
-           seed: int = SPLIT_SEED, **limits) -> tuple[Model, list[float]]:
-    """Best logistic model over a small grid by macro F1, and the scores tried."""
-    train_rows = prepared.where(~F.col("is_test"))
-    features = fit_features(train_rows, text, analyzer, **limits)
-    weights = class_weights(train_rows, "code").select("code", "weight")
-    ready = featurise(train_rows, text, features).join(weights, "code").select(
-        "code", "weight", "features")
-    learner = LogisticRegression(family="multinomial", maxIter=50, featuresCol="features",
-                                 labelCol="code", weightCol="weight")
-    grid = ParamGridBuilder().addGrid(learner.regParam, regs).build()
-    found = TrainValidationSplit(estimator=learner, estimatorParamMaps=grid,
-                                 evaluator=MacroF1Evaluator(), trainRatio=0.8, seed=seed).fit(ready)
-    return found.bestModel, found.validationMetrics
-
-
 def save_models(source: SourceModels, path: str) -> dict[str, str]:
     """Write the features and models under a shared path; returns their locations."""
     places = {REQUIRED_COMPONENT: f"{path}/features"}

@@ -11,6 +11,7 @@ from tallywise.constants import SOURCE_SETTINGS, SOURCES
 from tallywise.operators import models as ml
 from tallywise.operators.registry import REGISTRY_SCHEMA, current_entries, empty_registry, register
 from tallywise.operators.schema import add_canonical, align_to, cast_losses, choose_category, stamp_lineage
+from tallywise.operators.search import halving
 from tallywise.operators.validate import blocking_errors, validation_report
 from tallywise.session import materialise
 from tallywise.sources.sinks import append_registry, write_training
@@ -157,16 +158,21 @@ def registered_models(spark: SparkSession, registry: str, source: str) -> ml.Sou
     return ml.load_models({r.component: r.locations["path"] for r in rows if r.version == last})
 
 
-def retrain(spark: SparkSession, training: DataFrame, source: str, row: str, root: str, registry: str, **limits) -> int | None:
+def retrain(spark: SparkSession, training: DataFrame, source: str, row: str, root: str, registry: str,
+            budget: float | None = None, **limits) -> int | None:
     """Train one source on its whole training set with its own settings, evaluate, publish; the new version.
 
-    A failure is logged and gives ``None``; the merged data stay as they are.
+    With a ``budget``, in fits on all training rows, learners and settings are searched and the winner
+    alone is published; without one all learners vote with their usual settings. A failure is logged and gives ``None``; the merged data stay as they are.
     """
     try:
         chosen = settings_of(source)
         rows = training.where(F.col("transaction_source") == source)
         prepared = materialise(spark, ml.prepare(rows, row, "Description", "Category", chosen["min_samples"]), "prepared")
-        fitted = ml.train(prepared, "Description", "Category", chosen["analyzer"], **limits)
+        if budget:
+            fitted = halving(prepared, row, "Description", "Category", chosen["analyzer"], budget=budget, **limits).source
+        else:
+            fitted = ml.train(prepared, "Description", "Category", chosen["analyzer"], **limits)
         scored = materialise(spark, ml.model_columns(prepared.where("is_test"), "Description", fitted).drop("Description"), "scored")
         metrics = {}
         for name in fitted.models:
