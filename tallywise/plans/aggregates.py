@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallywise.operators import metrics as mt, scores as sc, vote
+from tallywise.operators import metrics as mt, scores as sc, sketches as sk, vote
 from tallywise.operators import registry as reg
 from tallywise.plans import bindings as b
 from tallywise.plans.catalog import query, r6, text_of_map
+from tallywise.session import scratch_path
 
 
 def rounded(df, *names):
@@ -61,6 +62,27 @@ def dataset_summary(spark, d):
     return mt.dataset_summary(rows, "transaction_source")
 
 
+@query("f06_merged_sketches", f"""WITH {b.PREDICTIONS} SELECT transaction_source, COUNT(*) AS n_rows, COUNT(confidence) AS n_scored,
+ ROUND(AVG(confidence), 6) AS mean, ROUND(MIN(confidence), 6) AS least, ROUND(MAX(confidence), 6) AS most, ROUND(stddev_samp(confidence), 6) AS std,
+ ROUND(AVG(CASE WHEN confidence < 0.5 THEN 1.0 ELSE 0.0 END), 6) AS low_confidence_rate, TRUE AS distinct_close, TRUE AS median_close FROM predictions GROUP BY 1""")
+def merged_sketches(spark, d):
+    """Daily lines are stored, then merged per source without the rows; the estimates are held against exact answers."""
+    rows, path = b.predictions(spark, d), scratch_path(spark, "sketches")
+    daily = sk.batch_sketches(rows, ["txn_date", "transaction_source"])
+    sk.store_batches(daily, path, "txn_date")
+    merged = sk.merge_sketches(sk.stored_batches(spark, path, daily.schema), ["transaction_source"])
+    summary = sk.sketch_summary(merged, ["transaction_source"])
+    at = summary.select(F.col("transaction_source").alias("_s"), F.col("median").alias("_median"))
+    exact = rows.join(at, F.col("transaction_source") == F.col("_s")).groupBy("_s").agg(
+        F.count_distinct("description").alias("_texts"), F.avg((F.col("confidence") < F.col("_median")).cast("double")).alias("_below"),
+        F.avg((F.col("confidence") <= F.col("_median")).cast("double")).alias("_upto"))
+    out = summary.join(exact, F.col("transaction_source") == F.col("_s")).withColumns({
+        "distinct_close": F.abs(F.col("distinct_texts") - F.col("_texts")) <= 0.03 * F.col("_texts"),
+        "median_close": (F.col("_below") <= 0.52) & (F.col("_upto") >= 0.48)})
+    return rounded(out.drop("_s", "_texts", "_below", "_upto", "distinct_texts", "median", "lower_tenth"),
+                   "mean", "least", "most", "std", "low_confidence_rate")
+
+
 @query("f07_quality_alerts", f"""WITH {b.PREDICTIONS}, m AS (SELECT txn_date, AVG(CASE WHEN confidence < 0.5 THEN 1.0 ELSE 0.0 END) AS r, AVG(confidence) AS a
  FROM predictions GROUP BY 1)
 SELECT strftime(txn_date, '%Y-%m-%d') AS txn_date, 'high_low_confidence_rate' AS alert, ROUND(r, 6) AS value FROM m WHERE r > 0.2
