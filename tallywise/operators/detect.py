@@ -164,15 +164,22 @@ def column_quality(rows: DataFrame) -> DataFrame:
 
 
 def date_sample_quality(rows: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Share of readable dates among the first non-null values of the date column."""
-    date_columns = mapping.where(F.col("field") == "date").select("file", "column")
-    values = (rows.join(date_columns, "file")
-              .select("file", "row_no", present(F.element_at("cells", F.col("column"))).alias("v"))
-              .where(F.col("v").isNotNull()))
-    head = first_rows(values, ["file"], [F.col("row_no")], DATE_SAMPLE_ROWS)
-    return head.groupBy("file").agg(
+    """Share of readable dates among the first non-null values of the date column.
+
+    A date column's name holds one of the date patterns, so cells of other columns are left out in the
+    scan and the rows need no join. The rank filter lets a task forward only the first few values of
+    each (file, column); the mapping then picks one column per file.
+    """
+    names = sorted({p for _, field, patterns in FIELD_PATTERNS if field == "date" for p in patterns})
+    dated = F.map_filter("cells", lambda column, _: _any(F.lower(column), names))
+    values = (rows.select("file", "row_no", F.explode(dated).alias("column", "v"))
+              .select("file", "row_no", "column", present(F.col("v")).alias("v")).where(F.col("v").isNotNull()))
+    head = first_rows(values, ["file", "column"], [F.col("row_no")], DATE_SAMPLE_ROWS)
+    samples = head.groupBy("file", "column").agg(
         F.count(F.lit(1)).alias("sampled"),
         F.count_if(lenient_date(F.col("v")).isNotNull()).alias("parsed"))
+    chosen = mapping.where(F.col("field") == "date").select("file", "column")
+    return samples.join(chosen, ["file", "column"], "left_semi").drop("column")
 
 
 def detect_files(files: DataFrame, columns: DataFrame, rows: DataFrame) -> DataFrame:

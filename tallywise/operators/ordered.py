@@ -14,6 +14,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tallywise.session import materialise
+
 Buckets = Column | list[Column]
 
 # rows of one key that one task may sort
@@ -77,6 +79,26 @@ def row_ordinals(df: DataFrame, keys: list[str], bucket: Buckets, order: list[Co
     return running_sums(df, keys, bucket, order, {name: F.lit(1).cast("long")}, hot_rows)
 
 
+def positions(df: DataFrame, order: list[Column], name: str, ranges: int | None = None) -> DataFrame:
+    """Add the 1-based position of each row in one order over the whole table.
+
+    Rows are dealt into ranges of the order, sorted there and written once with their range and place. The
+    sizes of the ranges, one line each, give every range its start. No window runs over rows, and the only
+    exchange of rows is the one into ranges. Ranges are cut between different values of ``order``, so it
+    should end in a row key; rows equal in all of it stay in one task, in any order.
+    """
+    place = F.monotonically_increasing_id()  # the task in the upper bits, the row within the task below
+    dealt = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
+    stored = materialise(df.sparkSession, dealt.sortWithinPartitions(*order).withColumn("_place", place), "positions")
+    row, task = F.col("_place").bitwiseAND(2**33 - 1), F.shiftright("_place", 33)
+    sizes = stored.groupBy(task.alias("_range")).agg(F.count(F.lit(1)).alias("_rows"))
+    # one line per task of the exchange: one partition is enough
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    placed = stored.join(F.broadcast(starts), task == F.col("_range"))
+    return placed.select(*df.columns, (F.col("_start") + row + 1).alias(name))
+
+
 def previous_values(df: DataFrame, keys: list[str], bucket: Column, order: list[str],
                     columns: dict[str, str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add the previous row's value of each column within its key.

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallywise.constants import REVIEW_CONFIDENCE
 from tallywise.functions.dates import lenient_date, strip
 from tallywise.functions.money import lenient_number
+from tallywise.operators.ordered import positions
 
 MONEY_COLUMNS = ["Amount (Negated)", "Amount", "confidence"]
 
@@ -80,10 +81,20 @@ def sort_key(column: str) -> Column:
     return F.lower(c.cast("string"))
 
 
+def sort_order(column: str, row_order: str, descending: bool = False) -> list[Column]:
+    """Order of the stable sort by one column; missing values are smallest."""
+    key = sort_key(column)
+    return [key.desc_nulls_last() if descending else key.asc_nulls_first(), F.col(row_order).asc_nulls_first()]
+
+
 def sort_rows(df: DataFrame, column: str, row_order: str, descending: bool = False) -> DataFrame:
     """Type-aware stable sort of review rows."""
-    key = sort_key(column)
-    return df.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_first(), row_order)
+    return df.orderBy(*sort_order(column, row_order, descending))
+
+
+def sorted_positions(df: DataFrame, column: str, row_order: str, descending: bool = False, name: str = "position") -> DataFrame:
+    """The same order as a position column, so that any page of it is a filter."""
+    return positions(df, sort_order(column, row_order, descending), name)
 
 
 def preview(df: DataFrame, row_order: str, n: int = 20) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tallywise.operators import registry as reg, review, taxonomy as tax, training as tr, vote
@@ -120,6 +122,20 @@ def type_aware_sort(spark, d):
                     review.sort_key("Date").alias("date_key"), review.sort_key("Description").alias("text_key"))
 
 
+SORTS = [("Amount (Negated)", "COALESCE(amount_out, 0)"), ("Date", "txn_date"), ("Description", "lower(description)")]
+SORTED = " UNION ALL ".join(f"""SELECT '{column}' AS sort_column, {str(down).upper()} AS descending, row_key,
+ ROW_NUMBER() OVER (ORDER BY {key} {'DESC NULLS LAST' if down else 'ASC NULLS FIRST'}, row_key) AS position FROM corrected_file""" for column, key in SORTS for down in (False, True))
+
+
+@query("h01_sorted_positions", f"WITH {b.CORRECTED_FILE} {SORTED}")
+def sorted_positions(spark, d):
+    """Where each row stands when the review is sorted by money, date or text, both ways."""
+    f = b.corrected_file(spark, d).withColumnsRenamed({"DEBIT": "Amount (Negated)", "DATE": "Date", "DESCRIPTION": "Description"})
+    parts = [review.sorted_positions(f.select("row_key", F.col(column)), column, "row_key", down).select(
+        F.lit(column).alias("sort_column"), F.lit(down).alias("descending"), "row_key", "position") for column, _ in SORTS for down in (False, True)]
+    return reduce(lambda x, y: x.unionAll(y), parts)
+
+
 @query("h02_preview", f"WITH {b.LEDGER} SELECT txn_id, description, signed AS amount FROM ledger ORDER BY txn_id LIMIT 20")
 def preview(spark, d):
     return review.preview(b.ledger(spark, d).select("txn_id", "description", F.col("signed").alias("amount")), "txn_id")

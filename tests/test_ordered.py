@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallywise.operators.metrics import confidence_buckets
-from tallywise.operators.ordered import exact_median, first_rows, previous_values, row_ordinals, running_sums
+from tallywise.operators.ordered import exact_median, first_rows, positions, previous_values, row_ordinals, running_sums
 from tallywise.operators.scores import average_precision, roc_auc
 
 
@@ -83,3 +83,32 @@ def test_scores_by_brute_force(rows):
             hit, seen = hit + sum(here), seen + len(here)
             area += sum(here) * hit / seen
         assert ap[k] == pytest.approx(area / len(pos))
+
+
+@pytest.mark.parametrize("ranges", [None, 1, 3, 13])
+@pytest.mark.parametrize("descending", [False, True])
+def test_positions(rows, descending, ranges):
+    """A third of the keys are null or equal; the row key settles ties."""
+    data, df = rows
+    keyed = df.withColumn("key", F.when(F.col("i") % 7 != 0, F.when(F.col("k") == "hot", 0).otherwise(F.col("v"))))
+    order = [F.col("key").desc_nulls_last() if descending else F.col("key").asc_nulls_first(), F.col("i").asc()]
+    got = {r.i: r.at for r in positions(keyed, order, "at", ranges).collect()}
+    # nulls are smallest both ways: first when ascending, last when descending
+    value = lambda r: None if r[1] % 7 == 0 else 0 if r[0] == "hot" else r[2]
+    up = lambda r: (value(r) is not None, value(r) or 0, r[1])
+    down = lambda r: (value(r) is None, -(value(r) or 0), r[1])
+    assert got == {r[1]: n for n, r in enumerate(sorted(data, key=down if descending else up), 1)}
+
+
+def test_positions_of_few_rows(spark):
+    none = positions(spark.range(0), [F.col("id").asc()], "at")
+    assert none.columns == ["id", "at"] and none.count() == 0
+    same = positions(spark.createDataFrame([(1,)] * 50, "x int").repartition(5), [F.col("x").asc()], "at", 4)
+    assert sorted(r.at for r in same.collect()) == list(range(1, 51))
+
+
+def test_positions_exchange_rows_once(rows):
+    _, df = rows
+    plan = positions(df, [F.col("i").asc()], "at")._jdf.queryExecution().executedPlan().toString()
+    # what is left after the write exchanges one line per range
+    assert "rangepartitioning" not in plan and "SortMergeJoin" not in plan and "_rows" in plan
