@@ -19,6 +19,12 @@ def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
     return [c for c in required if c not in df.columns]
 
 
+def missing_by_file(columns: DataFrame, required: list[str]) -> DataFrame:
+    """``(file, missing)`` for files that lack required columns; a flag per name, no list of all names."""
+    lacks = [F.when(~F.bool_or(F.coalesce(F.col("column") == c, F.lit(False))), F.lit(c)) for c in required]
+    return columns.groupBy("file").agg(F.array_compact(F.array(*lacks)).alias("missing")).where(F.size("missing") > 0)
+
+
 def require_columns(df: DataFrame, required: list[str]) -> DataFrame:
     lacking = missing_columns(df, required)
     if lacking:

@@ -12,7 +12,7 @@ from tallywise.operators import models as ml
 from tallywise.operators.registry import REGISTRY_SCHEMA, current_entries, empty_registry, register
 from tallywise.operators.schema import add_canonical, align_to, cast_losses, choose_category, stamp_lineage
 from tallywise.operators.search import halving
-from tallywise.operators.validate import blocking_errors, validation_report
+from tallywise.operators.validate import blocking_errors, column_presence, fold_sources, validation_report
 from tallywise.session import materialise
 from tallywise.sources.sinks import append_registry, write_training
 
@@ -53,10 +53,12 @@ def merged_rows(training: DataFrame, corrections: DataFrame, versions: DataFrame
 
     Nothing is dropped: a row whose source is null or has no version stops the job.
 
-    ``versions`` and ``model_versions`` hold one row per source, so both joins
-    are against at most two rows.
+    ``versions`` and ``model_versions`` are brought to one row per known source before
+    they are joined; a source with two different model versions stops the job.
     """
     ready = prepare_corrections(corrections, training)
+    versions = one_per_source(versions, "next_version")
+    model_versions = one_per_source(model_versions, "source_model_version")
     unknown = F.raise_error(F.concat(F.lit("no training version for source "), F.coalesce("transaction_source", F.lit("null"))))
     versioned = (ready.join(F.broadcast(versions), "transaction_source", "left")
                  .withColumn("next_version", F.coalesce("next_version", unknown.cast("int")))
@@ -68,6 +70,15 @@ def merged_rows(training: DataFrame, corrections: DataFrame, versions: DataFrame
     return stamped.withColumnRenamed("next_version", "training_version").drop("_mv")
 
 
+def one_per_source(values: DataFrame, column: str) -> DataFrame:
+    """``(transaction_source, column)`` with at most one row for each of the known sources."""
+    differ = F.min(column) != F.max(column)
+    clash = F.raise_error(F.concat(F.lit(f"several values of {column} for source "), "transaction_source"))
+    value = F.when(differ, clash.cast(values.schema[column].dataType)).otherwise(F.max(column))
+    return (values.where(F.col("transaction_source").isin(SOURCES)).groupBy("transaction_source")
+            .agg(value.alias(column)))
+
+
 def union_training(training: DataFrame, new_rows: DataFrame) -> DataFrame:
     """All rows of both by column name; missing columns become null, no dedupe."""
     return training.unionByName(new_rows, allowMissingColumns=True)
@@ -82,16 +93,18 @@ def merge_corrections(training: DataFrame, corrections: DataFrame, dictionary: D
                       at: Column, model_versions: DataFrame, path: str) -> DataFrame:
     """Validate, align and append corrections; returns the report.
 
-    Any error-level rule, a null or unknown source among them, stops the merge
-    before anything is written. Values that the training set's types cannot take
+    Any error-level rule, a missing column and a null or unknown source among them, stops the
+    merge before anything is written. Values that the training set's types cannot take
     are warnings of the report, one row per column.
     """
     report = validation_report(aligned(corrections, training), dictionary)
+    # aligning fills missing columns, so their absence is seen before it
+    report = report.unionByName(column_presence(choose_category(add_canonical(corrections))))
     losses = cast_losses(choose_category(add_canonical(corrections)), training.drop("training_version").schema)
     report = report.unionByName(losses.select(
         F.lit(None).cast("string").alias("transaction_source"), F.concat(F.lit("cast_loss: "), "column_name").alias("rule"),
         F.lit("warning").alias("severity"), F.col("lost_values").alias("n")))
-    blocked = blocking_errors(report).collect()  # at most one row per source
+    blocked = blocking_errors(fold_sources(report)).collect()  # one row each for the known sources, null and all others
     if blocked:
         raise ValueError(f"validation failed: {[r.asDict() for r in blocked]}")
     rows = merged_rows(training, corrections, next_versions(training), at, model_versions)

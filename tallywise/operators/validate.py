@@ -8,6 +8,16 @@ from tallywise.constants import MIN_CATEGORY_SAMPLES, RARE_SHARE, SOURCES, TRAIN
 from tallywise.functions.dates import lenient_date
 from tallywise.functions.money import lenient_number
 
+# columns a report looks at, with the rules that need them
+REPORTED_COLUMNS = {
+    "Amount": ["all_amounts_zero", "null_amount", "nonzero_amount"],
+    "Amount (Negated)": ["all_amounts_zero", "null_negated", "nonzero_negated"],
+    "Date": ["bad_date"],
+    "Description": ["null_description", "short_description"],
+    "Category": ["null_category", "unknown_label"],
+    "transaction_source": ["null_source", "bad_source"],
+}
+
 
 def drop_incomplete(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.dropna(subset=fields)
@@ -120,12 +130,22 @@ def size_gate(df: DataFrame, minimum: int = TRAINING_MIN_ROWS) -> DataFrame:
     return df.groupBy("transaction_source").agg(n.alias("n_rows"), (n > minimum).alias("enough"))
 
 
+def column_presence(df: DataFrame) -> DataFrame:
+    """One error per reported column the frame lacks, in the form of the report; the schema decides, not the rows."""
+    lacking = [(None, f"missing_column: {c}", "error", 1) for c in REPORTED_COLUMNS if c not in df.columns]
+    return df.sparkSession.createDataFrame(lacking, "transaction_source string, rule string, severity string, n long")
+
+
 def validation_report(df: DataFrame, dictionary: DataFrame) -> DataFrame:
     """One row per source and rule with its severity and count.
 
     All counts of a source come from a single aggregate over the rows; only the
-    unknown-label count needs a second, much smaller one.
+    unknown-label count needs a second, much smaller one. A column that the frame
+    lacks is one error of its own, and the rules that read it are left out.
     """
+    missing = column_presence(df)
+    lacking = [c for c in REPORTED_COLUMNS if c not in df.columns]
+    df = df.withColumns({c: F.lit(None).cast("string") for c in lacking}) if lacking else df
     known = dictionary.select(F.col("category").alias("Category"), F.lit(True).alias("_known"))
     per_label = df.groupBy("transaction_source", "Category").agg(
         F.count(F.lit(1)).alias("n_rows"), *amount_checks(), *date_checks(),
@@ -150,10 +170,20 @@ def validation_report(df: DataFrame, dictionary: DataFrame) -> DataFrame:
         ("nonzero_amount", "info", F.col("nonzero_amount")),
         ("nonzero_negated", "info", F.col("nonzero_negated")),
     ]
+    left_out = {r for c in lacking for r in REPORTED_COLUMNS[c]}
     entries = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"),
-                                 c.cast("long").alias("n")) for r, s, c in rules])
-    return wide.select("transaction_source", F.explode(entries).alias("e")).select(
+                                 c.cast("long").alias("n")) for r, s, c in rules if r not in left_out])
+    found = wide.select("transaction_source", F.explode(entries).alias("e")).select(
         "transaction_source", "e.rule", "e.severity", "e.n")
+    return found.unionByName(missing) if lacking else found
+
+
+def fold_sources(report: DataFrame) -> DataFrame:
+    """All sources that are not known as one, so that a report of any rows has few lines."""
+    s = F.col("transaction_source")
+    folded = F.when(s.isNull() | s.isin(SOURCES), s).otherwise("unknown")
+    return (report.groupBy(folded.alias("transaction_source"), "rule", "severity")
+            .agg(F.sum("n").alias("n")))
 
 
 def blocking_errors(report: DataFrame) -> DataFrame:

@@ -231,6 +231,17 @@ def training_write(spark, d):
         F.count(F.lit(1)).alias("n_rows"), F.sum("Amount").alias("total"))
 
 
+@query("b03_training_readback", f"""WITH {b.TRAINING} SELECT row_key, strftime(txn_date, '%Y-%m-%d') AS txn_date, description, amount_out, amount_in, category, transaction_source,
+ training_version FROM training""")
+def training_readback(spark, d):
+    """Every row of the written training set, types and versions included."""
+    path, rows = scratch_path(spark, "training"), b.training_rows(spark, d)
+    sinks.write_training(rows, path)
+    return spark.read.schema(rows.schema).parquet(path).select(
+        "row_key", F.col("Date").alias("txn_date"), F.col("Description").alias("description"), F.col("Amount (Negated)").alias("amount_out"),
+        F.col("Amount").alias("amount_in"), F.col("Category").alias("category"), "transaction_source", "training_version")
+
+
 @query("b04_registry_write", f"WITH {b.REGISTRY} SELECT model, version, training_data, status FROM entries")
 def registry_write(spark, d):
     path = scratch_path(spark, "events")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from tallywise.operators import registry as reg, review, taxonomy as tax, training as tr, vote
 from tallywise.plans import bindings as b
 from tallywise.plans.catalog import query, r6
+from tallywise.session import scratch_path
 from tallywise.sources.files import dedupe_first
+from tallywise.sources.sinks import write_training
 
 LAST = b.CORRECTIONS + """, usable AS (SELECT * FROM corrections WHERE new_category <> ''),
 last AS (SELECT row_id, arg_max(new_category, seq) AS new_category, COUNT(*) AS requests FROM usable GROUP BY row_id)"""
@@ -250,6 +252,25 @@ def merge(spark, d):
                     F.col("correction_timestamp").alias("stamped"), "source_model_version", "training_version")
 
 
+@query("k10_merge_job", f"""WITH {b.CORRECTED_FILE}, {b.TRAINING}, {b.REGISTRY}{MERGE_MODELS},
+nv AS (SELECT transaction_source AS s, MAX(training_version) + 1 AS v FROM training GROUP BY 1)
+SELECT row_key, strftime(txn_date, '%Y-%m-%d') AS txn_date, description, COALESCE(amount_out, 0) AS amount_out, amount_in, category, transaction_source,
+ '2025-01-01 00:00:00' AS stamped, mv AS source_model_version, v AS training_version FROM corrected_file JOIN nv ON nv.s = transaction_source LEFT JOIN mv ON mv.s = transaction_source
+UNION ALL SELECT row_key, strftime(txn_date, '%Y-%m-%d'), description, amount_out, amount_in, category, transaction_source, NULL, NULL, training_version FROM training""")
+def merge_job(spark, d):
+    """Corrections validated and appended to a stored training set, and the whole set read back."""
+    path, training = scratch_path(spark, "training"), b.training_rows(spark, d)
+    write_training(training, path)
+    known = spark.createDataFrame([(x,) for x in b.LABELS], "category string")
+    latest = reg.latest_versions(reg.current_entries(b.registry_events(spark, d)))
+    tr.merge_corrections(training, b.corrected_file(spark, d), known, F.lit("2025-01-01").cast("timestamp"),
+                         reg.source_model_version(latest, "logistic"), path)
+    return spark.read.schema(training.schema).parquet(path).select(
+        "row_key", F.col("Date").alias("txn_date"), F.col("Description").alias("description"), F.col("Amount (Negated)").alias("amount_out"),
+        F.col("Amount").alias("amount_in"), F.col("Category").alias("category"), "transaction_source",
+        F.col("correction_timestamp").alias("stamped"), "source_model_version", "training_version")
+
+
 @query("b03_next_versions", f"""WITH {b.TRAINING} SELECT transaction_source, MAX(training_version) + 1 AS next_version FROM training GROUP BY 1""")
 def next_versions(spark, d):
     return tr.next_versions(b.training_rows(spark, d))

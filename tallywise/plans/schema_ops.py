@@ -32,10 +32,8 @@ def household_transform(spark, d):
 SELECT f.file, string_agg(c, ', ' ORDER BY c) AS missing FROM files f, need
 WHERE NOT EXISTS (SELECT 1 FROM file_columns k WHERE k.file = f.file AND k."column" = c) GROUP BY f.file""")
 def required_columns(spark, d):
-    # set difference per file: required names minus the file's own names
-    have = b.file_columns(spark, d).groupBy("file").agg(F.collect_set("column").alias("have"))
-    lacking = F.array_sort(F.array_except(F.lit(ops.HOUSEHOLD_COLUMNS), "have"))
-    return have.select("file", F.array_join(lacking, ", ").alias("missing")).where("missing <> ''")
+    lacking = ops.missing_by_file(b.file_columns(spark, d), ops.HOUSEHOLD_COLUMNS)
+    return lacking.select("file", F.array_join(F.array_sort("missing"), ", ").alias("missing"))
 
 
 @query("c03_rename_description", f"WITH {b.LEDGER} SELECT txn_id, description AS \"Description\" FROM ledger")
@@ -54,12 +52,12 @@ def stage_rename(spark, d):
 @query("c07_category_fallback", f"""WITH {b.CORRECTED_FILE}
 SELECT row_key, category AS from_prediction, upper(category) AS from_corrected, lower(category) AS from_category FROM corrected_file""")
 def category_fallback(spark, d):
-    p = b.corrected_file(spark, d).select("row_key", "predicted_category")
-    with_fix = p.withColumn("Corrected Category", F.upper("predicted_category"))
-    with_own = with_fix.withColumn("Category", F.lower("predicted_category"))
-    a, c, o = (ops.choose_category(x).select("row_key", F.col("Category").alias(n))
-               for x, n in ((p, "from_prediction"), (with_fix, "from_corrected"), (with_own, "from_category")))
-    return a.join(c, "row_key").join(o, "row_key")
+    # one pass: each round adds the next better column and lets the operator choose
+    rows = b.corrected_file(spark, d).select("row_key", "predicted_category")
+    out = ops.choose_category(rows).withColumnRenamed("Category", "from_prediction")
+    out = ops.choose_category(out.withColumn("Corrected Category", F.upper("predicted_category"))).withColumnRenamed("Category", "from_corrected")
+    both = out.withColumns({"Corrected Category": F.upper("predicted_category"), "Category": F.lower("predicted_category")})
+    return ops.choose_category(both).select("row_key", "from_prediction", "from_corrected", F.col("Category").alias("from_category"))
 
 
 @query("c08_align_defaults", f"""WITH {b.LEDGER}
@@ -101,10 +99,10 @@ SELECT txn_id, 'credit_card' AS by_default, COALESCE(CASE WHEN txn_id % 3 = 0 TH
 def source_injection(spark, d):
     rows = b.ledger(spark, d).select("txn_id", F.col("transaction_source").alias("detected"),
                                      F.when(F.col("txn_id") % 3 == 0, "household").alias("confirmed"))
-    a = ops.inject_source(rows, F.lit("credit_card"))
-    c = ops.inject_source(rows, F.coalesce("confirmed", "detected"))
-    return a.select("txn_id", F.col("transaction_source").alias("by_default")).join(
-        c.select("txn_id", F.col("transaction_source").alias("by_choice")), "txn_id")
+    # one pass: the frame has no source column before either call
+    out = ops.inject_source(rows, F.lit("credit_card")).withColumnRenamed("transaction_source", "by_default")
+    out = ops.inject_source(out, F.coalesce("confirmed", "detected")).withColumnRenamed("transaction_source", "by_choice")
+    return out.select("txn_id", "by_default", "by_choice")
 
 
 FLEX = b.LEDGER + """, flex AS (SELECT txn_id, CASE txn_id % 5 WHEN 0 THEN '  ' WHEN 1 THEN 'NaN' WHEN 2 THEN NULL ELSE description END AS a,

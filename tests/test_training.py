@@ -222,3 +222,43 @@ def test_file_drop_takes_each_file_once(spark, tmp_path):
     run()
     run()
     assert sorted(r.txn_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+
+
+def test_missing_columns_are_rows_of_the_report(spark, sf, tmp_path):
+    from tallywise.operators import validate as val
+    training, good = b.training_rows(spark, sf), b.corrected_file(spark, sf)
+    known = spark.createDataFrame([(x,) for x in b.LABELS], "category string")
+    full = tr.aligned(good, training)
+    assert val.column_presence(full).count() == 0
+    part = full.drop("Date", "Amount (Negated)", "transaction_source")
+    rules = {r.rule: r for r in val.validation_report(part, known).collect()}
+    assert {r for r in rules if r.startswith("missing")} == {f"missing_column: {c}" for c in ("Date", "Amount (Negated)", "transaction_source")}
+    assert all(rules[r].severity == "error" and rules[r].n == 1 for r in rules if r.startswith("missing"))
+    assert not {"bad_date", "all_amounts_zero", "null_negated", "null_source"} & set(rules) and "short_description" in rules
+    # a frame without rows still reports what it lacks
+    assert val.validation_report(part.limit(0), known).count() == 3
+    at = F.lit("2025-01-01").cast("timestamp")
+    versions = spark.createDataFrame([("household", "v3")], "transaction_source string, source_model_version string")
+    for column in ("DATE", "transaction_source"):
+        with pytest.raises(ValueError, match="validation failed"):
+            tr.merge_corrections(training, good.drop(column), known, at, versions, str(tmp_path / "x"))
+    assert not (tmp_path / "x").exists()
+
+
+def test_garbage_sources_fold_into_one_line(spark):
+    from tallywise.operators import validate as val
+    rows = spark.createDataFrame([(f"junk {i}", "bad_source", "error", 2) for i in range(500)] + [
+        ("household", "bad_date", "warning", 3), (None, "null_source", "error", 4)], "transaction_source string, rule string, severity string, n long")
+    got = {(r.transaction_source, r.rule): r.n for r in val.fold_sources(rows).collect()}
+    assert got == {("unknown", "bad_source"): 1000, ("household", "bad_date"): 3, (None, "null_source"): 4}
+    assert val.blocking_errors(val.fold_sources(rows)).count() == 2
+
+
+def test_model_versions_never_double_rows(spark, sf):
+    training, good = b.training_rows(spark, sf), b.corrected_file(spark, sf)
+    at = F.lit("2025-01-01").cast("timestamp")
+    versions = lambda *rows: spark.createDataFrame(rows, "transaction_source string, source_model_version string")
+    twice = versions(("household", "v3"), ("household", "v3"), ("elsewhere", "v1"), (None, "v1"))
+    assert tr.merged_rows(training, good, tr.next_versions(training), at, twice).count() == good.count()
+    with pytest.raises(Exception, match="several values of source_model_version"):
+        tr.merged_rows(training, good, tr.next_versions(training), at, versions(("household", "v3"), ("household", "v4"))).write.format("noop").mode("overwrite").save()
