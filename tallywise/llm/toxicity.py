@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from zlib import crc32
 
 import numpy as np
@@ -44,6 +44,8 @@ PATHS = 8  # readings that count where signs leave more than one
 GAP = 30.0  # and none less likely than the best by more than this (natural log)
 MASK = "\0"  # any letter
 BLOCK = 256  # places whose costs are held at a time
+SHORT = 4  # places of an end of a token whose costs a worker remembers
+ENDS = 64  # such ends, a few kilobytes each
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 SYMBOLS = 28  # 0 edge, 1 to 26 letters a to z, 27 any other letter
@@ -86,6 +88,7 @@ class Language:
     logs: list[float]
     table: np.ndarray
     longest: int
+    ends: dict = field(default_factory=dict)  # costs of short ends of tokens
 
 
 def language_model(counts: np.ndarray) -> Language:
@@ -154,21 +157,82 @@ def before(clean: str, ahead: np.ndarray, model: Language) -> list[np.ndarray]:
 def decode(text: str, model: Language, paths: int = 1) -> list[str]:
     """The ``paths`` likeliest clean forms of lower-case ``text`` by Viterbi; states are the last two symbols.
 
-    A backward search gives every state its best cost to the end. With that, no
-    more than ``paths`` beginnings have to be kept at any place of the forward
+    From the first masked letter on, a backward search gives every state its best cost to the end.
+    With that, no more than ``paths`` beginnings have to be kept at any place of the forward
     search: each of them is the beginning of another whole form, and those are
     the best ones. Costs are kept for a block of places at a time and worked out
     again from the block's end, so that memory stays small however long the text
-    is. Forms less likely than the best by a factor of over exp(GAP) do not count.
+    is. Before the first masked letter few states can be reached at a place, and
+    the ``paths`` best ways to each of them are kept instead. Forms less likely than
+    the best by a factor of over exp(GAP) do not count.
     """
     lattice = list(steps(text, model.longest))
+    first = next((i for i, options in enumerate(lattice) if options[-1][0][:1] == MASK), len(lattice))
+    ways = unmasked(lattice[:first], model, paths)
+    if first < len(lattice):
+        rest = lattice[first:]
+        ways = ended(ways, rest, model, paths) if len(rest) <= SHORT else searched(ways, rest, model, paths)
+    logs = model.logs
+    found = sorted(((gain + logs[(a * SYMBOLS + b) * SYMBOLS], chain) for gain, a, b, chain in ways), key=lambda way: -way[0])[:paths]
+    return [spelled(chain) for gain, chain in found if gain >= found[0][0] - GAP]
+
+
+def unmasked(lattice: list[list[tuple[str, float]]], model: Language, paths: int) -> list[tuple]:
+    """The ``paths`` best ways to every state that the end can be in, of a lattice without masked letters."""
+    logs = model.logs
+    ways = [(0.0, 0, 0, None)]
+    for options in lattice:
+        found = []
+        for clean, cost in options:
+            codes = [0 if c == " " else symbol(c) for c in clean]
+            for gain, a, b, chain in ways:
+                gain += cost
+                for s in codes:
+                    gain += logs[(a * SYMBOLS + b) * SYMBOLS + s]
+                    a, b = b, s
+                found.append((gain, a, b, (chain, clean) if clean else chain))
+        if len(found) > paths:
+            found.sort(key=lambda way: -way[0])
+            kept: dict[tuple[int, int], list] = {}
+            for way in found:
+                best = kept.setdefault((way[1], way[2]), [])
+                if len(best) < paths:
+                    best.append(way)
+            found = [way for best in kept.values() for way in best]
+        ways = found
+    return ways
+
+
+def ended(ways: list[tuple], lattice: list[list[tuple[str, float]]], model: Language, paths: int) -> list[tuple]:
+    """``searched`` for the few places at the end of a token: many tokens end alike, so the costs are remembered."""
+    key = tuple(map(tuple, lattice))
+    costs = model.ends.get(key)
+    if costs is None:
+        if len(model.ends) >= ENDS:
+            model.ends.clear()
+        ahead, costs = model.table[:, :, 0], []
+        for options in reversed(lattice):
+            costs.append((ahead, {clean: before(clean, ahead, model) for clean, _ in options if clean[:1] == MASK}))
+            ahead = cost_before(options, ahead, model)
+        costs.reverse()
+        model.ends[key] = costs
+    for options, (ahead, masks) in zip(lattice, costs):
+        ways = best_ways([way for clean, cost in options for way in moved(ways, clean, cost, ahead, model, paths, masks.get(clean))], ahead, paths)
+    return ways
+
+
+def best_ways(found: list[tuple], ahead: np.ndarray, paths: int) -> list[tuple]:
+    return found if len(found) <= paths else sorted(found, key=lambda way: -way[0] - ahead[way[1], way[2]])[:paths]
+
+
+def searched(ways: list[tuple], lattice: list[list[tuple[str, float]]], model: Language, paths: int) -> list[tuple]:
+    """The ``paths`` best ways on from ``ways`` through any lattice, by a backward and a forward search."""
     ends = {}  # costs after the last step of each block
     ahead = model.table[:, :, 0]
     for at in range(len(lattice) - 1, -1, -1):
         if (at + 1) % BLOCK == 0 or at + 1 == len(lattice):
             ends[at // BLOCK] = ahead
         ahead = cost_before(lattice[at], ahead, model)
-    ways = [(0.0, 0, 0, None)]
     for block in range(len(ends)):
         part = lattice[block * BLOCK:(block + 1) * BLOCK]
         costs = [ends.pop(block)]
@@ -176,11 +240,8 @@ def decode(text: str, model: Language, paths: int = 1) -> list[str]:
             costs.append(cost_before(options, costs[-1], model))
         for options in part:
             ahead = costs.pop()
-            found = [way for clean, cost in options for way in moved(ways, clean, cost, ahead, model, paths)]
-            ways = found if len(found) <= paths else sorted(found, key=lambda way: -way[0] - ahead[way[1], way[2]])[:paths]
-    logs = model.logs
-    found = sorted(((gain + logs[(a * SYMBOLS + b) * SYMBOLS], chain) for gain, a, b, chain in ways), key=lambda way: -way[0])
-    return [spelled(chain) for gain, chain in found if gain >= found[0][0] - GAP]
+            ways = best_ways([way for clean, cost in options for way in moved(ways, clean, cost, ahead, model, paths)], ahead, paths)
+    return ways
 
 
 def cost_before(options: list[tuple[str, float]], ahead: np.ndarray, model: Language) -> np.ndarray:
@@ -191,11 +252,12 @@ def cost_before(options: list[tuple[str, float]], ahead: np.ndarray, model: Lang
     return out
 
 
-def moved(ways: list[tuple], clean: str, cost: float, ahead: np.ndarray, model: Language, paths: int) -> list[tuple]:
+def moved(ways: list[tuple], clean: str, cost: float, ahead: np.ndarray, model: Language, paths: int,
+          inner: list[np.ndarray] | None = None) -> list[tuple]:
     """``ways`` after ``clean``; of masked letters only the best ``paths`` ways, by their cost to the end too."""
     if clean[:1] == MASK:
         ways = [(gain + cost, a, b, chain) for gain, a, b, chain in ways]
-        for left in before(clean, ahead, model)[1:]:
+        for left in (inner or before(clean, ahead, model))[1:]:
             one, two = [way[1] for way in ways], [way[2] for way in ways]
             gains = np.array([way[0] for way in ways])[:, None] + model.table[one, two, 1:OTHER]
             best = np.argsort(-(gains + left[two, 1:OTHER]), axis=None, kind="stable")[:paths]
@@ -227,6 +289,9 @@ def restored(token: str, model: Language) -> list[str]:
     token is read too. A token without letters is read if it mixes signs that
     stand for letters, and is not a number.
     """
+    core = token.strip(MARKS)
+    if core.isalpha() and not LONG_RUN.search(core):
+        return [core]
     core = token.rstrip(TRIM).lstrip(TRIM_LEFT)
     readings = []
     if any(map(str.isalpha, core)):
@@ -262,10 +327,15 @@ def word_features(word: str) -> set[int]:
         word = RUN.sub(r"\1", word)
     raw, size = word.encode("utf-8", "replace"), len(word)
     out = {crc32(raw) % BUCKETS}
+    if len(raw) == size:
+        for n in BEGINNINGS:
+            if size < n:
+                break
+            out.add(crc32(raw[:n], BEGINS) % BUCKETS)
+        return out
     for n in BEGINNINGS:
         if size >= n:
-            start = raw[:n] if len(raw) == size else word[:n].encode("utf-8", "replace")
-            out.add(crc32(start, BEGINS) % BUCKETS)
+            out.add(crc32(word[:n].encode("utf-8", "replace"), BEGINS) % BUCKETS)
     return out
 
 
@@ -291,7 +361,8 @@ class Scorer:
 
     def hits(self, words: Iterable[str]) -> frozenset[int]:
         """Features that have a weight; few words have any."""
-        found = [f for word in words for f in word_features(word) if f in self.weights]
+        weights = self.weights
+        found = [f for word in words for f in word_features(word) if f in weights]
         return frozenset(found) if found else NONE
 
     def score(self, text: str, cache: dict[str, frozenset[int]]) -> float:

@@ -174,3 +174,24 @@ def test_a_rare_language_is_learned(spark, monkeypatch):
         spark.createDataFrame([(i, lang) for i, _, lang in rows], "doc_id long, lang string"), "doc_id")
     got = {r.doc_id: r.lang_pred for r in langid.identify(spark, docs, sample=50).collect()}
     assert all(got[3000 + k] == "cs" for k in range(12)) and all(got[k] == "en" for k in range(3000))
+
+
+def test_the_searches_agree(monkeypatch):
+    """Few-state, remembered and whole backward searches find equally likely forms, whatever is masked where."""
+    rnd = random.Random(11)
+    model = toxicity.language_model(np.array([rnd.choice([0, 0, 1, 5, 90]) for _ in range(toxicity.SYMBOLS ** 3)], float))
+    tokens = ["".join(rnd.choice("abcs013$!|+.-_,é4ae*") for _ in range(rnd.randint(1, 12))) + "*" * rnd.randint(0, 4) for _ in range(400)]
+
+    def gains(ways):
+        return sorted((gain + model.logs[(a * toxicity.SYMBOLS + b) * toxicity.SYMBOLS] for gain, a, b, _ in ways), reverse=True)[:8]
+
+    for token in tokens:
+        lattice, start = list(toxicity.steps(token, model.longest)), [(0.0, 0, 0, None)]
+        whole = gains(toxicity.searched(start, lattice, model, 8))
+        assert gains(toxicity.ended(start, lattice, model, 8)) == pytest.approx(whole)
+        if not any(options[-1][0][:1] == toxicity.MASK for options in lattice):
+            assert gains(toxicity.unmasked(lattice, model, 8)) == pytest.approx(whole)
+    assert len(model.ends) <= toxicity.ENDS
+    found = [toxicity.decode(token, model, 8) for token in tokens]
+    monkeypatch.setattr(toxicity, "SHORT", 0)
+    assert [sorted(f) for f in found] == [sorted(toxicity.decode(token, model, 8)) for token in tokens]
