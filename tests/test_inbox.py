@@ -114,3 +114,27 @@ def test_counted_median_of_odd_values(spark):
     rows = [("a", -2.0, 1), ("a", 3.0, 1), ("b", 1.0, 5), ("b", 7.5, 5), ("c", None, 4), ("d", 0.0004, 1), ("d", 0.0006, 1), (None, 0.25, 3)]
     got = monitor.counted_median(spark.createDataFrame(rows, "k string, v double, n long"), ["k"], "v", "n").collect()
     assert {x.k: x.median for x in got} == {"a": 0.5, "b": 4.25, "d": 0.0005, None: 0.25}
+
+
+def test_large_layouts_take_several_files(spark, sf, monkeypatch):
+    from tallywise.plans import streams
+    rows = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 10 < 6").groupBy(F.expr("o_orderkey % 10 % 5")).count().collect()
+    wanted = {r[0]: r[1] for r in rows}
+    monkeypatch.setattr(streams, "FILE_BYTES", 4000)
+    monkeypatch.setattr(drop.files, "UPLOAD_MAX_BYTES", 6000)  # one file for each layout would be refused
+    out = streams.inbox_results(spark, sf)
+    found = drop.read_table(spark, out, "files").where("status = 'accepted'").withColumn("k", F.regexp_extract("file", r"layout=(\d)", 1))
+    got = {int(r.k): (r.n, r.files) for r in found.groupBy("k").agg(F.sum("row_count").alias("n"), F.count("*").alias("files")).collect()}
+    assert {k: n for k, (n, _) in got.items()} == {k: wanted[k] for k in (0, 1, 2)} and all(f > 1 for _, f in got.values())
+    assert drop.read_table(spark, out, "files").where("array_contains(issues, 'too large')").isEmpty()
+    kept = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 10 in (0, 1, 2, 5) and o_orderkey % 7 <> 0").count()
+    assert drop.read_table(spark, out, "stage").count() == kept
+
+
+def test_inbox_of_refused_files_has_an_empty_stage(spark, tmp_path):
+    box, out = tmp_path / "in", str(tmp_path / "out")
+    box.mkdir()
+    (box / "scan.pdf").write_text("x")
+    drop.process_batch(spark, listing(spark, box), 0, out, rule)
+    stage = drop.read_table(spark, out, "stage")
+    assert stage.count() == 0 and {"source", "period", "stage", "predicted_category"} <= set(stage.columns)
