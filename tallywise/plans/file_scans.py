@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import functions as F
 
 from tallywise.functions import filenames as fn
@@ -9,7 +11,7 @@ from tallywise.functions.money import lenient_money
 from tallywise.operators import detect, metrics as mt, registry as reg, training as tr
 from tallywise.plans import bindings as b
 from tallywise.plans.catalog import query, r6, text_of_map
-from tallywise.session import scratch_path
+from tallywise.session import materialise, scratch_path
 from tallywise.sources import files, grids, sinks
 
 
@@ -41,20 +43,25 @@ def grid_scan(spark, d):
                     F.get("cells", F.lit(0)).alias("c0"), F.get("cells", F.lit(1)).alias("c1"))
 
 
-def statement_files(spark, d):
-    """One file per order priority: blank lines, a preamble, 20 columns, repeated and empty header names, notes of two lines."""
+ROWS_PER_FILE = 250_000
+
+
+def statement_files(spark, d, rows_per_file=None):
+    """One file per order priority, or of about ``rows_per_file`` rows each: blank lines, a preamble, 20 columns, repeated and empty header names, notes of two lines."""
     path = scratch_path(spark, "wide")
     key, part = F.col("o_orderkey"), F.substring("o_orderpriority", 1, 1)
     note = F.concat(F.lit('"first ""'), key.cast("string"), F.lit('"",\nsecond"'))
     row = F.array_join(F.concat(F.array(key.cast("string"), F.when(key % 3 == 0, note).otherwise("plain"), F.col("o_totalprice").cast("string")),
                                 F.array_repeat(F.lit("x"), 16), F.array(F.col("o_orderstatus"))), ",")
     blank = F.when(key % 5 == 0, F.lit("\n")).otherwise("")
-    rows = b.table(spark, d, "orders").select(part.alias("part"), key.alias("k"), F.concat(row, blank).alias("value"))
+    orders = b.table(spark, d, "orders")
+    pieces = max(1, ceil(orders.count() / (5 * rows_per_file))) if rows_per_file else 1
+    rows = orders.select(part.alias("part"), F.pmod(F.xxhash64(key), F.lit(pieces)).alias("piece"), key.alias("k"), F.concat(row, blank).alias("value"))
     head = F.lit("\n\nkey,note,amount," + "x," * 15 + ",status")
-    heads = rows.select("part").distinct().select("part", F.lit(-1).cast("long").alias("k"), head.alias("value"))
-    (rows.union(heads).repartition("part").sortWithinPartitions("part", "k").select("part", "value")
-     .write.partitionBy("part").text(path))
-    return f"{path}/part=*"
+    heads = rows.select("part", "piece").distinct().select("part", "piece", F.lit(-1).cast("long").alias("k"), head.alias("value"))
+    (rows.union(heads).repartition("part", "piece").sortWithinPartitions("part", "piece", "k").select("part", "piece", "value")
+     .write.partitionBy("part", "piece").text(path))
+    return f"{path}/part=*/piece=*"
 
 
 @query("a01_wide_grid", r"""WITH o AS (SELECT *, substr(o_orderpriority, 1, 1) AS part, 1 + CAST(o_orderkey % 3 = 0 AS BIGINT) + CAST(o_orderkey % 5 = 0 AS BIGINT) AS n_lines FROM orders)
@@ -68,7 +75,8 @@ def wide_grid(spark, d):
 
 @query("a01_named_cells", r"""SELECT substr(o_orderpriority, 1, 1) AS part, CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus AS status, 'x|x|x' AS xs, 20 AS n_names FROM orders""")
 def named_cells(spark, d):
-    rows = grids.body_cells(files.scan_grid(spark, statement_files(spark, d)))
+    # heads and bodies both read the grid, so it is cut into cells once
+    rows = grids.body_cells(materialise(spark, files.scan_grid(spark, statement_files(spark, d, ROWS_PER_FILE)), "grid"))
     cell = lambda n: F.element_at("cells", F.lit(n))
     return rows.select(F.regexp_extract("file", r"part=(\d+)", 1).alias("part"), cell("key").alias("key"), cell("status").alias("status"),
                        F.concat_ws("|", cell("x"), cell("x.14"), cell("Unnamed: 18")).alias("xs"), F.size("cells").alias("n_names"))

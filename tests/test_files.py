@@ -148,3 +148,12 @@ def test_stage_partitions_prune(spark, tmp_path):
     one = spark.read.parquet(str(tmp_path / "s")).where("source = 'household' and stage = 'predictions'")
     assert [r.id for r in one.collect()] == [1]
     assert "PartitionFilters: [isnotnull(source" in one._jdf.queryExecution().toString()
+
+
+def test_statement_files_are_cut_and_keep_all_rows(spark, sf, monkeypatch):
+    from tallywise.plans import file_scans
+    whole = file_scans.named_cells(spark, sf)
+    monkeypatch.setattr(file_scans, "ROWS_PER_FILE", 30)
+    cut = file_scans.named_cells(spark, sf)
+    assert len(set(r[0] for r in spark.read.text(file_scans.statement_files(spark, sf, 30)).select("_metadata.file_path").distinct().collect())) > 5
+    assert whole.exceptAll(cut).isEmpty() and cut.exceptAll(whole).isEmpty() and whole.count() == spark.read.parquet(f"{sf}/orders.parquet").count()
