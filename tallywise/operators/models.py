@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from dataclasses import dataclass, field
+from math import ceil
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
@@ -20,6 +21,8 @@ from tallywise.operators.vote import mean_confidence, majority_vote
 log = logging.getLogger(__name__)
 
 MODEL_NAMES = ["logistic", "forest", "bayes"]
+PART_BYTES = 128 * 1024 * 1024  # of the vectors in one partition
+ROW_BYTES = 200  # of a vector without terms
 
 
 @dataclass
@@ -68,11 +71,28 @@ def prepare(df: DataFrame, row: str, text: str, label: str,
             min_samples: int = MIN_CATEGORY_SAMPLES, seed: int = SPLIT_SEED) -> DataFrame:
     """Rows of frequent labels with their code and test mark; a null label is ``Other``."""
     named = df.select(row, text, F.coalesce(F.col(label), F.lit("Other")).alias(label))
-    kept = keep_frequent(named, label, min_samples)
-    coded = kept.join(encode_labels(kept, label), label)
+    kept = keep_frequent(named, label, min_samples, few=True)
+    coded = kept.join(F.broadcast(encode_labels(kept, label)), label)
     return stratified_split(coded, row, label, seed=seed)
 
 
+def spread(df: DataFrame, text: str, analyzer: str = "word", terms: int = 0) -> DataFrame:
+    """Rows dealt out so that the vectors of a partition take about ``PART_BYTES``; few rows stay where they are.
+
+    A table compresses far better than its vectors, so the size of its files says little about them, and
+    a forest keeps four bytes of a row for each of the ``terms`` of the vocabulary.
+    """
+    per_char = 4 if analyzer == "word" else 36  # a term takes 12 bytes
+    size = df.agg(F.sum(ROW_BYTES + 4 * terms + per_char * F.coalesce(F.length(text), F.lit(0)))).first()[0] or 0
+    return deal(df, size)
+
+
+def deal(df: DataFrame, size: int) -> DataFrame:
+    """Rows in partitions of ``PART_BYTES`` if they take ``size`` bytes in all and so need more tasks than run at once."""
+    parts = ceil(size / PART_BYTES)
+    return df.repartition(parts) if parts > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def label_list(prepared: DataFrame, label: str) -> list[str]:
     """Labels by code; one row per class comes to the driver."""
     return [r[label] for r in prepared.select(label, "code").distinct().orderBy("code").collect()]
@@ -84,10 +104,11 @@ def train(prepared: DataFrame, text: str, label: str, analyzer: str = "word",
 
     A learner that fails is reported and left out.
     """
-    train_rows = prepared.where(~F.col("is_test"))
-    features = fit_features(train_rows, text, analyzer, **limits)
-    weights = class_weights(train_rows, "code").select("code", "weight")
-    ready = featurise(train_rows, text, features).join(weights, "code").select(
+    plain = prepared.where(~F.col("is_test")).select(text, "code")
+    features = fit_features(spread(plain, text, analyzer), text, analyzer, **limits)
+    train_rows = spread(plain, text, analyzer, len(features.stages[1].vocabulary))
+    weights = class_weights(plain, "code").select("code", "weight")
+    ready = featurise(train_rows, text, features).join(F.broadcast(weights), "code").select(
         "code", "weight", "features")
     labels = label_list(prepared, label)
     out = SourceModels(features)

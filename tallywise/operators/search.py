@@ -12,7 +12,7 @@ from pyspark.ml import Estimator, PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from tallywise.constants import SPLIT_SEED
-from tallywise.operators.models import SourceModels, featurise, fit_features, label_list, make_learners
+from tallywise.operators.models import SourceModels, featurise, fit_features, label_list, make_learners, spread, deal, ROW_BYTES
 from tallywise.operators.scores import class_weights
 from tallywise.operators.stages import ScoredLabel
 from tallywise.session import materialise
@@ -105,11 +105,13 @@ def halving(prepared: DataFrame, row: str, text: str, label: str, analyzer: str
     if len(options) < 1 or folds < 2:
         raise ValueError("a search needs a candidate and at least two folds")
     spark = prepared.sparkSession
-    train_rows = prepared.where(~F.col("is_test"))
-    features = fit_features(train_rows, text, analyzer, **limits)
-    weights = class_weights(train_rows, "code").select("code", "weight")
-    ready = with_folds(featurise(train_rows, text, features), row, folds, seed).join(weights, "code")
+    plain = prepared.where(~F.col("is_test"))
+    features = fit_features(spread(plain, text, analyzer), text, analyzer, **limits)
+    train_rows = spread(plain, text, analyzer)
+    weights = class_weights(plain, "code").select("code", "weight")
+    ready = with_folds(featurise(train_rows, text, features), row, folds, seed).join(F.broadcast(weights), "code")
     ready = materialise(spark, ready.select("code", "weight", "features", "fold", "place"), "search")
+    ready = deal(ready, ready.count() * (ROW_BYTES + 4 * len(features.stages[1].vocabulary)))
 
     def tried(job: tuple[int, str, float]) -> DataFrame | None:
         number, name, share = job

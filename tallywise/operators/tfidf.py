@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallywise.constants import MAX_DF, MAX_FEATURES, MIN_DF, SPLIT_SEED, TEST_FRACTION
 from tallywise.functions.text import char_ngrams, padded_words, word_ngrams
-from tallywise.operators.ordered import running_sums
+from tallywise.session import materialise
 
 SPLIT_PREFIX = 4  # hexadecimal digits: 65536 buckets per label
 
@@ -123,14 +123,35 @@ def stratified_split(df: DataFrame, row: str, label: str, fraction: float = TEST
                      seed: int = SPLIT_SEED) -> DataFrame:
     """Mark ``round(fraction * n)`` rows of each label as test, by seeded hash order.
 
-    Each label is cut into hash-prefix buckets, so a label with most of the rows
-    is ranked in many tasks.
+    A label's last test hash is found from counts: per hash prefix first, then per hash of the one
+    prefix that holds it. Rows are compared with it where they are, and no row is shuffled, whatever
+    the size of a label; only rows of equal hash that are test rows in part are ranked.
     """
-    hashed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(row).cast("string"))))
-    ranked = running_sums(hashed, [label], F.substring("_h", 1, SPLIT_PREFIX),
-                          [F.col("_h"), F.col(row)], {"_rank": F.lit(1).cast("long")})
-    # rows without a label are a class of their own
-    sizes = df.groupBy(F.col(label).alias("_class")).agg(F.count(F.lit(1)).alias("_n"))
-    return (ranked.join(sizes, F.col(label).eqNullSafe(F.col("_class"))).drop("_class")
-            .withColumn("is_test", F.col("_rank") <= F.round(F.col("_n") * fraction))
-            .drop("_h", "_rank", "_n"))
+    # rows without a key come first, rows without a label are a class of their own
+    digest = F.coalesce(F.md5(F.concat(F.lit(f"{seed}:"), F.col(row).cast("string"))), F.lit(""))
+    slim = df.select(F.col(label).alias("_class"), digest.alias("_h")).withColumn("_prefix", F.substring("_h", 1, SPLIT_PREFIX))
+    counts = slim.groupBy("_class", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
+    each = Window.partitionBy("_class")
+    wanted = counts.withColumn("_test", F.round(F.sum("_n").over(each) * fraction))
+    held = _holding(wanted, ["_class"], "_prefix", F.lit(0)).select(
+        F.col("_class").alias("_c"), F.col("_prefix").alias("_p"), "_before", "_test")
+    near = slim.join(F.broadcast(held), F.col("_class").eqNullSafe(F.col("_c")) & (F.col("_prefix") == F.col("_p")))
+    counts = near.groupBy("_class", "_h", "_before", "_test").agg(F.count(F.lit(1)).alias("_n"))
+    last = _holding(counts, ["_class"], "_h", F.col("_before")).select(
+        F.col("_class").alias("_c"), F.col("_h").alias("_last"), F.col("_n").alias("_ties"), (F.col("_test") - F.col("_before")).alias("_open"))
+    last = materialise(df.sparkSession, last, "split")  # one line per label
+    marked = df.withColumn("_h", digest).join(F.broadcast(last), F.col(label).eqNullSafe(F.col("_c")), "left")
+    is_test = F.coalesce(F.col("_h") <= F.col("_last"), F.lit(False))
+    if last.where("_ties > _open").isEmpty():
+        return marked.select(*df.columns, is_test.alias("is_test"))
+    part = F.coalesce((F.col("_h") == F.col("_last")) & (F.col("_ties") > F.col("_open")), F.lit(False))
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("_h", row))
+    return (marked.where(~part).select(*df.columns, is_test.alias("is_test"))
+            .unionByName(marked.where(part).select(*df.columns, (rank <= F.col("_open")).alias("is_test"))))
+
+
+def _holding(counts: DataFrame, keys: list[str], order: str, before: Column) -> DataFrame:
+    """The lines of ``counts`` in which row number ``_test`` of a key lies; ``_before`` is the number of rows ahead of the line."""
+    earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("_before", before + F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    return placed.where((F.col("_before") < F.col("_test")) & (F.col("_test") <= F.col("_before") + F.col("_n")))

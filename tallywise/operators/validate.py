@@ -35,16 +35,18 @@ def of_source(df: DataFrame, source: str) -> DataFrame:
     return df.where(F.col("transaction_source") == source)
 
 
-def keep_frequent(df: DataFrame, label: str, minimum: int | Column = MIN_CATEGORY_SAMPLES
-                  ) -> DataFrame:
+def keep_frequent(df: DataFrame, label: str, minimum: int | Column = MIN_CATEGORY_SAMPLES,
+                  few: bool = False) -> DataFrame:
     """Rows whose label has at least ``minimum`` rows.
 
     The counts come from a partial aggregate, so a hot label is never gathered;
     the join's small side is broadcast or, past the threshold, sort-merged with
-    adaptive skew splitting.
+    adaptive skew splitting. ``few`` tells that the labels are a list of classes, which
+    is broadcast, so that rows stay where they are.
     """
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    return df.join(counts.where(F.col("_n") >= minimum).select(label), label, "left_semi")
+    kept = counts.where(F.col("_n") >= minimum).select(label)
+    return df.join(F.broadcast(kept) if few else kept, label, "left_semi")
 
 
 def rare_labels(df: DataFrame, label: str, minimum: int = MIN_CATEGORY_SAMPLES) -> DataFrame:
