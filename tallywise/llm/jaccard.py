@@ -251,8 +251,9 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         roots = settle(spark, texts, traits, stars, roots)
         members = open_.where((F.col("size") <= paired) | (F.col("node") != F.col("lead"))).select("bucket", "node")
     if not open_.isEmpty():
-        sized = open_.select("bucket", "node", "root", "size").join(traits.select("node", "n"), "node")
-        roots = settle(spark, texts, traits, cross_pairs(sized, paired, sizes_fit), roots)
+        # sketches go along, so that of a large bucket only the pairs leave the join that may be near
+        sized = open_.select("bucket", "node", "root", "size").join(traits.select("node", "n", "sketch"), "node")
+        roots = settle(spark, texts, traits, cross_pairs(sized, paired, can_be_near), roots)
     remove(spark, place, proposals)
     classed = (sets.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(roots, "node", "left")
                .withColumn("root", F.coalesce("root", "node")))
