@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallywise.llm import simhash
-from tallywise.llm.common import components, cross_pairs, prepare_workers, remove, save, saved, text_or_empty
+from tallywise.llm.common import components, cross_pairs, prepare_workers, remove, save, saved, shuffles_dropped, text_or_empty
 from tallywise.llm.simhash import LOWER, SEED, bit_counts
 
 WORDS = 5
@@ -55,12 +55,19 @@ def shingle_set(body: bytes, known: dict[bytes, int]) -> np.ndarray:
     return np.unique(hashes.view(np.int64))
 
 
+def held_in(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    """Which values are in an ascending list; the list is searched, not sorted anew for every text."""
+    if not len(ascending):
+        return np.zeros(len(values), bool)
+    return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
+
+
 def prefix(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
     """The shingles of which a set of similarity 4/5 has one in its own prefix; common shingles come last."""
     n = len(shingles)
     if n < 4:  # similar to equal sets only
         return shingles[:0]
-    late = np.isin(shingles, common)
+    late = held_in(shingles, common)
     return np.concatenate([shingles[~late], shingles[late]])[:n - (4 * n + 4) // 5 + 1]
 
 
@@ -199,6 +206,13 @@ def verified(full: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(9 * shared >= 4 * (F.size("of_a") + F.size("of_b"))).select("a", "b")
 
 
+def one_of_equals(members: DataFrame) -> DataFrame:
+    """Rows of the buckets (bucket, node) less those of buckets that hold the same nodes as a smaller one, so the same pairs."""
+    marks = members.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"),
+                                          F.sum(F.xxhash64(F.lit(1), "node").bitwiseAND(2**31 - 1)).alias("s"))
+    return members.join(marks.groupBy("size", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket", "left_semi")
+
+
 def jaccard_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    paired: int = PAIRED, rounds: int = ROUNDS) -> DataFrame:
     """One row per input row: doc_id, component_id, the smallest id that links reach.
@@ -216,6 +230,11 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     random. What is left is paired whole, block against block, but only across
     groups. Every pair is counted before it links.
     """
+    with shuffles_dropped(spark):  # each of the many steps is written, and no plan runs twice
+        return _groups(spark, docs, id_col, text_col, paired, rounds)
+
+
+def _groups(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, paired: int, rounds: int) -> DataFrame:
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("mark"),
                         text_or_empty(text_col).cast("binary").alias("body"))
     rows, signed = saved(spark, signatures(spark, texts, common_shingles(spark, texts)), "signatures")
@@ -252,7 +271,7 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         members = open_.where((F.col("size") <= paired) | (F.col("node") != F.col("lead"))).select("bucket", "node")
     if not open_.isEmpty():
         # sketches go along, so that of a large bucket only the pairs leave the join that may be near
-        sized = open_.select("bucket", "node", "root", "size").join(traits.select("node", "n", "sketch"), "node")
+        sized = one_of_equals(open_).select("bucket", "node", "root", "size").join(traits.select("node", "n", "sketch"), "node")
         roots = settle(spark, texts, traits, cross_pairs(sized, paired, can_be_near), roots)
     remove(spark, place, proposals)
     classed = (sets.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(roots, "node", "left")

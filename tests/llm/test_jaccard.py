@@ -1,9 +1,12 @@
 import random
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallywise.llm import jaccard, stages
+from tallywise.llm.common import DROP_SHUFFLES, shuffles_dropped
 from tests.llm.helpers import LOWER, documents, prose
 
 
@@ -88,3 +91,36 @@ def test_marks_beyond_the_broadcast_bound(spark, monkeypatch):
     rows = mixed_rows()[:120]
     got = jaccard.jaccard_groups(spark, documents(spark, rows)).collect()
     assert {r.doc_id: r.component_id for r in got} == brute_force(rows)
+
+
+def test_common_list_is_searched_and_not_sorted_for_every_text():
+    r = np.random.default_rng(3)
+    common = np.unique(r.integers(-1 << 62, 1 << 62, 250_000))
+    own = np.unique(r.integers(-1 << 62, 1 << 62, 300))
+    mixed = np.unique(np.concatenate([own, common[::2000], common[-1:], [np.iinfo(np.int64).max]]))
+    assert jaccard.held_in(mixed, common).tolist() == np.isin(mixed, common).tolist()
+    assert not jaccard.held_in(mixed, common[:0]).any() and not len(jaccard.held_in(mixed[:0], common))
+    began = time.process_time()
+    for _ in range(100):
+        jaccard.prefix(mixed, common)
+    assert time.process_time() - began < 1
+
+
+def test_shuffle_files_go_when_a_step_ends(spark, tmp_path):
+    """The setting holds in the stage alone."""
+    before = spark.conf.get(DROP_SHUFFLES)
+    with shuffles_dropped(spark):
+        assert spark.conf.get(DROP_SHUFFLES) == "true"
+        df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+        df.write.parquet(str(tmp_path / "t"))
+        assert df.count() == 7  # the same rows again, from a plan of its own
+    assert spark.conf.get(DROP_SHUFFLES) == before
+
+
+def test_buckets_of_the_same_nodes_are_paired_once(spark):
+    sets = {1: [5, 6, 7], 2: [5, 6, 7], 3: [5, 6], 4: [6, 7, 8], 9: [7, 6, 5], 10: [5, 7], 11: [6, 5]}
+    rows = spark.createDataFrame([(b, n) for b, nodes in sets.items() for n in nodes], "bucket long, node long")
+    got = {}
+    for r in jaccard.one_of_equals(rows).collect():
+        got.setdefault(r.bucket, set()).add(r.node)
+    assert got == {1: {5, 6, 7}, 3: {5, 6}, 4: {6, 7, 8}, 10: {5, 7}}
