@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from tallywise.llm.common import components, cross_pairs, id_and_bytes, save, prepare_workers
+from tallywise.llm.common import components, cross_pairs, id_and_bytes, save, prepare_workers, sized
 
 SEED = 42
 SEGMENT = 32
@@ -131,7 +131,7 @@ def ball_edges(nodes: DataFrame) -> DataFrame:
     flips = F.array(F.lit(0).cast("long"), *[F.lit(-(1 << 63) if b == 63 else 1 << b).cast("long") for b in range(64)])
     points = nodes.select("node", F.explode(F.transform(flips, lambda f: f.bitwiseXOR(F.col("print")[0]))).alias("point"))
     stars = points.groupBy("point").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return points.join(stars, "point").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    return points.join(sized(stars), "point").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
 
 
 def large_edges(spark: SparkSession, members: DataFrame, edges: DataFrame, radius: int, lanes: int, paired: int) -> DataFrame:
@@ -143,14 +143,15 @@ def large_edges(spark: SparkSession, members: DataFrame, edges: DataFrame, radiu
     place = F.row_number().over(Window.partitionBy("variant").orderBy("node"))
     lead = (members.withColumn("place", place).where(F.col("place") <= LEADERS)
             .groupBy("variant").agg(F.collect_list(F.struct("node", "print")).alias("leaders")))
+    rows = members.count()
     near = F.filter("leaders", lambda x: (x["node"] != F.col("node")) & (distance("print", x["print"]) <= radius))
-    met = members.join(lead, "variant").select(F.col("node").alias("a"), F.explode(F.transform(near, lambda x: x["node"])).alias("b"))
+    met = members.join(sized(lead, rows), "variant").select(F.col("node").alias("a"), F.explode(F.transform(near, lambda x: x["node"])).alias("b"))
     edges = save(spark, edges.union(met.distinct()), "met")
     roots = save(spark, components(spark, edges), "roots")
-    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = members.join(sized(roots, roots.count()), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = (placed.groupBy("variant").agg(F.count("*").alias("size"), F.min("root").alias("r"), F.max("root").alias("s"))
              .where("r < s").drop("r", "s"))
-    rest = placed.join(mixed, "variant").withColumnRenamed("variant", "bucket")
+    rest = placed.join(sized(mixed, rows), "variant").withColumnRenamed("variant", "bucket")
 
     def close(a: str, b: str) -> Column:
         bits = (F.bit_count(F.col(f"{a}.print")[k].bitwiseXOR(F.col(f"{b}.print")[k])) for k in range(lanes))
@@ -163,7 +164,7 @@ def pair_edges(members: DataFrame, radius: int) -> DataFrame:
     """Equality self-join on the variant, then the distance of the whole fingerprints."""
     left = members.select("variant", F.col("node").alias("a"), F.col("print").alias("print_a"))
     right = members.select("variant", F.col("node").alias("b"), F.col("print").alias("print_b"))
-    return (left.join(right, "variant").where("a > b").where(distance("print_a", "print_b") <= radius)
+    return (left.join(sized(right, members.count()), "variant").where("a > b").where(distance("print_a", "print_b") <= radius)
             .select("a", "b").distinct())
 
 
@@ -171,7 +172,7 @@ def links(spark: SparkSession, nodes: DataFrame, lanes: int, radius: int, paired
     """Edges (a, b) of ``radius`` or fewer bits that give the same groups as all such pairs."""
     variants = segment_variants(nodes, segment_ends(lanes, radius))
     shared = variants.groupBy("variant").agg(F.count("*").alias("n")).where("n > 1")
-    members = save(spark, variants.join(shared, "variant").join(nodes, "node"), "members")
+    members = save(spark, variants.join(sized(shared), "variant").join(sized(nodes, nodes.count()), "node"), "members")
     edges = pair_edges(members.where(F.col("n") <= paired), radius)
     large = members.where(F.col("n") > paired).drop("n")
     if large.isEmpty():
@@ -201,8 +202,9 @@ def near_groups(spark: SparkSession, docs: DataFrame, words: int = 3, lanes: int
                  .withColumn("node", F.monotonically_increasing_id()), "nodes")
     edges = links(spark, nodes.select("node", "print"), lanes, radius, paired)
     roots = components(spark, edges).select("node", "root")
-    classed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = nodes.count()  # no table below has more, but for the result
+    classed = nodes.join(sized(roots, rows), "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = classed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    classed = save(spark, classed.join(low, "root").select("print", "component_id"), "classes")
+    classed = save(spark, classed.join(sized(low, rows), "root").select("print", "component_id"), "classes")
     text = F.lower(F.array_join(F.transform("print", lambda p: F.lpad(F.hex(p), 16, "0")), ""))
-    return prints.join(classed, "print").select("doc_id", text.alias("fingerprint"), "component_id")
+    return prints.join(sized(classed, rows), "print").select("doc_id", text.alias("fingerprint"), "component_id")
