@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallywise.llm.common import prepare_workers, save, text_or_empty
+from tallywise.llm.common import prepare_workers, save, sized, text_or_empty
 
 COUNTERS = 1024
 FAN_IN = 128
@@ -74,7 +74,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
                    .groupBy("digest").agg(*group).where(F.col("group_size") * (counters + 1) > total), "winners")
     heavy = digests.join(F.broadcast(winners), "digest")
     rest = digests.join(F.broadcast(winners), "digest", "left_anti")
-    light = rest.join(rest.groupBy("digest").agg(*group), "digest")
+    light = rest.join(sized(rest.groupBy("digest").agg(*group), total), "digest")
     return heavy.unionByName(light).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallywise.llm import simhash
-from tallywise.llm.common import components, cross_pairs, prepare_workers, remove, save, saved, shuffles_dropped, text_or_empty
+from tallywise.llm.common import components, cross_pairs, prepare_workers, remove, save, saved, shuffles_dropped, sized, text_or_empty
 from tallywise.llm.simhash import LOWER, SEED, bit_counts
 
 WORDS = 5
@@ -157,7 +157,7 @@ def can_be_near(a: str, b: str) -> Column:
 def simhash_pairs(spark: SparkSession, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets whose fingerprints differ in ``RADIUS`` bits or fewer, as far as they join groups."""
     prints = save(spark, sets.groupBy("print").agg(F.min("node").alias("node")).select("node", F.array("print").alias("print")), "prints")
-    equal = sets.join(prints.select(F.col("print")[0].alias("print"), F.col("node").alias("b")), "print")
+    equal = sets.join(sized(prints.select(F.col("print")[0].alias("print"), F.col("node").alias("b")), prints.count()), "print")
     return (equal.where("node <> b").select(F.col("node").alias("a"), "b")
             .union(simhash.links(spark, prints, 1, RADIUS, simhash.PAIRED))).distinct()
 
@@ -168,7 +168,7 @@ def settle(spark: SparkSession, texts: DataFrame, traits: DataFrame, pairs: Data
     Sizes and sketches rule pairs out first. Only sets of what is left are made. Every node meets its most similar
     partner; of the rest only pairs of different groups are counted. So few sets travel with more than one pair.
     """
-    of_a, of_b = traits.drop("mark").alias("x"), traits.drop("mark").alias("y")
+    of_a, of_b = (sized(traits.drop("mark"), traits.count()).alias(n) for n in "xy")
     close = (pairs.join(of_a, F.col("a") == F.col("x.node")).join(of_b, F.col("b") == F.col("y.node"))
              .where(can_be_near("x", "y")).select("a", "b", apart("x", "y").alias("bits")))
     close, path = saved(spark, close, "pairs")
@@ -178,8 +178,8 @@ def settle(spark: SparkSession, texts: DataFrame, traits: DataFrame, pairs: Data
     full, lists = saved(spark, chosen_sets(spark, texts, traits, close), "sets")
     best = close.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b"))
     roots = components(spark, roots.union(verified(full, best)))
-    of_a, of_b = roots.toDF("a", "root_a"), roots.toDF("b", "root_b")
-    rest = (close.join(best, ["a", "b"], "left_anti").join(of_a, "a", "left").join(of_b, "b", "left")
+    of_a, of_b = (sized(roots, roots.count()).toDF(n, f"root_{n}") for n in "ab")
+    rest = (close.join(sized(best, close.count()), ["a", "b"], "left_anti").join(of_a, "a", "left").join(of_b, "b", "left")
             .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
     rest, left = saved(spark, rest, "pairs")
     if not rest.isEmpty():
@@ -190,18 +190,19 @@ def settle(spark: SparkSession, texts: DataFrame, traits: DataFrame, pairs: Data
 
 def chosen_sets(spark: SparkSession, texts: DataFrame, traits: DataFrame, pairs: DataFrame) -> DataFrame:
     """node and shingles of all nodes in ``pairs``, from one text of each."""
-    marks = (traits.select("node", "mark").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-             .select("mark"))
-    if marks.count() <= BROADCAST_MARKS:
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    marks = traits.select("node", "mark").join(sized(nodes, 2 * pairs.count()), "node", "left_semi").select("mark")
+    found = marks.count()
+    if found <= BROADCAST_MARKS:
         rows = texts.join(F.broadcast(marks), "mark", "left_semi")  # texts stay where they are
     else:
-        rows = texts.join(marks, "mark", "left_semi")
+        rows = texts.join(sized(marks, found), "mark", "left_semi")
     return shingle_sets(spark, rows).dropDuplicates(["node"])
 
 
 def verified(full: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose sets have a similarity of 4/5 or more."""
-    left, right = full.toDF("a", "of_a"), full.toDF("b", "of_b")
+    left, right = (sized(full, full.count()).toDF(n, f"of_{n}") for n in "ab")
     shared = F.size(F.array_intersect("of_a", "of_b"))
     return pairs.join(left, "a").join(right, "b").where(9 * shared >= 4 * (F.size("of_a") + F.size("of_b"))).select("a", "b")
 
@@ -210,7 +211,8 @@ def one_of_equals(members: DataFrame) -> DataFrame:
     """Rows of the buckets (bucket, node) less those of buckets that hold the same nodes as a smaller one, so the same pairs."""
     marks = members.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"),
                                           F.sum(F.xxhash64(F.lit(1), "node").bitwiseAND(2**31 - 1)).alias("s"))
-    return members.join(marks.groupBy("size", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket", "left_semi")
+    first = marks.groupBy("size", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return members.join(sized(first, members.count()), "bucket", "left_semi")
 
 
 def jaccard_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -238,13 +240,13 @@ def _groups(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, pa
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("mark"),
                         text_or_empty(text_col).cast("binary").alias("body"))
     rows, signed = saved(spark, signatures(spark, texts, common_shingles(spark, texts)), "signatures")
-    sets = rows.where("n > 0")
+    sets, total = rows.where("n > 0"), rows.count()
     proposed, proposals = saved(spark, simhash_pairs(spark, sets), "proposed")
     entries = sets.select(F.explode("prefix").alias("bucket"), "node").repartition("bucket")  # one exchange for both uses
     shared = entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    members, place = saved(spark, entries.join(shared.select("bucket", "low"), "bucket").distinct(), "members")
+    members, place = saved(spark, entries.join(sized(shared.select("bucket", "low")), "bucket").distinct(), "members")
     wanted = members.select("node").union(proposed.select("a")).union(proposed.select("b")).distinct()
-    chosen = sets.select("node", "n", "sketch", "mark").join(wanted, "node", "left_semi")
+    chosen = sets.select("node", "n", "sketch", "mark").join(sized(wanted, total), "node", "left_semi")
     traits = save(spark, chosen.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"),
                                                     F.first("mark").alias("mark")), "traits")
     rows = save(spark, rows.select("doc_id", "node", "n"), "rows")
@@ -256,7 +258,7 @@ def _groups(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, pa
     roots = settle(spark, texts, traits, stars, roots)
     members = members.where("node <> low").select("bucket", "node")  # the smallest has met all others
     for k in range(rounds + 1):
-        placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).repartition("bucket")
+        placed = members.join(sized(roots, roots.count()), "node", "left").withColumn("root", F.coalesce("root", "node")).repartition("bucket")
         sizes = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("r"), F.max("root").alias("s"),
                                              F.min_by("node", F.xxhash64("node", F.lit(k))).alias("lead"))
         open_, opened = saved(spark, placed.join(sizes.where("r < s").drop("r", "s"), "bucket"), "open")
@@ -271,12 +273,12 @@ def _groups(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, pa
         members = open_.where((F.col("size") <= paired) | (F.col("node") != F.col("lead"))).select("bucket", "node")
     if not open_.isEmpty():
         # sketches go along, so that of a large bucket only the pairs leave the join that may be near
-        sized = one_of_equals(open_).select("bucket", "node", "root", "size").join(traits.select("node", "n", "sketch"), "node")
-        roots = settle(spark, texts, traits, cross_pairs(sized, paired, can_be_near), roots)
+        known = one_of_equals(open_).select("bucket", "node", "root", "size").join(sized(traits.select("node", "n", "sketch"), traits.count()), "node")
+        roots = settle(spark, texts, traits, cross_pairs(known, paired, can_be_near), roots)
     remove(spark, place, proposals)
-    classed = (sets.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(roots, "node", "left")
+    classed = (sets.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(sized(roots, total), "node", "left")
                .withColumn("root", F.coalesce("root", "node")))
     low = classed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    classed = save(spark, classed.join(low, "root").select("node", "component_id"), "classes")
-    found = sets.select("doc_id", "node").join(classed, "node").select("doc_id", "component_id")
+    classed = save(spark, classed.join(sized(low, total), "root").select("node", "component_id"), "classes")
+    found = sets.select("doc_id", "node").join(sized(classed, total), "node").select("doc_id", "component_id")
     return found.union(rows.where("n = 0").select("doc_id", F.col("doc_id").alias("component_id")))
