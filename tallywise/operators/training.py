@@ -173,27 +173,37 @@ def registered_models(spark: SparkSession, registry: str, source: str) -> ml.Sou
 
 def retrain(spark: SparkSession, training: DataFrame, source: str, row: str, root: str, registry: str,
             budget: float | None = None, **limits) -> int | None:
-    """Train one source on its whole training set with its own settings, evaluate, publish; the new version.
-
-    With a ``budget``, in fits on all training rows, learners and settings are searched and the winner
-    alone is published; without one all learners vote with their usual settings. A failure is logged and gives ``None``; the merged data stay as they are.
-    """
+    """:func:`retrained` for a caller that goes on without new models: a failure is logged and gives ``None``; the merged data stay as they are."""
     try:
-        chosen = settings_of(source)
-        rows = training.where(F.col("transaction_source") == source)
-        prepared = materialise(spark, ml.prepare(rows, row, "Description", "Category", chosen["min_samples"]), "prepared")
-        if budget:
-            fitted = halving(prepared, row, "Description", "Category", chosen["analyzer"], budget=budget, **limits).source
-        else:
-            fitted = ml.train(prepared, "Description", "Category", chosen["analyzer"], **limits)
-        scored = materialise(spark, ml.model_columns(prepared.where("is_test"), "Description", fitted).drop("Description"), "scored")
-        metrics = {}
-        for name in fitted.models:
-            found = ml.evaluate(scored, "Category", name, fitted.labels).first().asDict()
-            metrics[name] = {k: float(v) for k, v in found.items() if k != "model" and v is not None}
-        seen = rows.agg(F.count(F.lit(1)).alias("rows"), F.max("training_version").alias("v")).first()
-        return publish(spark, fitted, metrics, source, f"{source}:v{seen.v}", root, registry,
-                       {"rows": str(seen.rows), "analyzer": chosen["analyzer"], "threshold": str(chosen["threshold"])})
+        return retrained(spark, training, source, row, root, registry, budget, **limits)
     except Exception as e:
         log.error("retraining %s failed, merged data kept: %s", source, e)
         return None
+
+
+def retrained(spark: SparkSession, training: DataFrame, source: str, row: str, root: str, registry: str,
+              budget: float | None = None, whole: bool = False, **limits) -> int:
+    """Train one source on its whole training set with its own settings, evaluate, publish; the new version.
+
+    With a ``budget``, in fits on all training rows, learners and settings are searched and the winner
+    alone is published; without one all learners vote with their usual settings. Any failure is raised and
+    registers nothing; with ``whole`` a learner that could not be trained is one, too.
+    """
+    chosen = settings_of(source)
+    rows = training.where(F.col("transaction_source") == source)
+    prepared = materialise(spark, ml.prepare(rows, row, "Description", "Category", chosen["min_samples"]), "prepared")
+    if budget:
+        fitted = halving(prepared, row, "Description", "Category", chosen["analyzer"], budget=budget, **limits).source
+    else:
+        fitted = ml.train(prepared, "Description", "Category", chosen["analyzer"], **limits)
+        lost = [name for name in ml.MODEL_NAMES if name not in fitted.models]
+        if whole and lost:
+            raise ValueError(f"models of {source} could not be trained: {', '.join(lost)}")
+    scored = materialise(spark, ml.model_columns(prepared.where("is_test"), "Description", fitted).drop("Description"), "scored")
+    metrics = {}
+    for name in fitted.models:
+        found = ml.evaluate(scored, "Category", name, fitted.labels).first().asDict()
+        metrics[name] = {k: float(v) for k, v in found.items() if k != "model" and v is not None}
+    seen = rows.agg(F.count(F.lit(1)).alias("rows"), F.max("training_version").alias("v")).first()
+    return publish(spark, fitted, metrics, source, f"{source}:v{seen.v}", root, registry,
+                   {"rows": str(seen.rows), "analyzer": chosen["analyzer"], "threshold": str(chosen["threshold"])})

@@ -103,10 +103,10 @@ def retrain_and_register(spark, d):
 
 
 def registered(spark, training):
-    """Retrain both sources and read the new entries back from the registry."""
+    """Retrain both sources and read the new entries back from the registry; a source or model that fails is an error."""
     root, registry = scratch_path(spark, "models"), scratch_path(spark, "registry")
     for source in ("household", "credit_card"):
-        tr.retrain(spark, training, source, "row_id", root, registry)
+        tr.retrained(spark, training, source, "row_id", root, registry, whole=True)
     return reg.latest_versions(reg.current_entries(tr.read_registry(spark, registry))).select(
         "model", "version", "status", "training_data", F.element_at("extra", F.lit("rows")).cast("long").alias("rows"),
         F.element_at("extra", F.lit("analyzer")).alias("analyzer"), F.element_at("extra", F.lit("threshold")).cast("double").alias("threshold"),
