@@ -8,7 +8,7 @@ from math import ceil
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallywise.constants import MAX_DF, MAX_FEATURES, MIN_CATEGORY_SAMPLES, MIN_DF, REQUIRED_COMPONENT, SPLIT_SEED
 from tallywise.operators.scores import (average_precision, class_report, class_weights, macro_average,
@@ -89,8 +89,14 @@ def spread(df: DataFrame, text: str, analyzer: str = "word", terms: int = 0) ->
 
 def deal(df: DataFrame, size: int) -> DataFrame:
     """Rows in partitions of ``PART_BYTES`` if they take ``size`` bytes in all and so need more tasks than run at once."""
+    parts = dealt_parts(df.sparkSession, size)
+    return df.repartition(parts) if parts else df
+
+
+def dealt_parts(spark: SparkSession, size: int) -> int:
+    """Partitions of ``PART_BYTES`` for ``size`` bytes; 0 where no more tasks are needed than run at once."""
     parts = ceil(size / PART_BYTES)
-    return df.repartition(parts) if parts > df.sparkSession.sparkContext.defaultParallelism else df
+    return parts if parts > spark.sparkContext.defaultParallelism else 0
 
 
 def label_list(prepared: DataFrame, label: str) -> list[str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from contextlib import nullcontext
 from dataclasses import dataclass
 from math import ceil
 from multiprocessing.pool import ThreadPool
@@ -12,10 +13,10 @@ from pyspark.ml import Estimator, PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from tallywise.constants import SPLIT_SEED
-from tallywise.operators.models import SourceModels, featurise, fit_features, label_list, make_learners, spread, deal, ROW_BYTES
+from tallywise.operators.models import SourceModels, featurise, fit_features, label_list, make_learners, spread, dealt_parts, ROW_BYTES
 from tallywise.operators.scores import class_weights
 from tallywise.operators.stages import ScoredLabel
-from tallywise.session import materialise
+from tallywise.session import materialise, read_in, shuffles_dropped
 
 log = logging.getLogger(__name__)
 
@@ -104,14 +105,22 @@ def halving(prepared: DataFrame, row: str, text: str, label: str, analyzer: str
     options = dict(candidates or make_candidates(seed))
     if len(options) < 1 or folds < 2:
         raise ValueError("a search needs a candidate and at least two folds")
+    with shuffles_dropped(prepared.sparkSession):  # no plan of the search runs twice
+        return _searched(prepared, row, text, label, analyzer, options, budget, folds, survive, threads, seed, limits)
+
+
+def _searched(prepared: DataFrame, row: str, text: str, label: str, analyzer: str, options: dict[str, Estimator],
+              budget: float, folds: int, survive: int, threads: int, seed: int, limits: dict) -> Found:
     spark = prepared.sparkSession
     plain = prepared.where(~F.col("is_test"))
     features = fit_features(spread(plain, text, analyzer), text, analyzer, **limits)
     train_rows = spread(plain, text, analyzer)
     weights = class_weights(plain, "code").select("code", "weight")
     ready = with_folds(featurise(train_rows, text, features), row, folds, seed).join(F.broadcast(weights), "code")
-    ready = materialise(spark, ready.select("code", "weight", "features", "fold", "place"), "search")
-    ready = deal(ready, ready.count() * (ROW_BYTES + 4 * len(features.stages[1].vocabulary)))
+    # dealt out once, when they are written, and not again for every fit
+    dealt = dealt_parts(spark, plain.count() * (ROW_BYTES + 4 * len(features.stages[1].vocabulary)))
+    ready = ready.select("code", "weight", "features", "fold", "place")
+    ready = materialise(spark, ready.repartition(dealt) if dealt else ready, "search")
 
     def tried(job: tuple[int, str, float]) -> DataFrame | None:
         number, name, share = job
@@ -127,7 +136,7 @@ def halving(prepared: DataFrame, row: str, text: str, label: str, analyzer: str
             return None
 
     left, parts, plan = sorted(options), [], round_plan(len(options), budget, survive)
-    with ThreadPool(min(threads, len(left))) as pool:
+    with read_in(spark, dealt) if dealt else nullcontext(), ThreadPool(min(threads, len(left))) as pool:
         for number, (_, share) in enumerate(plan):
             judged = [p for p in pool.map(inheritable_thread_target(spark)(tried), [(number, n, share) for n in left]) if p is not None]
             if not judged:
@@ -136,9 +145,9 @@ def halving(prepared: DataFrame, row: str, text: str, label: str, analyzer: str
             scores = macro_scores(union(judged)).select("candidate", "macro_f1").collect()
             ranked = sorted(scores, key=lambda s: (-s.macro_f1, s.candidate))
             left = sorted(s.candidate for s in ranked[:plan[number + 1][0] if number + 1 < len(plan) else 1])
-    winner = left[0]
+        winner = left[0]
+        fitted = options[winner].fit(ready)
     learner = winner.rsplit("_", 1)[0]
-    fitted = options[winner].fit(ready)
     source = SourceModels(features, {learner: PipelineModel(
         [fitted, ScoredLabel(model=learner, labels=label_list(prepared, label))])})
     predictions = union(parts)
